@@ -2,11 +2,16 @@
 
 A rule's keywords are matched case-insensitively (Unicode case folding) as
 *prefixes of words*: a keyword must start where a word starts, i.e. not right
-after a letter, digit or underscore. Java has no start-of-word anchor, so it is
-spelled as a lookbehind/lookahead pair. An optional negation guard is a
-bounded lookbehind: the keyword does not count when the text directly before it
-matches the guard. ``.`` matches line breaks too (DOTALL), as in the source
-dialect of the rules.
+after a letter, digit or underscore (every keyword begins with a letter). Java
+has no start-of-word anchor, so it is spelled as a lookbehind. An optional
+negation guard is a bounded lookbehind: the keyword does not count when the
+text directly before it matches the guard. ``.`` matches line breaks too
+(DOTALL), as in the source dialect of the rules.
+
+Two rewrites keep the meaning and cut the backtracking work of Java's engine:
+a lookahead on the set of possible first characters of the alternatives (one
+class test rejects most positions before any alternative is tried), and the
+guard lookbehind is evaluated only after a keyword is known to start there.
 """
 
 from __future__ import annotations
@@ -14,17 +19,100 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_START = r"(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])"
+WORD_START = r"(?<![\p{L}\p{N}_])"
 FLAGS = "(?ius)"
 
 
+def _top_level_alternatives(rx: str) -> list[str] | None:
+    """Split ``rx`` on top-level ``|``; None if it is not well-formed enough."""
+    parts, depth, cls, esc, cur = [], 0, False, False, []
+    for ch in rx:
+        if esc:
+            cur.append(ch)
+            esc = False
+            continue
+        if ch == "\\":
+            esc = True
+        elif cls:
+            cls = ch != "]"
+        elif ch == "[":
+            cls = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append("".join(cur))
+            cur = []
+            continue
+        cur.append(ch)
+    if depth != 0 or cls or esc:
+        return None
+    parts.append("".join(cur))
+    return parts
+
+
+def _first_atoms(rx: str) -> list[str] | None:
+    """Class bodies covering the first character of every match of ``rx``."""
+    alts = _top_level_alternatives(rx)
+    if not alts:
+        return None
+    members: list[str] = []
+    for a in alts:
+        if not a:
+            return None
+        if a[0] == "[":
+            end = a.find("]", 2)
+            if end < 0 or a[1] == "^" or "\\" in a[1:end] or "[" in a[1:end]:
+                return None
+            sub, rest = [a[1:end]], a[end + 1:]
+        elif a[0] == "(":
+            depth, i = 0, 0
+            for i, ch in enumerate(a):
+                depth += (ch == "(") - (ch == ")")
+                if depth == 0:
+                    break
+            inner = a[1:i]
+            if inner.startswith("?"):
+                if not inner.startswith("?:"):
+                    return None
+                inner = inner[2:]
+            sub, rest = _first_atoms(inner), a[i + 1:]
+            if sub is None:
+                return None
+        elif a[0] in "\\.|*+?{}^$)]":
+            return None
+        else:
+            ch = a[0]
+            sub, rest = [("\\" + ch) if ch in "-^[]&" else ch], a[1:]
+        if rest[:1] in ("*", "?", "{"):
+            return None
+        members.extend(sub)
+    return members
+
+
+def first_char_class(keywords: str) -> str | None:
+    """A character class (a Java class union) holding every possible first
+    character of a match of ``keywords``, or None when that cannot be read off
+    simply (an alternative starting with an escape, dot, lookaround or an
+    optional atom)."""
+    members = _first_atoms(keywords)
+    if not members:
+        return None
+    return "[" + "".join("[" + m + "]" for m in dict.fromkeys(members)) + "]"
+
+
 def java_regex(keywords: str, guard: str | None = None, word_start: bool = True) -> str:
     parts = [FLAGS]
     if word_start:
         parts.append(WORD_START)
+    first = first_char_class(keywords)
+    if first:
+        parts.append(f"(?={first})")
     if guard:
-        parts.append(f"(?<!(?:{guard}))")
-    parts.append(f"(?:{keywords})")
+        parts.append(f"(?=(?:{keywords}))(?<!(?:{guard}))")
+    else:
+        parts.append(f"(?:{keywords})")
     return "".join(parts)
 
 
