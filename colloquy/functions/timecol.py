@@ -35,7 +35,7 @@ def local_ts(col: Column, dtype: T.DataType, tz: str) -> Column:
     """Local wall-clock time (TIMESTAMP_NTZ) of an instant column in ``tz``."""
     if isinstance(dtype, T.TimestampNTZType):
         return F.convert_timezone(F.lit("UTC"), F.lit(tz), col)
-    return F.convert_timezone(F.lit(tz), col)
+    return F.convert_timezone(None, F.lit(tz), col)
 
 
 def local_date(col: Column, dtype: T.DataType, tz: str) -> Column:
