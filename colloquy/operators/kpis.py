@@ -44,25 +44,44 @@ def message_kpis(base: DataFrame, cal: Calendar) -> DataFrame:
                  F.count_distinct(F.when(incoming, F.col("conversation_id"))).alias("respostas")))
 
 
-def totals(base: DataFrame, cal: Calendar) -> DataFrame:
-    """One row per tenant with all-time and month-to-date totals.
+def conversation_flags(base: DataFrame, cal: Calendar) -> DataFrame:
+    """One row per (tenant, conversation) with the facts the totals need.
 
-    all-time: disparos, alunos, respostas, conversas_unicas
-    month:    mes_disparos, mes_alunos, mes_respostas (from local month start on)
-    """
+    ``contact_id`` is an attribute of the conversation (it comes from the
+    conversation side of the base join), so it is constant within the group.
+    All aggregates here combine map-side; a hot conversation collapses to one
+    row per input partition before the shuffle."""
     dtype = ts_type(base, "ts")
     in_month = F.col("ts") >= ts_literal(cal.month_start, dtype)
     disp, pub_in, pub = is_dispatch(), is_public_incoming(), is_public()
-    conv, contact = F.col("conversation_id"), F.col("contact_id")
     return (base.select("tenant_id", "conversation_id", "contact_id", "kind", "is_private", "ts")
-            .groupBy("tenant_id")
-            .agg(F.count_if(disp).alias("disparos"),
-                 F.count_distinct(F.when(disp, contact)).alias("alunos"),
-                 F.count_distinct(F.when(pub_in, conv)).alias("respostas"),
-                 F.count_distinct(F.when(pub, conv)).alias("conversas_unicas"),
-                 F.count_if(disp & in_month).alias("mes_disparos"),
-                 F.count_distinct(F.when(disp & in_month, contact)).alias("mes_alunos"),
-                 F.count_distinct(F.when(pub_in & in_month, conv)).alias("mes_respostas")))
+            .groupBy("tenant_id", "conversation_id")
+            .agg(F.max("contact_id").alias("contact_id"),
+                 F.count_if(disp).alias("n_disp"),
+                 F.count_if(disp & in_month).alias("n_disp_month"),
+                 F.bool_or(pub_in).alias("replied"),
+                 F.bool_or(pub).alias("public"),
+                 F.bool_or(pub_in & in_month).alias("replied_month")))
+
+
+def totals(base: DataFrame, cal: Calendar) -> DataFrame:
+    """One row per tenant with all-time and month-to-date totals.
+
+    all-time: disparos, alunos, respostas, conversas_unicas
+    month:    mes_disparos, mes_alunos, mes_respostas (from local month start on)
+
+    Counted from ``conversation_flags`` (one row per conversation), so the
+    distinct counts never expand the message rows."""
+    flags = conversation_flags(base, cal)
+    contact = F.col("contact_id")
+    return flags.groupBy("tenant_id").agg(
+        F.sum("n_disp").cast("long").alias("disparos"),
+        F.count_distinct(F.when(F.col("n_disp") > 0, contact)).alias("alunos"),
+        F.count_if("replied").alias("respostas"),
+        F.count_if("public").alias("conversas_unicas"),
+        F.sum("n_disp_month").cast("long").alias("mes_disparos"),
+        F.count_distinct(F.when(F.col("n_disp_month") > 0, contact)).alias("mes_alunos"),
+        F.count_if("replied_month").alias("mes_respostas"))
 
 
 def _round_ratio(num: int, den: int) -> int:

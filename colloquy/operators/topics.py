@@ -45,6 +45,20 @@ def classify(text_col, pack: RulePack, message_level: bool = False):
     return topic_name(idx, pack)
 
 
+def conversation_text(base: DataFrame, pack: RulePack, joiner: str = " | ") -> DataFrame:
+    """(tenant_id, conversation_id, ult_msg, n_msgs, texto_chars): the facts of a
+    conversation's text (its text messages joined in time order with ``joiner``)
+    that the report uses, computed without building the string: the latest
+    instant, the message count and the joined length. Topic and flags come from
+    ``conversation_topics`` by the per-message equivalence above."""
+    n = F.count(F.lit(1))
+    return text_messages(base, pack).groupBy("tenant_id", "conversation_id").agg(
+        F.max("ts").alias("ult_msg"),
+        n.alias("n_msgs"),
+        (F.sum(F.length("content")) + F.lit(len(joiner)) * (n - 1)).cast("long").alias("texto_chars"),
+    )
+
+
 def conversation_topics(base: DataFrame, pack: RulePack) -> DataFrame:
     """(tenant_id, conversation_id, categoria, ult_msg, n_msgs, menciona_desafio, engajou)
 

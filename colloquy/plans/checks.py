@@ -116,6 +116,13 @@ def conversation_topics(spark, sf_dir):
         "menciona_desafio", "engajou")
 
 
+def conversation_text(spark, sf_dir):
+    from ..operators.topics import conversation_text as op
+    d = chat(spark, sf_dir)
+    return op(d.base, d.pack).select("tenant_id", "conversation_id", _ts_text("ult_msg").alias("ult_msg"), "n_msgs",
+                                     "texto_chars")
+
+
 def topic_rules(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", classify(F.col("text"), TEST_PACK).alias("topic"))
@@ -218,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "totals_month": totals_month,
     "totals_events": totals_events,
     "goal_metrics": goal_metrics,
+    "conversation_text": conversation_text,
     "conversation_topics": conversation_topics,
     "topic_rules": topic_rules,
     "topic_rules_guarded": topic_rules_guarded,

@@ -247,6 +247,10 @@ FROM tot JOIN cfg ON TRUE"""
 SELECT tenant_id, conversation_id, categoria, strftime(ult_msg, '{FMT}') AS ult_msg, n_msgs, menciona_desafio, engajou
 FROM cl"""
 
+    o["conversation_text"] = chat_with(text_cte(tp)) + f"""
+SELECT tenant_id, conversation_id, strftime(ult_msg, '{FMT}') AS ult_msg, n_msgs, CAST(length(texto) AS BIGINT) AS texto_chars
+FROM ta"""
+
     o["topic_rules"] = f"SELECT doc_id, {case_topic('text', tp)} AS topic FROM documents"
     o["topic_rules_guarded"] = f"SELECT doc_id, {case_topic('text', TEST_PACK_GUARDED)} AS topic FROM documents"
 
