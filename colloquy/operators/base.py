@@ -34,7 +34,8 @@ def base_messages(messages: DataFrame, conversations: DataFrame, exclude_pattern
         convs = convs.where(~excluded_contact(F.col("contact_name"), exclude_patterns))
     convs = convs.select("tenant_id", "conversation_id", "contact_id")
     msgs = restrict_tenants(messages, tenants)
-    return msgs.join(convs, ["tenant_id", "conversation_id"], "inner").select(*BASE_COLUMNS)
+    extra = [c for c in msgs.columns if c not in BASE_COLUMNS]
+    return msgs.join(convs, ["tenant_id", "conversation_id"], "inner").select(*BASE_COLUMNS, *extra)
 
 
 # Row predicates over the base (NULL ``is_private`` passes none of them).

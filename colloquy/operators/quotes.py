@@ -20,20 +20,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regex import matches
 from ..plans.rules import RulePack
-from .base import is_public_incoming
-from .topics import classify
+from .topics import is_text, topic_name, with_text_features
 
 
 def quote_candidates(base: DataFrame, pack: RulePack) -> DataFrame:
     """(tenant_id, conversation_id, message_id, content, mcat, h)."""
+    b = with_text_features(base, pack)
     c = F.col("content")
-    n = F.length(c)
-    cand = base.where(is_public_incoming() & c.isNotNull() & n.between(pack.quote_min_len, pack.quote_max_len)
-                      & ~matches(c, pack.quote_exclude, word_start=False))
-    return cand.select("tenant_id", "conversation_id", "message_id", "content",
-                       classify(c, pack, message_level=True).alias("mcat"), F.md5(c).alias("h"))
+    return b.where(is_text(pack) & F.col("quote_ok")).select(
+        "tenant_id", "conversation_id", "message_id", "content",
+        topic_name(F.col("msg_rule_idx"), pack, pack.message_rules).alias("mcat"), F.md5(c).alias("h"))
 
 
 def quote_picks(base: DataFrame, conv_topics_b: DataFrame, pack: RulePack) -> DataFrame:

@@ -31,7 +31,7 @@ from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
 from .topics import (classified_buckets, conversation_topics, funnel_folded, mention_funnel, topic_distribution,
-                     topics_folded, with_buckets)
+                     topics_folded, with_buckets, with_text_features)
 from .words import cloud_folded, word_cloud, word_counts
 
 PIECE_COLUMNS = ("disparos", "alunos_atendidos", "msgs_aluno", "msgs_tcs", "respostas",
@@ -47,9 +47,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, how: str) -> DataFrame:
-    """``cache``: persist MEMORY_AND_DISK (recomputed from lineage if an executor
-    is lost); ``table``: write Parquet under spark.checkpoint.dir and read it back;
-    ``none``: leave lazy."""
+    """Materialise a frame that several operators read.
+
+    ``table``: write Parquet under ``spark.checkpoint.dir`` and read it back
+    (columnar, pruned reads, balanced input splits, survives executor loss);
+    ``cache``: persist MEMORY_AND_DISK (lost blocks are recomputed from
+    lineage); ``none``: leave lazy; ``auto``: ``table`` when the session names a
+    checkpoint folder, else ``cache``."""
+    if how == "auto":
+        spark = df.sparkSession
+        has_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        how = "table" if has_dir else "cache"
     if how == "cache":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "table":
@@ -57,6 +65,8 @@ def materialize(df: DataFrame, how: str) -> DataFrame:
         path = f"{checkpoint_dir(spark).rstrip('/')}/colloquy-{uuid.uuid4().hex}"
         df.write.mode("error").parquet(path)
         return spark.read.parquet(path)
+    if how != "none":
+        raise ValueError(f"unknown materialisation {how!r}")
     return df
 
 
@@ -74,8 +84,10 @@ class Dashboard:
 
     @classmethod
     def from_tables(cls, messages: DataFrame, conversations: DataFrame, params: Params,
-                    pack: RulePack = REFERENCE_PACK, how: str = "cache") -> "Dashboard":
-        base = base_messages(messages, conversations, params.exclude_patterns, params.tenants)
+                    pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
+        # per-message regex features on the scan side, before the join shuffles by conversation
+        msgs = with_text_features(restrict_tenants(messages, params.tenants), pack)
+        base = base_messages(msgs, conversations, params.exclude_patterns, params.tenants)
         spark = messages.sparkSession
         if params.tenants is not None:
             tenants = spark.createDataFrame([(t,) for t in params.tenants], "tenant_id string")
@@ -86,9 +98,9 @@ class Dashboard:
 
     @classmethod
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
-                  pack: RulePack = REFERENCE_PACK, how: str = "cache") -> "Dashboard":
+                  pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
         cal = build_calendar(params)
-        base = materialize(base, how)
+        base = materialize(with_text_features(base, pack), how)
         if tenants is None:
             tenants = base.select("tenant_id").distinct()
         d = cls(base=base, cal=cal, tenants=tenants, pack=pack)
@@ -255,6 +267,6 @@ def _meta(days: int, goal: int) -> int:
 
 
 def summary(messages: DataFrame, conversations: DataFrame, params: Params, pack: RulePack = REFERENCE_PACK,
-            how: str = "cache") -> DataFrame:
+            how: str = "auto") -> DataFrame:
     """Convenience: the per-tenant document for ``params``."""
     return Dashboard.from_tables(messages, conversations, params, pack, how).summary()

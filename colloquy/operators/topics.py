@@ -25,24 +25,65 @@ from .periods import bucket_array
 from .base import is_public_incoming
 
 
+def is_text(pack: RulePack):
+    """Row predicate: a public incoming message that is part of its conversation's text."""
+    content = F.col("content")
+    return is_public_incoming() & content.isNotNull() & (F.length(content) >= pack.min_text_len)
+
+
 def text_messages(base: DataFrame, pack: RulePack) -> DataFrame:
     """Messages that make up the conversations' texts."""
-    content = F.col("content")
-    return base.where(is_public_incoming() & content.isNotNull() & (F.length(content) >= pack.min_text_len))
+    return base.where(is_text(pack))
 
 
-def topic_name(index_col, pack: RulePack):
-    return F.element_at(F.array(*[F.lit(t) for t in pack.topics]), index_col)
+def topic_name(index_col, pack: RulePack, rules=None):
+    """Topic for a 1-based index into ``rules`` (default: the whole pack); the
+    index just past the end is the default topic."""
+    rules = pack.rules if rules is None else rules
+    names = [r.topic for r in rules] + [pack.default_topic]
+    return F.element_at(F.array(*[F.lit(t) for t in names]), index_col)
 
 
 def classify(text_col, pack: RulePack, message_level: bool = False):
-    """Topic of one text under ``pack`` (first match wins)."""
+    """Topic of one text under ``pack`` (first match wins); ``message_level``
+    uses the single-message chain."""
     rules = pack.message_rules if message_level else pack.rules
-    idx = first_match_index(text_col, rules)
-    if message_level and len(rules) < len(pack.rules):
-        # the message chain ends in the default topic right after its last rule
-        idx = F.when(idx > len(rules), F.lit(len(pack.rules) + 1)).otherwise(idx)
-    return topic_name(idx, pack)
+    return topic_name(first_match_index(text_col, rules), pack, rules)
+
+
+TEXT_FEATURES = ("rule_idx", "msg_rule_idx", "mentions", "engages", "quote_ok")
+
+
+def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
+    """Per-message regex features (NULL / False outside text messages).
+
+    Row-local, so callers put it right on the message scan, before any join or
+    shuffle: the regex work is then spread over the input splits however the
+    rows are later keyed (a conversation holding a third of all messages does
+    not land in one task).
+
+    rule_idx      first rule (1-based, whole pack) matching the message
+    msg_rule_idx  the same for the single-message chain
+    mentions / engages  challenge mention / engagement phrase present
+    quote_ok      quote length and not an auto-reply
+    """
+    if "rule_idx" in df.columns:
+        return df
+    c = F.col("content")
+    txt = is_text(pack)
+    idx = F.when(txt, first_match_index(c, pack.rules))
+    k = len(pack.message_rules)
+    if pack.message_chain_is_prefix:
+        msg_idx = F.when(F.col("rule_idx") <= k, F.col("rule_idx")).otherwise(F.lit(k + 1))
+    else:
+        msg_idx = F.when(txt, first_match_index(c, pack.message_rules))
+    quote_ok = (txt & F.length(c).between(pack.quote_min_len, pack.quote_max_len)
+                & ~matches(c, pack.quote_exclude, word_start=False))
+    return (df.withColumn("rule_idx", idx)
+            .withColumns({"msg_rule_idx": msg_idx,
+                          "mentions": txt & matches(c, pack.mention),
+                          "engages": txt & matches(c, pack.engage),
+                          "quote_ok": quote_ok}))
 
 
 def conversation_text(base: DataFrame, pack: RulePack, joiner: str = " | ") -> DataFrame:
@@ -65,19 +106,14 @@ def conversation_topics(base: DataFrame, pack: RulePack) -> DataFrame:
     ``ult_msg`` is the latest instant of the conversation's text messages; it
     decides the conversation's periods. ``engajou`` = mentions the challenge and
     holds an engagement phrase (anywhere in its text)."""
-    content = F.col("content")
-    per_msg = text_messages(base, pack).select(
-        "tenant_id", "conversation_id", "ts",
-        first_match_index(content, pack.rules).alias("rule_idx"),
-        matches(content, pack.mention).alias("m"),
-        matches(content, pack.engage).alias("e"),
-    )
+    # the plain predicate is stated too, so it reaches the scan as pushed filters
+    per_msg = with_text_features(base, pack).where(is_text(pack) & F.col("rule_idx").isNotNull())
     conv = per_msg.groupBy("tenant_id", "conversation_id").agg(
         F.min("rule_idx").alias("rule_idx"),
         F.max("ts").alias("ult_msg"),
         F.count(F.lit(1)).alias("n_msgs"),
-        F.bool_or("m").alias("menciona_desafio"),
-        F.bool_or("e").alias("engage_any"),
+        F.bool_or("mentions").alias("menciona_desafio"),
+        F.bool_or("engages").alias("engage_any"),
     )
     return conv.select(
         "tenant_id", "conversation_id",

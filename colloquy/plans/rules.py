@@ -44,13 +44,15 @@ class RulePack:
 
     @property
     def message_rules(self) -> tuple[Rule, ...]:
-        """Leading run of message-level rules (the message chain is a prefix)."""
-        out = []
-        for r in self.rules:
-            if not r.message_level:
-                break
-            out.append(r)
-        return tuple(out)
+        """Rules of the single-message chain (quotes), in pack order."""
+        return tuple(r for r in self.rules if r.message_level)
+
+    @property
+    def message_chain_is_prefix(self) -> bool:
+        """True when the message chain is a leading run of the pack; then a
+        message's chain index follows from its full first-match index."""
+        k = len(self.message_rules)
+        return self.rules[:k] == self.message_rules
 
 
 # ---------------------------------------------------------------------------

@@ -48,3 +48,9 @@ def read_conversations(spark: SparkSession, path: str, fmt: str = "parquet",
 def write_partitioned(df: DataFrame, path: str, by=("tenant_id",), fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Sink helper: write a canonical table partitioned by ``by``."""
     df.write.mode(mode).format(fmt).partitionBy(*by).save(path)
+
+
+def write_documents(summary_json: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Sink of the report: one JSON document per tenant (``tenant_id``, ``doc``)
+    as text files partitioned by tenant."""
+    summary_json.select("tenant_id", "doc").write.mode(mode).partitionBy("tenant_id").format("text").save(path)
