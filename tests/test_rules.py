@@ -93,7 +93,12 @@ PLAIN = [plain(r) for r in P.rules]
 WORDS = ["não", "nao", "nunca", "jamais", "ainda", "é", "tá", "vou", "quero", "cancelar", "plataforma", "login",
          "dúvida", "tenho", "me", "ajuda", "difícil", "arrematei", "primeiro", "resultado", "amei", "curso", "é",
          "excelente", "acesso", "liberado", "assistindo", "módulo", "bora", "grupo", "obrigada", "filho", "sou",
-         "corretora", "de", "imóveis", "creci", "👉", "desafio", "topo", "Não", "CANCELAR", "x", "_", ",", "|", "ok"]
+         "corretora", "de", "imóveis", "creci", "👉", "desafio", "topo", "Não", "CANCELAR", "x", "_", ",", "|", "ok",
+         "agradecemos", "agradeço", "contato", "mensagem", "como", "posso", "podemos", "te", "lhe", "ajudar", "escolha",
+         "uma", "opção", "seja", "muito", "bem-vindo", "bemvinda", "à", "disposição", "a", "plantão", "setor", "vendas",
+         "central", "assim", "que", "possível", "retorno", "em", "breve", "envio", "realizando", "o", "sonho", "🏡",
+         "🔑", "imobiliária", "despachante", "especialista", "financiamento", "imobiliário", "locação", "im", "Maria",
+         "consultora", "estou", "atendimento", "informe", "seu", "nome", "SOU", "Agradeco", "ESCOLHA"]
 
 
 def plain_topic(text):
@@ -106,8 +111,8 @@ def plain_topic(text):
 def test_random_texts_agree_with_plain_regex(spark):
     rnd = random.Random(7)
     texts = []
-    for _ in range(3000):
-        n = rnd.randint(1, 9)
+    for _ in range(6000):
+        n = rnd.randint(1, 12)
         texts.append(" ".join(rnd.choice(WORDS) for _ in range(n)).replace(" ,", ",") + rnd.choice(["", ".", "!"]))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: r["c"] for r in df.select("i", classify(F.col("t"), P).alias("c")).collect()}
