@@ -30,8 +30,8 @@ from .kpis import dispatch_kpis, goal_metrics, message_kpis, totals
 from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
-from .topics import (classified_buckets, conversation_topics, funnel_folded, mention_funnel, topic_distribution,
-                     topics_folded, with_buckets, with_text_features)
+from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, mention_funnel, topic_distribution,
+                     is_text, topics_folded, with_buckets, with_text_features)
 from .words import cloud_folded, word_cloud, word_counts
 
 PIECE_COLUMNS = ("disparos", "alunos_atendidos", "msgs_aluno", "msgs_tcs", "respostas",
@@ -80,6 +80,7 @@ class Dashboard:
     pack: RulePack = REFERENCE_PACK
     words_k: int = 40
     quotes_k: int = 3
+    work: DataFrame | None = None
     _held: list = field(default_factory=list)
 
     @classmethod
@@ -100,12 +101,16 @@ class Dashboard:
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
                   pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
         cal = build_calendar(params)
-        base = materialize(with_text_features(base, pack), how)
+        full = with_text_features(base, pack)
         if tenants is None:
-            tenants = base.select("tenant_id").distinct()
-        d = cls(base=base, cal=cal, tenants=tenants, pack=pack)
-        d._held.append(base)
-        d._topics = materialize(with_buckets(conversation_topics(base, pack), cal), how)
+            tenants = full.select("tenant_id").distinct()
+        d = cls(base=full, cal=cal, tenants=tenants, pack=pack)
+        # the shared working copy keeps message text only where an operator reads
+        # it (text messages); the team's outgoing messages and notes drop theirs
+        work = full.withColumn("content", F.when(is_text(pack), F.col("content")))
+        d.work = materialize(work, how)
+        d._held.append(d.work)
+        d._topics = materialize(with_buckets(conversation_topics(d.work, pack), cal), how)
         d._held.append(d._topics)
         return d
 
@@ -118,35 +123,38 @@ class Dashboard:
     def conversation_topics(self) -> DataFrame:
         return self._topics
 
+    def conversation_text(self) -> DataFrame:
+        return conversation_text(self.work, self.pack)
+
     def classified_buckets(self) -> DataFrame:
         return classified_buckets(self._topics)
 
     def dispatch_kpis(self) -> DataFrame:
-        return dispatch_kpis(self.base, self.cal)
+        return dispatch_kpis(self.work, self.cal)
 
     def message_kpis(self) -> DataFrame:
-        return message_kpis(self.base, self.cal)
+        return message_kpis(self.work, self.cal)
 
     def totals(self) -> DataFrame:
-        return goal_metrics(totals(self.base, self.cal), self.cal)
+        return goal_metrics(totals(self.work, self.cal), self.cal)
 
     def topic_distribution(self) -> DataFrame:
         return topic_distribution(self.classified_buckets())
 
     def word_cloud(self) -> DataFrame:
-        return word_cloud(word_counts(self.base, self._topics, self.pack), self.words_k)
+        return word_cloud(word_counts(self.work, self._topics, self.pack), self.words_k)
 
     def mention_funnel(self) -> DataFrame:
         return mention_funnel(self.classified_buckets())
 
     def sample_quotes(self) -> DataFrame:
-        return sample_quotes(self.base, self._topics, self.pack, self.quotes_k)
+        return sample_quotes(self.work, self._topics, self.pack, self.quotes_k)
 
     def daily_rhythm(self) -> DataFrame:
-        return daily_rhythm(self.base, self.cal)
+        return daily_rhythm(self.work, self.cal)
 
     def hourly_heatmap(self) -> DataFrame:
-        return hourly_heatmap(self.base, self.cal)
+        return hourly_heatmap(self.work, self.cal)
 
     def period_spine(self) -> DataFrame:
         return period_spine(self.tenants, self.cal)
