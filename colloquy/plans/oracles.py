@@ -12,7 +12,7 @@ can no longer start a word.
 from __future__ import annotations
 
 from ..params import Params
-from ..plans.rules import RulePack
+from ..plans.rules import REFERENCE_PACK, RulePack
 from ..sources.testdata import CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED
 
 FMT = "%Y-%m-%d %H:%M:%S.%f"
@@ -104,11 +104,28 @@ def re2(keywords: str, word_start: bool = True) -> str:
     return _q(f"(?is){pre}(?:{keywords})")
 
 
+NEGATOR_INITIAL = "n[ãa]o"
+
+
 def rule_match(text: str, rule) -> str:
-    if rule.guard:
-        marked = f"regexp_replace({text}, '{_q('(?i)(' + rule.guard + ')')}', '\\1_', 'g')"
-        return f"regexp_matches({marked}, '{re2(rule.keywords, rule.word_start)}')"
-    return f"regexp_matches({text}, '{re2(rule.keywords, rule.word_start)}')"
+    """RE2 form of one rule. Guarded rules are matched on the marked text,
+    except alternatives that themselves begin with the negator "não" (marking
+    would split them): those are matched on the raw text without the guard,
+    which differs only for a negator-initial keyword right after a second
+    negator ("nunca não entendi")."""
+    if not rule.guard:
+        return f"regexp_matches({text}, '{re2(rule.keywords, rule.word_start)}')"
+    from ..functions.regex import _top_level_alternatives
+    alts = _top_level_alternatives(rule.keywords) or [rule.keywords]
+    raw = [a for a in alts if a.startswith(NEGATOR_INITIAL)]
+    marked_alts = [a for a in alts if not a.startswith(NEGATOR_INITIAL)]
+    marked = f"regexp_replace({text}, '{_q('(?i)(' + rule.guard + ')')}', '\\1_', 'g')"
+    parts = []
+    if marked_alts:
+        parts.append(f"regexp_matches({marked}, '{re2('|'.join(marked_alts), rule.word_start)}')")
+    if raw:
+        parts.append(f"regexp_matches({text}, '{re2('|'.join(raw), rule.word_start)}')")
+    return "(" + " OR ".join(parts) + ")"
 
 
 def case_topic(text: str, pack: RulePack, message_level: bool = False) -> str:
@@ -253,6 +270,9 @@ FROM ta"""
 
     o["topic_rules"] = f"SELECT doc_id, {case_topic('text', tp)} AS topic FROM documents"
     o["topic_rules_guarded"] = f"SELECT doc_id, {case_topic('text', TEST_PACK_GUARDED)} AS topic FROM documents"
+    o["reference_rules_documents"] = (f"SELECT doc_id, {case_topic('text', REFERENCE_PACK)} AS topic, "
+                                      f"regexp_matches(text, '{re2(REFERENCE_PACK.mention)}') AS menciona_desafio "
+                                      "FROM documents")
 
     o["topic_distribution"] = chat_with(text_cte(tp)) + f"""
 SELECT tenant_id, bucket, categoria, n, {pct('n', 'total')} AS pct

@@ -50,7 +50,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_is_registered_with_callable():
     q = E.queries()
     assert set(E.oracle_sql()) <= set(q)
-    assert set(q) - set(E.oracle_sql()) == {"summary_json", "reference_rules_documents"}
+    assert set(q) - set(E.oracle_sql()) == {"summary_json"}
 
 
 def test_entry_smoke(spark):

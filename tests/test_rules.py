@@ -118,3 +118,28 @@ def test_random_texts_agree_with_plain_regex(spark):
     got = {r["i"]: r["c"] for r in df.select("i", classify(F.col("t"), P).alias("c")).collect()}
     bad = [(t, got[i], plain_topic(t)) for i, t in enumerate(texts) if got[i] != plain_topic(t)]
     assert not bad, bad[:5]
+
+
+def test_random_texts_agree_with_sql_oracle_form(spark):
+    """The DuckDB form of the rules (marked negators, RE2) against Spark on the
+    same random texts; texts with a negator-initial keyword right after a second
+    negator are the documented blind spot of the SQL form and are skipped."""
+    import duckdb
+
+    from colloquy.plans.oracles import case_topic
+
+    rnd = random.Random(13)
+    texts = []
+    for _ in range(4000):
+        n = rnd.randint(1, 12)
+        texts.append(" ".join(rnd.choice(WORDS) for _ in range(n)).replace(" ,", ",") + rnd.choice(["", ".", "!"]))
+    blind = regex.compile(r"(?i)(nunca|jamais|n[ãa]o|ainda n[ãa]o) (\w+ )?n[ãa]o ")
+    texts = [t for t in texts if not blind.search(t)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    want = dict(con.execute(f"SELECT i, {case_topic('text', P)} FROM t").fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["c"] for r in df.select("i", classify(F.col("text"), P).alias("c")).collect()}
+    bad = [(texts[i], got[i], want[i]) for i in got if got[i] != want[i]]
+    assert not bad, bad[:5]
