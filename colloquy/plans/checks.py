@@ -23,7 +23,7 @@ from ..operators.topics import classify
 from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
 from ..plans.rules import REFERENCE_PACK
-from ..sources.testdata import (CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_conversations,
+from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_conversations,
                                 chat_messages, event_base)
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -33,8 +33,8 @@ def _ts_text(c: str):
     return F.date_format(F.col(c), TS_FMT)
 
 
-def chat(spark: SparkSession, sf_dir: str, pack=TEST_PACK) -> Dashboard:
-    return Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), CHAT_PARAMS,
+def chat(spark: SparkSession, sf_dir: str, pack=TEST_PACK, params=CHAT_PARAMS) -> Dashboard:
+    return Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), params,
                                  pack, how="none")
 
 
@@ -133,8 +133,8 @@ def topic_rules_guarded(spark, sf_dir):
     return d.select("doc_id", classify(F.col("text"), TEST_PACK_GUARDED).alias("topic"))
 
 
-def topic_distribution(spark, sf_dir):
-    return chat(spark, sf_dir).topic_distribution().select(
+def topic_distribution(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
+    return chat(spark, sf_dir, pack, params).topic_distribution().select(
         "tenant_id", "bucket", "categoria", "n", to_double(F.col("pct_tenths"), 1).alias("pct"))
 
 
@@ -143,8 +143,8 @@ def word_counts_chat(spark, sf_dir):
     return word_counts(d.base, d.conversation_topics(), d.pack)
 
 
-def word_cloud(spark, sf_dir):
-    return chat(spark, sf_dir).word_cloud().select("tenant_id", "bucket", "word", "n", F.col("rn").cast("long").alias("rn"))
+def word_cloud(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
+    return chat(spark, sf_dir, pack, params).word_cloud().select("tenant_id", "bucket", "word", "n", F.col("rn").cast("long").alias("rn"))
 
 
 def mention_funnel(spark, sf_dir):
@@ -176,13 +176,13 @@ def quote_candidates_chat(spark, sf_dir):
     return quote_candidates(d.base, d.pack).select("tenant_id", "conversation_id", "message_id", "mcat")
 
 
-def sample_quotes(spark, sf_dir):
-    return chat(spark, sf_dir).sample_quotes().select("tenant_id", "bucket", "categoria",
+def sample_quotes(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
+    return chat(spark, sf_dir, pack, params).sample_quotes().select("tenant_id", "bucket", "categoria",
                                                       F.col("rn").cast("long").alias("rn"), "content")
 
 
-def period_report(spark, sf_dir):
-    rows = chat(spark, sf_dir).period_rows()
+def period_report(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
+    rows = chat(spark, sf_dir, pack, params).period_rows()
     p = F.col("period")
     return rows.select(
         "tenant_id", "bucket", p["label"].alias("label"), p["sublabel"].alias("sublabel"),
@@ -239,6 +239,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quote_candidates": quote_candidates_chat,
     "sample_quotes": sample_quotes,
     "period_report": period_report,
+    "topic_distribution_custom": lambda spark, sf_dir: topic_distribution(spark, sf_dir, params=CHAT_CUSTOM_PARAMS),
+    "word_cloud_custom": lambda spark, sf_dir: word_cloud(spark, sf_dir, params=CHAT_CUSTOM_PARAMS),
+    "sample_quotes_custom": lambda spark, sf_dir: sample_quotes(spark, sf_dir, params=CHAT_CUSTOM_PARAMS),
+    "period_report_custom": lambda spark, sf_dir: period_report(spark, sf_dir, params=CHAT_CUSTOM_PARAMS),
+    "word_cloud_reference": lambda spark, sf_dir: word_cloud(spark, sf_dir, pack=REFERENCE_PACK),
+    "period_report_reference": lambda spark, sf_dir: period_report(spark, sf_dir, pack=REFERENCE_PACK),
     "summary_json": summary_json,
     "reference_rules_documents": reference_rules_documents,
 }

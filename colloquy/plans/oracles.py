@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from ..params import Params
 from ..plans.rules import REFERENCE_PACK, RulePack
-from ..sources.testdata import CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED
+from ..sources.testdata import CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED
 
 FMT = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -90,8 +90,8 @@ base AS (
 tenants AS (SELECT DISTINCT CAST(user_id % 3 AS VARCHAR) AS tenant_id FROM events)"""
 
 
-def chat_with(*ctes: str) -> str:
-    return "WITH " + ",".join([cfg(CHAT_PARAMS), CHAT_BASE, *ctes]) + "\n"
+def chat_with(*ctes: str, params: Params = CHAT_PARAMS) -> str:
+    return "WITH " + ",".join([cfg(params), CHAT_BASE, *ctes]) + "\n"
 
 
 def events_with(*ctes: str) -> str:
@@ -274,24 +274,9 @@ FROM ta"""
                                       f"regexp_matches(text, '{re2(REFERENCE_PACK.mention)}') AS menciona_desafio "
                                       "FROM documents")
 
-    o["topic_distribution"] = chat_with(text_cte(tp)) + f"""
-SELECT tenant_id, bucket, categoria, n, {pct('n', 'total')} AS pct
-FROM (SELECT tenant_id, bucket, categoria, COUNT(*) AS n,
-             SUM(COUNT(*)) OVER (PARTITION BY tenant_id, bucket) AS total
-      FROM cb GROUP BY tenant_id, bucket, categoria) x"""
-
-    words = f"""
-tok AS (
-  SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(tp.word_split)}')) AS word FROM cb),
-wc AS (
-  SELECT tenant_id, bucket, word, COUNT(*) AS n FROM tok
-  WHERE length(word) >= 4 AND word NOT IN ({stop_list(tp)})
-  GROUP BY tenant_id, bucket, word HAVING COUNT(*) >= 2)"""
-    o["word_counts"] = chat_with(text_cte(tp), words) + "SELECT tenant_id, bucket, word, n FROM wc"
-    o["word_cloud"] = chat_with(text_cte(tp), words) + """
-SELECT tenant_id, bucket, word, n, rn FROM (
-  SELECT tenant_id, bucket, word, n, ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY n DESC, word) AS rn
-  FROM wc) x WHERE rn <= 40"""
+    o["topic_distribution"] = topic_distribution_sql(CHAT_PARAMS, tp)
+    o["word_counts"] = chat_with(text_cte(tp), words_cte(tp)) + "SELECT tenant_id, bucket, word, n FROM wc"
+    o["word_cloud"] = word_cloud_sql(CHAT_PARAMS, tp)
 
     o["mention_funnel"] = chat_with(text_cte(tp)) + f"""
 SELECT tenant_id, bucket, n_conversas, n_mencionou, {pct('n_mencionou', 'n_conversas')} AS pct_mencionou,
@@ -321,28 +306,76 @@ SELECT ob.tenant_id, ob.bucket, CAST(g.h AS INTEGER) AS h, COALESCE(hb.n, 0) AS
 FROM ob JOIN range(24) g(h) ON TRUE
 LEFT JOIN hb ON hb.tenant_id = ob.tenant_id AND hb.bucket = ob.bucket AND hb.h = g.h"""
 
-    mc = f"""
+    o["quote_candidates"] = chat_with(mc_cte(tp)) + "SELECT tenant_id, conversation_id, message_id, mcat FROM mc"
+    o["sample_quotes"] = sample_quotes_sql(CHAT_PARAMS, tp)
+    o["period_report"] = period_report_sql(CHAT_PARAMS, tp)
+
+    # the same operators with a custom period, and with the report's own rule pack
+    o["topic_distribution_custom"] = topic_distribution_sql(CHAT_CUSTOM_PARAMS, tp)
+    o["word_cloud_custom"] = word_cloud_sql(CHAT_CUSTOM_PARAMS, tp)
+    o["sample_quotes_custom"] = sample_quotes_sql(CHAT_CUSTOM_PARAMS, tp)
+    o["period_report_custom"] = period_report_sql(CHAT_CUSTOM_PARAMS, tp)
+    o["word_cloud_reference"] = word_cloud_sql(CHAT_PARAMS, REFERENCE_PACK)
+    o["period_report_reference"] = period_report_sql(CHAT_PARAMS, REFERENCE_PACK)
+    return o
+
+
+def topic_distribution_sql(params: Params, pack: RulePack) -> str:
+    return chat_with(text_cte(pack), params=params) + f"""
+SELECT tenant_id, bucket, categoria, n, {pct('n', 'total')} AS pct
+FROM (SELECT tenant_id, bucket, categoria, COUNT(*) AS n,
+             SUM(COUNT(*)) OVER (PARTITION BY tenant_id, bucket) AS total
+      FROM cb GROUP BY tenant_id, bucket, categoria) x"""
+
+
+def words_cte(pack: RulePack) -> str:
+    return f"""
+tok AS (
+  SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(pack.word_split)}')) AS word FROM cb),
+wc AS (
+  SELECT tenant_id, bucket, word, COUNT(*) AS n FROM tok
+  WHERE length(word) >= 4 AND word NOT IN ({stop_list(pack)})
+  GROUP BY tenant_id, bucket, word HAVING COUNT(*) >= 2)"""
+
+
+def word_cloud_sql(params: Params, pack: RulePack) -> str:
+    return chat_with(text_cte(pack), words_cte(pack), params=params) + """
+SELECT tenant_id, bucket, word, n, rn FROM (
+  SELECT tenant_id, bucket, word, n, ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY n DESC, word) AS rn
+  FROM wc) x WHERE rn <= 40"""
+
+
+def mc_cte(pack: RulePack) -> str:
+    return f"""
 mc AS (
-  SELECT tenant_id, conversation_id, message_id, content, {case_topic('content', tp, message_level=True)} AS mcat
+  SELECT tenant_id, conversation_id, message_id, content, {case_topic('content', pack, message_level=True)} AS mcat
   FROM base
-  WHERE kind = 0 AND is_private = false AND content IS NOT NULL AND length(content) BETWEEN 25 AND 250
-    AND NOT regexp_matches(content, '{re2(tp.quote_exclude, word_start=False)}'))"""
-    o["quote_candidates"] = chat_with(mc) + "SELECT tenant_id, conversation_id, message_id, mcat FROM mc"
+  WHERE kind = 0 AND is_private = false AND content IS NOT NULL
+    AND length(content) BETWEEN {pack.quote_min_len} AND {pack.quote_max_len}
+    AND NOT regexp_matches(content, '{re2(pack.quote_exclude, word_start=False)}'))"""
+
 
-    no_quote = ", ".join(f"'{_q(t)}'" for t in tp.no_quote_topics)
-    o["sample_quotes"] = chat_with(text_cte(tp), mc, f"""
+def _no_quote(pack: RulePack) -> str:
+    return ", ".join(f"'{_q(t)}'" for t in pack.no_quote_topics)
+
+
+def sample_quotes_sql(params: Params, pack: RulePack) -> str:
+    return chat_with(text_cte(pack), mc_cte(pack), f"""
 fr AS (
   SELECT mc.tenant_id, mc.conversation_id, mc.content, cb.categoria, cb.bucket,
          ROW_NUMBER() OVER (PARTITION BY mc.tenant_id, mc.conversation_id, cb.categoria, cb.bucket
                             ORDER BY md5(mc.content), mc.message_id) AS k
   FROM mc JOIN cb ON cb.tenant_id = mc.tenant_id AND cb.conversation_id = mc.conversation_id AND cb.categoria = mc.mcat
-  WHERE cb.categoria NOT IN ({no_quote})),
+  WHERE cb.categoria NOT IN ({_no_quote(pack)})),
 ranked AS (
   SELECT tenant_id, bucket, categoria, content,
          ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket, categoria ORDER BY md5(content), conversation_id) AS rn
-  FROM fr WHERE k = 1)""") + "SELECT tenant_id, bucket, categoria, rn, content FROM ranked WHERE rn <= 3"
+  FROM fr WHERE k = 1)""", params=params) + "SELECT tenant_id, bucket, categoria, rn, content FROM ranked WHERE rn <= 3"
 
-    o["period_report"] = chat_with(_period_labels(CHAT_PARAMS), text_cte(tp), words, mc, f"""
+
+def period_report_sql(params: Params, pack: RulePack) -> str:
+    tz = params.tz
+    return chat_with(_period_labels(params), text_cte(pack), words_cte(pack), mc_cte(pack), f"""
 k AS (SELECT m.tenant_id, p.bucket, COUNT(*) AS disparos, COUNT(DISTINCT m.contact_id) AS alunos
       FROM base m JOIN periods p ON {in_period()} WHERE m.kind = 1 AND m.is_private = true GROUP BY 1, 2),
 mm AS (SELECT m.tenant_id, p.bucket, COUNT(*) FILTER (WHERE m.kind = 0) AS msgs_aluno,
@@ -354,13 +387,13 @@ a AS (SELECT tenant_id, bucket, COUNT(DISTINCT categoria) AS n_assuntos, COUNT(*
 nv AS (SELECT tenant_id, bucket, LEAST(COUNT(*), 40) AS n_nuvem FROM wc GROUP BY 1, 2),
 fq AS (SELECT DISTINCT cb.tenant_id, cb.bucket, cb.categoria FROM mc
        JOIN cb ON cb.tenant_id = mc.tenant_id AND cb.conversation_id = mc.conversation_id AND cb.categoria = mc.mcat
-       WHERE cb.categoria NOT IN ({no_quote})),
+       WHERE cb.categoria NOT IN ({_no_quote(pack)})),
 f AS (SELECT tenant_id, bucket, COUNT(*) AS n_frases FROM fq GROUP BY 1, 2),
-rt AS (SELECT m.tenant_id, p.bucket, COUNT(DISTINCT CAST({loc('m.ts', tz_c)} AS DATE)) AS n_ritmo
+rt AS (SELECT m.tenant_id, p.bucket, COUNT(DISTINCT CAST({loc('m.ts', tz)} AS DATE)) AS n_ritmo
        FROM base m JOIN periods p ON {in_period()}
        WHERE p.bucket IN ('d7', 'd8_14', 'custom') AND m.is_private = false AND m.kind IN (0, 1) GROUP BY 1, 2),
 hm AS (SELECT DISTINCT m.tenant_id, p.bucket, 24 AS n_heatmap FROM base m JOIN periods p ON {in_period()}
-       WHERE p.bucket IN ('d7', 'custom') AND m.is_private = false AND m.kind = 0)""") + f"""
+       WHERE p.bucket IN ('d7', 'custom') AND m.is_private = false AND m.kind = 0)""", params=params) + f"""
 SELECT t.tenant_id, p.bucket, l.label, l.sublabel,
   COALESCE(k.disparos, 0) AS disparos, COALESCE(mm.respostas, 0) AS respostas,
   {pct('COALESCE(mm.respostas, 0)', 'COALESCE(k.disparos, 0)')} AS taxa_resp,
@@ -378,4 +411,3 @@ LEFT JOIN nv ON nv.tenant_id = t.tenant_id AND nv.bucket = p.bucket
 LEFT JOIN f ON f.tenant_id = t.tenant_id AND f.bucket = p.bucket
 LEFT JOIN rt ON rt.tenant_id = t.tenant_id AND rt.bucket = p.bucket
 LEFT JOIN hm ON hm.tenant_id = t.tenant_id AND hm.bucket = p.bucket"""
-    return o

@@ -27,6 +27,16 @@ CHAT_PARAMS = Params(
     monthly_goal=30,
     exclude_patterns=("%7%",),
 )
+# The chat parameters with a custom range (2024-01-20 .. 2024-02-10, inclusive).
+CHAT_CUSTOM_PARAMS = Params(
+    as_of=dt.datetime(2024, 2, 14, 12, 0, tzinfo=dt.timezone.utc),
+    tz="America/Sao_Paulo",
+    project_start=dt.date(2024, 1, 1),
+    monthly_goal=30,
+    custom_start=dt.date(2024, 1, 20),
+    custom_end=dt.date(2024, 2, 10),
+    exclude_patterns=("%7%",),
+)
 EVENT_PARAMS = Params(
     as_of=dt.datetime(2024, 2, 5, 12, 0, tzinfo=dt.timezone.utc),
     tz="America/Sao_Paulo",
