@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratio import pct_tenths, quot_hundredths, quot_tenths, scaled_round, to_decimal
+from ..functions.ratio import pct_tenths, quot_hundredths, quot_tenths, scaled_round
 from ..functions.timecol import ts_literal, ts_type
 from ..plans.calendar import Calendar
 from .base import is_dispatch, is_public, is_public_incoming
@@ -105,7 +105,7 @@ def goal_metrics(tot: DataFrame, cal: Calendar) -> DataFrame:
     """Adds the derived rates to ``totals`` as exact integer units.
 
     *_tenths / *_hundredths columns hold round(x, 1) / round(x, 2) scaled to
-    integers; ``decimalize`` turns them into DECIMAL for the document."""
+    integers; ``functions.ratio.to_decimal`` turns them into DECIMAL for the document."""
     goal = cal.params.monthly_goal
     k = goal_constants(cal)
     days, mdays = k["dias_corridos"], k["dias_mes_atual"]
@@ -123,7 +123,3 @@ def goal_metrics(tot: DataFrame, cal: Calendar) -> DataFrame:
         (scaled_round(mdisp, F.lit(mdays * goal), 30000) if goal > 0 and mdays > 0 else zero).alias("mes_pct_meta_tenths"),
         (scaled_round(mdisp, F.lit(mdays), 30) if mdays > 0 else zero).alias("projecao_fim_mes"),
     )
-
-
-def decimalize(units_col: str, scale: int):
-    return to_decimal(F.col(units_col), scale)

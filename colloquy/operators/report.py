@@ -26,12 +26,12 @@ from ..params import Params
 from ..plans.calendar import Calendar, build_calendar
 from ..plans.rules import REFERENCE_PACK, RulePack
 from .base import base_messages, restrict_tenants
-from .kpis import dispatch_kpis, goal_metrics, message_kpis, totals
+from .kpis import dispatch_kpis, goal_constants, goal_metrics, message_kpis, totals
 from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
-from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, mention_funnel, topic_distribution,
-                     is_text, topics_folded, with_buckets, with_text_features)
+from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, is_text,
+                     mention_funnel, topic_distribution, topics_folded, with_buckets, with_text_features)
 from .words import cloud_folded, word_cloud, word_counts
 
 PIECE_COLUMNS = ("disparos", "alunos_atendidos", "msgs_aluno", "msgs_tcs", "respostas",
@@ -216,6 +216,7 @@ class Dashboard:
     def summary(self) -> DataFrame:
         """One row per tenant: the dashboard document as nested columns."""
         cal, goal = self.cal, self.cal.params.monthly_goal
+        k = goal_constants(cal)
         rows = self.period_rows()
         by_ord = F.array_sort(F.collect_list(F.struct("ord", "bucket", "period")),
                               lambda a, b: a["ord"] - b["ord"])
@@ -235,7 +236,7 @@ class Dashboard:
             n("alunos").alias("alunos_atendidos"),
             to_decimal(F.coalesce(F.col("disparos_por_aluno_hundredths"), zero), 2).alias("disparos_por_aluno"),
             n("conversas_unicas").alias("conversas_unicas"),
-            F.lit(_meta(cal.elapsed_days, goal)).alias("meta_proporcional"),
+            F.lit(k["meta_proporcional"]).alias("meta_proporcional"),
             to_decimal(F.coalesce(F.col("pct_meta_tenths"), zero), 1).alias("pct_meta"),
             to_decimal(F.coalesce(F.col("pace_diario_tenths"), zero), 1).alias("pace_diario"),
         )
@@ -247,7 +248,7 @@ class Dashboard:
             n("mes_alunos").alias("alunos_atendidos"),
             F.lit(cal.month_days).alias("dias_decorridos"),
             F.lit(goal).alias("meta"),
-            F.lit(_meta(cal.month_days, goal)).alias("meta_proporcional"),
+            F.lit(k["mes_meta_proporcional"]).alias("meta_proporcional"),
             to_decimal(F.coalesce(F.col("mes_pct_meta_tenths"), zero), 1).alias("pct_meta"),
             n("projecao_fim_mes").alias("projecao_fim_mes"),
         )
@@ -269,11 +270,6 @@ class Dashboard:
         return s.select("tenant_id", F.to_json(F.struct(*[c for c in s.columns if c != "tenant_id"])).alias("doc"))
 
 
-def _meta(days: int, goal: int) -> int:
-    from .kpis import _round_ratio
-    return _round_ratio(days * goal, 30)
-
-
 def summary(messages: DataFrame, conversations: DataFrame, params: Params, pack: RulePack = REFERENCE_PACK,
             how: str = "auto") -> DataFrame:
     """Convenience: the per-tenant document for ``params``."""

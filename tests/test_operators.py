@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 from conftest import make_conversations, make_messages, utc
-from pyspark.sql import functions as F
 
 from colloquy import Dashboard, Params, REFERENCE_PACK
 from colloquy.operators.periods import assign_periods

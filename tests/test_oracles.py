@@ -1,6 +1,5 @@
 """Every registered query against its SQL oracle on the smallest test tables."""
 
-import math
 import os
 
 import duckdb
