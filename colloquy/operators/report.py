@@ -46,6 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_WRITTEN: dict[int, str] = {}  # frames read back from a written working table -> its folder
+
+
+def _delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, how: str) -> DataFrame:
     """Materialise a frame that several operators read.
 
@@ -64,7 +73,9 @@ def materialize(df: DataFrame, how: str) -> DataFrame:
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark).rstrip('/')}/colloquy-{uuid.uuid4().hex}"
         df.write.mode("error").parquet(path)
-        return spark.read.parquet(path)
+        out = spark.read.parquet(path)
+        _WRITTEN[id(out)] = path
+        return out
     if how != "none":
         raise ValueError(f"unknown materialisation {how!r}")
     return df
@@ -115,9 +126,14 @@ class Dashboard:
         return d
 
     def close(self) -> None:
+        """Release the materialised inputs (unpersist, or delete the working tables this run wrote)."""
         for df in self._held:
             if df.is_cached:
                 df.unpersist()
+            path = _WRITTEN.pop(id(df), None)
+            if path is not None:
+                _delete_folder(df.sparkSession, path)
+        self._held.clear()
 
     # -- flat operator outputs ------------------------------------------------
     def conversation_topics(self) -> DataFrame:

@@ -51,3 +51,15 @@ def test_stream_ingest_available_now(spark):
     out = spark.read.parquet(f"{d}/table")
     assert out.count() == 3
     assert {r["tenant_id"] for r in out.select("tenant_id").distinct().collect()} == {"t1", "t2"}
+
+
+def test_table_materialisation_is_removed_on_close(spark):
+    from colloquy.operators.report import checkpoint_dir
+    p = Params(as_of=utc(2024, 2, 14, 12), project_start=dt.date(2024, 1, 1))
+    before = set(os.listdir(checkpoint_dir(spark)))
+    dash = Dashboard.from_tables(make_messages(spark, MSGS), make_conversations(spark, CONVS), p, how="table")
+    assert dash.totals().count() == 2
+    written = set(os.listdir(checkpoint_dir(spark))) - before
+    assert len(written) == 2
+    dash.close()
+    assert set(os.listdir(checkpoint_dir(spark))) == before
