@@ -31,7 +31,8 @@ from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
 from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, is_text,
-                     mention_funnel, topic_distribution, topics_folded, with_buckets, with_text_features)
+                     mention_funnel, topic_counts, topic_distribution, topics_folded, with_buckets,
+                     with_text_features)
 from .words import cloud_folded, word_cloud, word_counts
 
 PIECE_COLUMNS = ("disparos", "alunos_atendidos", "msgs_aluno", "msgs_tcs", "respostas",
@@ -182,7 +183,7 @@ class Dashboard:
         pieces = [
             self.dispatch_kpis(),
             self.message_kpis(),
-            topics_folded(self.topic_distribution()),
+            topics_folded(topic_counts(self.classified_buckets())),
             cloud_folded(self.word_cloud()),
             funnel_folded(self.mention_funnel()),
             quotes_folded(self.sample_quotes()),

@@ -134,22 +134,29 @@ def classified_buckets(conv_topics_b: DataFrame) -> DataFrame:
     return conv_topics_b.select("*", F.explode("buckets").alias("bucket")).drop("buckets")
 
 
+def topic_counts(cb: DataFrame) -> DataFrame:
+    """(tenant_id, bucket, categoria, n): conversations per topic and period."""
+    return cb.groupBy("tenant_id", "bucket", "categoria").agg(F.count(F.lit(1)).alias("n"))
+
+
 def topic_distribution(cb: DataFrame) -> DataFrame:
     """(tenant_id, bucket, categoria, n, pct_tenths): conversations per topic and
     their share of the period in tenths of a percent."""
-    counts = cb.groupBy("tenant_id", "bucket", "categoria").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("tenant_id", "bucket"))
-    return counts.select("*", pct_tenths(F.col("n"), total).alias("pct_tenths"))
+    return topic_counts(cb).select("*", pct_tenths(F.col("n"), total).alias("pct_tenths"))
+
 
+def topics_folded(counts: DataFrame) -> DataFrame:
+    """(tenant_id, bucket, assuntos): array<struct<cat, n, pct>> by n desc, then topic.
 
-def topics_folded(dist: DataFrame) -> DataFrame:
-    """(tenant_id, bucket, assuntos): array<struct<cat, n, pct>> by n desc, then topic."""
+    Takes ``topic_counts``; the period total comes from the same ``groupBy``
+    that folds the list, so no window (and no extra shuffle) is needed."""
     entries = F.array_sort(F.collect_list(F.struct(
-        (-F.col("n")).alias("k"), F.col("categoria").alias("cat"), F.col("n").alias("n"),
-        to_decimal(F.col("pct_tenths"), 1).alias("pct"))))
-    return dist.groupBy("tenant_id", "bucket").agg(
-        F.transform(entries, lambda e: F.struct(e["cat"].alias("cat"), e["n"].alias("n"), e["pct"].alias("pct")))
-        .alias("assuntos"))
+        (-F.col("n")).alias("k"), F.col("categoria").alias("cat"), F.col("n").alias("n"))))
+    folded = counts.groupBy("tenant_id", "bucket").agg(entries.alias("e"), F.sum("n").alias("total"))
+    return folded.select("tenant_id", "bucket", F.transform(F.col("e"), lambda e: F.struct(
+        e["cat"].alias("cat"), e["n"].alias("n"),
+        to_decimal(pct_tenths(e["n"], F.col("total")), 1).alias("pct"))).alias("assuntos"))
 
 
 def mention_funnel(cb: DataFrame) -> DataFrame:
