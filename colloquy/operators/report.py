@@ -47,17 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-_WRITTEN: dict[int, str] = {}  # frames read back from a written working table -> its folder
-
-
 def _delete_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, how: str) -> DataFrame:
-    """Materialise a frame that several operators read.
+def materialize(df: DataFrame, how: str) -> tuple[DataFrame, str | None]:
+    """Materialise a frame that several operators read; returns the frame to
+    use and, for ``table``, the folder written.
 
     ``table``: write Parquet under ``spark.checkpoint.dir`` and read it back
     (columnar, pruned reads, balanced input splits, survives executor loss);
@@ -69,17 +67,15 @@ def materialize(df: DataFrame, how: str) -> DataFrame:
         has_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         how = "table" if has_dir else "cache"
     if how == "cache":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df.persist(StorageLevel.MEMORY_AND_DISK), None
     if how == "table":
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark).rstrip('/')}/colloquy-{uuid.uuid4().hex}"
         df.write.mode("error").parquet(path)
-        out = spark.read.parquet(path)
-        _WRITTEN[id(out)] = path
-        return out
+        return spark.read.parquet(path), path
     if how != "none":
         raise ValueError(f"unknown materialisation {how!r}")
-    return df
+    return df, None
 
 
 @dataclass
@@ -93,7 +89,9 @@ class Dashboard:
     words_k: int = 40
     quotes_k: int = 3
     work: DataFrame | None = None
+    _topics: DataFrame | None = None
     _held: list = field(default_factory=list)
+    _written: list = field(default_factory=list)
 
     @classmethod
     def from_tables(cls, messages: DataFrame, conversations: DataFrame, params: Params,
@@ -105,8 +103,7 @@ class Dashboard:
         if params.tenants is not None:
             tenants = spark.createDataFrame([(t,) for t in params.tenants], "tenant_id string")
         else:
-            tenants = (restrict_tenants(conversations, None).select("tenant_id")
-                       .unionByName(messages.select("tenant_id")).distinct())
+            tenants = conversations.select("tenant_id").unionByName(messages.select("tenant_id")).distinct()
         return cls.from_base(base, params, tenants, pack, how)
 
     @classmethod
@@ -120,21 +117,26 @@ class Dashboard:
         # the shared working copy keeps message text only where an operator reads
         # it (text messages); the team's outgoing messages and notes drop theirs
         work = full.withColumn("content", F.when(is_text(pack), F.col("content")))
-        d.work = materialize(work, how)
-        d._held.append(d.work)
-        d._topics = materialize(with_buckets(conversation_topics(d.work, pack), cal), how)
-        d._held.append(d._topics)
+        d.work = d._materialize(work, how)
+        d._topics = d._materialize(with_buckets(conversation_topics(d.work, pack), cal), how)
         return d
 
+    def _materialize(self, df: DataFrame, how: str) -> DataFrame:
+        out, path = materialize(df, how)
+        self._held.append(out)
+        if path is not None:
+            self._written.append(path)
+        return out
+
     def close(self) -> None:
         """Release the materialised inputs (unpersist, or delete the working tables this run wrote)."""
         for df in self._held:
             if df.is_cached:
                 df.unpersist()
-            path = _WRITTEN.pop(id(df), None)
-            if path is not None:
-                _delete_folder(df.sparkSession, path)
+        for path in self._written:
+            _delete_folder(self.base.sparkSession, path)
         self._held.clear()
+        self._written.clear()
 
     # -- flat operator outputs ------------------------------------------------
     def conversation_topics(self) -> DataFrame:
