@@ -63,3 +63,20 @@ def test_table_materialisation_is_removed_on_close(spark):
     assert len(written) == 2
     dash.close()
     assert set(os.listdir(checkpoint_dir(spark))) == before
+
+
+def test_batch_job_entry_point(spark):
+    from colloquy.__main__ import main
+    d = scratch()
+    write_partitioned(make_messages(spark, MSGS), f"{d}/m")
+    write_partitioned(make_conversations(spark, CONVS), f"{d}/c")
+    main(["--messages", f"{d}/m", "--conversations", f"{d}/c", "--out", f"{d}/docs",
+          "--as-of", "2024-02-14T12:00:00Z", "--project-start", "2024-01-01", "--goal", "30",
+          "--custom-start", "2024-02-01", "--custom-end", "2024-02-12", "--tenant", "t1", "--tenant", "t9"], spark)
+    docs = {}
+    for t in ("t1", "t9"):
+        part = f"{d}/docs/tenant_id={t}"
+        docs[t] = json.loads([ln for f in os.listdir(part) if f.startswith("part-") for ln in open(f"{part}/{f}")][0])
+    assert set(docs["t1"]["periodos"]) == {"d7", "d8_14", "mes_fechado", "custom"}
+    assert docs["t1"]["periodos"]["custom"]["disparos"] == 1
+    assert docs["t9"]["alltime"]["disparos"] == 0
