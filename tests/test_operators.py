@@ -149,3 +149,21 @@ def test_empty_tenant_gets_a_full_document(spark):
         assert per["disparos"] == 0 and per["assuntos"] == [] and per["nuvem"] == [] and per["desafio"] == {}
         assert per["frases"] == {} and per["ritmo"] == [] and per["heatmap"] == []
     assert docs["t"]["periodos"]["d7"]["disparos"] == 1
+
+
+def test_quotes_are_not_time_filtered(spark):
+    # the candidate is from January; the conversation's latest text message puts it in d7
+    msgs = [("t", 1, 1, 0, False, utc(2024, 1, 5, 12), "quero cancelar minha assinatura hoje"),
+            ("t", 1, 2, 0, False, utc(2024, 2, 10, 12), "ok ok ok")]
+    q = dash(spark, msgs).sample_quotes().collect()
+    assert [(r["bucket"], r["content"]) for r in q] == [("d7", "quero cancelar minha assinatura hoje")]
+
+
+def test_null_contact_dispatch_counts_without_a_student(spark):
+    msgs = [("t", 1, 1, 1, True, utc(2024, 2, 10), None), ("t", 2, 2, 1, True, utc(2024, 2, 10), None)]
+    convs = [("t", 1, None, "Ana"), ("t", 2, 20, "Bia")]
+    d = dash(spark, msgs, convs)
+    k = d.dispatch_kpis().where("bucket = 'd7'").first()
+    assert (k["disparos"], k["alunos_atendidos"]) == (2, 1)
+    t = d.totals().first()
+    assert (t["disparos"], t["alunos"]) == (2, 1)
