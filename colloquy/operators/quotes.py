@@ -38,7 +38,7 @@ def quote_picks(base: DataFrame, conv_topics_b: DataFrame, pack: RulePack) -> Da
     cand = quote_candidates(base, pack).where(~F.col("mcat").isin(*pack.no_quote_topics))
     best = cand.groupBy("tenant_id", "conversation_id", F.col("mcat").alias("categoria")).agg(
         F.min(F.struct("h", "message_id", "content")).alias("pick"))
-    convs = conv_topics_b.where(~F.col("categoria").isin(*pack.no_quote_topics)).select(
+    convs = conv_topics_b.where(~F.col("categoria").isin(*pack.no_quote_topics) & (F.size("buckets") > 0)).select(
         "tenant_id", "conversation_id", "categoria", "buckets")
     return best.join(convs, ["tenant_id", "conversation_id", "categoria"]).select(
         "tenant_id", "conversation_id", "categoria", "buckets",

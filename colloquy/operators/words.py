@@ -37,7 +37,8 @@ def word_counts(base: DataFrame, conv_buckets: DataFrame, pack: RulePack, min_le
 
     ``conv_buckets``: one row per (tenant_id, conversation_id) with a ``buckets`` array."""
     cw = conversation_words(base, pack, min_len)
-    cb = conv_buckets.select("tenant_id", "conversation_id", "buckets")
+    # only conversations inside some period contribute; old ones drop out at the join
+    cb = conv_buckets.where(F.size("buckets") > 0).select("tenant_id", "conversation_id", "buckets")
     return (cw.join(cb, ["tenant_id", "conversation_id"])
             .select("tenant_id", F.explode("buckets").alias("bucket"), "word", "n")
             .groupBy("tenant_id", "bucket", "word").agg(F.sum("n").alias("n"))
