@@ -12,7 +12,7 @@ quotient, 1 digit, a/b   ``(20*a + b) div (2*b)`` tenths
 round(a*m/b)             ``(2*m*a + b) div (2*b)``
 =======================  ==========================================
 
-A zero or negative denominator gives 0, the reference's ``ELSE 0`` branch.
+A zero or negative denominator gives 0 (the report's ``ELSE 0`` branch).
 """
 
 from __future__ import annotations
