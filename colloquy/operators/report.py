@@ -25,6 +25,7 @@ from ..functions.ratio import pct_tenths, quot_hundredths, to_decimal
 from ..params import Params
 from ..plans.calendar import Calendar, build_calendar
 from ..plans.rules import REFERENCE_PACK, RulePack
+from ..sources.tables import spread
 from .base import base_messages, restrict_tenants
 from .kpis import dispatch_kpis, goal_constants, goal_metrics, message_kpis, totals
 from .periods import period_spine
@@ -97,7 +98,7 @@ class Dashboard:
     def from_tables(cls, messages: DataFrame, conversations: DataFrame, params: Params,
                     pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
         # per-message regex features on the scan side, before the join shuffles by conversation
-        msgs = with_text_features(restrict_tenants(messages, params.tenants), pack)
+        msgs = with_text_features(spread(restrict_tenants(messages, params.tenants)), pack)
         base = base_messages(msgs, conversations, params.exclude_patterns, params.tenants)
         spark = messages.sparkSession
         if params.tenants is not None:
@@ -110,7 +111,7 @@ class Dashboard:
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
                   pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
         cal = build_calendar(params)
-        full = with_text_features(base, pack)
+        full = with_text_features(base if "rule_idx" in base.columns else spread(base), pack)
         if tenants is None:
             tenants = full.select("tenant_id").distinct()
         d = cls(base=full, cal=cal, tenants=tenants, pack=pack)

@@ -23,6 +23,7 @@ from ..operators.topics import classify
 from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
 from ..plans.rules import REFERENCE_PACK
+from ..sources.tables import spread
 from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_conversations,
                                 chat_messages, event_base)
 
@@ -123,13 +124,17 @@ def conversation_text(spark, sf_dir):
                                      "texto_chars")
 
 
+def documents(spark, sf_dir):
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def topic_rules(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", classify(F.col("text"), TEST_PACK).alias("topic"))
 
 
 def topic_rules_guarded(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", classify(F.col("text"), TEST_PACK_GUARDED).alias("topic"))
 
 
@@ -205,8 +210,8 @@ def summary_json(spark, sf_dir):
 
 
 def reference_rules_documents(spark, sf_dir):
-    """The report's own rules on whole documents, with mention/engagement flags."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The report's own rules on whole documents, with the mention flag."""
+    d = documents(spark, sf_dir)
     t = F.col("text")
     return d.select("doc_id", classify(t, REFERENCE_PACK).alias("topic"),
                     matches(t, REFERENCE_PACK.mention).alias("menciona_desafio"))

@@ -54,3 +54,13 @@ def write_documents(summary_json: DataFrame, path: str, mode: str = "overwrite")
     """Sink of the report: one JSON document per tenant (``tenant_id``, ``doc``)
     as text files partitioned by tenant."""
     summary_json.select("tenant_id", "doc").write.mode(mode).partitionBy("tenant_id").format("text").save(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Guard for CPU-heavy row-local work (regexes over whole texts): when the
+    input arrives in fewer partitions than the cluster runs tasks in parallel
+    (a small table, or one written as a single row group, which Spark cannot
+    split), deal it round-robin over that many partitions. Large tables already
+    arrive in at least that many splits, so this adds no shuffle at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
