@@ -40,11 +40,21 @@ PIECE_COLUMNS = ("disparos", "alunos_atendidos", "msgs_aluno", "msgs_tcs", "resp
                  "assuntos", "nuvem", "desafio", "frases", "ritmo", "heatmap")
 
 
+def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext on this session (e.g. Spark Connect)
+            d = None
+    return d or None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = _configured_checkpoint_dir(spark)
     if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder (or use materialize='cache')")
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder (or use how='cache')")
     return d
 
 
@@ -64,9 +74,7 @@ def materialize(df: DataFrame, how: str) -> tuple[DataFrame, str | None]:
     lineage); ``none``: leave lazy; ``auto``: ``table`` when the session names a
     checkpoint folder, else ``cache``."""
     if how == "auto":
-        spark = df.sparkSession
-        has_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        how = "table" if has_dir else "cache"
+        how = "table" if _configured_checkpoint_dir(df.sparkSession) else "cache"
     if how == "cache":
         return df.persist(StorageLevel.MEMORY_AND_DISK), None
     if how == "table":

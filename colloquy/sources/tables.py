@@ -61,6 +61,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     input arrives in fewer partitions than the cluster runs tasks in parallel
     (a small table, or one written as a single row group, which Spark cannot
     split), deal it round-robin over that many partitions. Large tables already
-    arrive in at least that many splits, so this adds no shuffle at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    arrive in at least that many splits, so this adds no shuffle at scale.
+    (Without RDD access, e.g. over Spark Connect, the frame is left as is.)"""
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext / RDD API on this session
+        return df
+    return df.repartition(target) if current < target else df
