@@ -125,7 +125,7 @@ def factor_by_first_atom(keywords: str) -> str:
     order: list[str] = []
     for a in alts:
         split = _split_first_atom(a)
-        key = split[0].lower() if split else "\0" + a
+        key = split[0] if split else "\0" + a  # exact atom text: no case mapping of the pattern
         if key not in groups:
             groups[key] = []
             order.append(key)
