@@ -59,9 +59,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _delete_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Remove a working table this run wrote (best effort: a leftover folder only costs space)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        pass
 
 
 def materialize(df: DataFrame, how: str) -> tuple[DataFrame, str | None]:
