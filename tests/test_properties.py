@@ -89,3 +89,31 @@ def test_custom_bucket_present_everywhere_it_applies(chat):
     assert {r["bucket"] for r in chat.period_spine().collect()} == {"d7", "d8_14", "mes_fechado", "custom"}
     assert "custom" in {r["bucket"] for r in chat.message_kpis().collect()}
     assert all(isinstance(r["ts"], dt.datetime) for r in chat.base.select("ts").limit(3).collect())
+
+
+# Counts recorded in FIXTURES.md before any operator existed (messages per period before exclusion).
+FIXTURE_CHAT = {"0.001": (87, 20, 11, 51, 5, 1), "0.01": (536, 99, 79, 361, 24, 2), "0.1": (5012, 843, 756, 3487, 304, 44)}
+FIXTURE_EVENTS = {"0.001": (54, 192, 995), "0.01": (486, 2348, 9951)}
+
+
+@pytest.mark.parametrize("sf", sorted(FIXTURE_CHAT))
+def test_adapter_counts_match_fixtures(spark, sf):
+    import dataclasses
+
+    from colloquy.operators.periods import assign_periods
+    from colloquy.sources.testdata import CHAT_PARAMS
+
+    d = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("missing")
+    m = chat_messages(spark, d)
+    cal = build_calendar(CHAT_PARAMS)
+    per = collections.Counter(r["bucket"] for r in assign_periods(m, "ts", cal).select("bucket").collect())
+    disp = m.where("kind = 1 AND is_private")
+    got = (m.count(), per["d7"], per["d8_14"], per["mes_fechado"], disp.count(),
+           assign_periods(disp, "ts", cal, only=("d7",)).count())
+    assert got == FIXTURE_CHAT[sf]
+    if sf in FIXTURE_EVENTS:
+        ecal = build_calendar(dataclasses.replace(EVENT_PARAMS, custom_start=None, custom_end=None))
+        ev = collections.Counter(r["bucket"] for r in assign_periods(event_base(spark, d), "ts", ecal).select("bucket").collect())
+        assert (ev["d7"], ev["d8_14"], ev["mes_fechado"]) == FIXTURE_EVENTS[sf]
