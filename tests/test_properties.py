@@ -117,3 +117,15 @@ def test_adapter_counts_match_fixtures(spark, sf):
         ecal = build_calendar(dataclasses.replace(EVENT_PARAMS, custom_start=None, custom_end=None))
         ev = collections.Counter(r["bucket"] for r in assign_periods(event_base(spark, d), "ts", ecal).select("bucket").collect())
         assert (ev["d7"], ev["d8_14"], ev["mes_fechado"]) == FIXTURE_EVENTS[sf]
+
+
+def test_rule_hits_match_fixtures(spark):
+    """Per-rule hit counts of the test pack over user messages at sf0.01 (FIXTURES.md)."""
+    from pyspark.sql import functions as F
+
+    from colloquy.functions.regex import matches
+    from colloquy.sources.testdata import TEST_PACK
+
+    users = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'")
+    assert users.count() == 279
+    assert [users.where(matches(F.col("text"), r.keywords)).count() for r in TEST_PACK.rules] == [26, 69, 60, 31, 95]
