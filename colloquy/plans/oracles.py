@@ -392,7 +392,7 @@ f AS (SELECT tenant_id, bucket, COUNT(*) AS n_frases FROM fq GROUP BY 1, 2),
 rt AS (SELECT m.tenant_id, p.bucket, COUNT(DISTINCT CAST({loc('m.ts', tz)} AS DATE)) AS n_ritmo
        FROM base m JOIN periods p ON {in_period()}
        WHERE p.bucket IN ('d7', 'd8_14', 'custom') AND m.is_private = false AND m.kind IN (0, 1) GROUP BY 1, 2),
-hm AS (SELECT DISTINCT m.tenant_id, p.bucket, 24 AS n_heatmap FROM base m JOIN periods p ON {in_period()}
+hm AS (SELECT DISTINCT m.tenant_id, p.bucket, CAST(24 AS BIGINT) AS n_heatmap FROM base m JOIN periods p ON {in_period()}
        WHERE p.bucket IN ('d7', 'custom') AND m.is_private = false AND m.kind = 0)""", params=params) + f"""
 SELECT t.tenant_id, p.bucket, l.label, l.sublabel,
   COALESCE(k.disparos, 0) AS disparos, COALESCE(mm.respostas, 0) AS respostas,

@@ -10,6 +10,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
@@ -38,6 +39,10 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = _rows(tuple(r[c] for c in cols) for r in df.collect())
+    rel = duck.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    assert spark_types == duck_types  # same names and the same integer widths
     cur = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == cols
