@@ -204,6 +204,41 @@ def period_report(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
     )
 
 
+def _leaves(c, dtype, path):
+    """array<struct<path, num, txt>> of every leaf under column ``c``."""
+    from pyspark.sql import types as T
+
+    if isinstance(dtype, T.StructType):
+        return F.concat(*[_leaves(c[f.name], f.dataType, F.concat(path, F.lit("." + f.name))) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return F.flatten(F.transform(c, lambda x, i: _leaves(
+            x, dtype.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    if isinstance(dtype, T.MapType):
+        return F.flatten(F.transform(F.map_entries(c), lambda e: _leaves(
+            e["value"], dtype.valueType, F.concat(path, F.lit("."), e["key"]))))
+    if isinstance(dtype, T.StringType):
+        num, txt = F.lit(None).cast("double"), c
+    else:
+        num, txt = c.cast("double"), F.lit(None).cast("string")
+    return F.array(F.struct(path.alias("path"), num.alias("num"), txt.alias("txt")))
+
+
+def document_leaves(doc: DataFrame, key: str = "tenant_id") -> DataFrame:
+    """Every leaf of a nested document as (key, path, num, txt): struct fields
+    become ``.name``, map entries ``.key`` and array elements ``[i]`` (0-based,
+    in array order); numbers go to ``num`` (DOUBLE), text to ``txt``. Empty
+    arrays and maps contribute no rows; NULL leaves keep their row. One
+    projection of higher-order functions and one explode: the document is
+    computed once."""
+    parts = [_leaves(F.col(f.name), f.dataType, F.lit(f.name)) for f in doc.schema.fields if f.name != key]
+    return doc.select(key, F.explode(F.concat(*parts)).alias("l")).select(key, "l.path", "l.num", "l.txt")
+
+
+def summary_leaves(spark, sf_dir):
+    """The whole document (report's own rule pack), one row per leaf."""
+    return document_leaves(chat(spark, sf_dir, pack=REFERENCE_PACK).summary())
+
+
 def summary_json(spark, sf_dir):
     """The whole document with the report's own rule pack (rows-only check)."""
     return chat(spark, sf_dir, pack=REFERENCE_PACK).summary_json()
@@ -251,5 +286,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_cloud_reference": lambda spark, sf_dir: word_cloud(spark, sf_dir, pack=REFERENCE_PACK),
     "period_report_reference": lambda spark, sf_dir: period_report(spark, sf_dir, pack=REFERENCE_PACK),
     "summary_json": summary_json,
+    "summary_leaves": summary_leaves,
     "reference_rules_documents": reference_rules_documents,
 }

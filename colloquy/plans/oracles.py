@@ -317,6 +317,7 @@ LEFT JOIN hb ON hb.tenant_id = ob.tenant_id AND hb.bucket = ob.bucket AND hb.h =
     o["period_report_custom"] = period_report_sql(CHAT_CUSTOM_PARAMS, tp)
     o["word_cloud_reference"] = word_cloud_sql(CHAT_PARAMS, REFERENCE_PACK)
     o["period_report_reference"] = period_report_sql(CHAT_PARAMS, REFERENCE_PACK)
+    o["summary_leaves"] = summary_leaves_sql(CHAT_PARAMS, REFERENCE_PACK)
     return o
 
 
@@ -411,3 +412,119 @@ LEFT JOIN nv ON nv.tenant_id = t.tenant_id AND nv.bucket = p.bucket
 LEFT JOIN f ON f.tenant_id = t.tenant_id AND f.bucket = p.bucket
 LEFT JOIN rt ON rt.tenant_id = t.tenant_id AND rt.bucket = p.bucket
 LEFT JOIN hm ON hm.tenant_id = t.tenant_id AND hm.bucket = p.bucket"""
+
+
+def summary_leaves_sql(params: Params, pack: RulePack) -> str:
+    """The whole document as (tenant_id, path, num, txt) leaf rows, built in SQL."""
+    tz = params.tz
+    months = ", ".join(f"'{m}'" for m in ("Jan", "Fev", "Mar", "Abr", "Mai", "Jun", "Jul", "Ago", "Set", "Out", "Nov", "Dez"))
+    no_q = _no_quote(pack)
+    ctes = chat_with(_period_labels(params), text_cte(pack), words_cte(pack), mc_cte(pack), TOTALS, f"""
+sp AS (SELECT t.tenant_id, p.bucket, l.label, l.sublabel FROM tenants t JOIN periods p ON TRUE
+       JOIN labels l ON l.bucket = p.bucket),
+k AS (SELECT m.tenant_id, p.bucket, COUNT(*) AS disparos, COUNT(DISTINCT m.contact_id) AS alunos
+      FROM base m JOIN periods p ON {in_period()} WHERE m.kind = 1 AND m.is_private = true GROUP BY 1, 2),
+mm AS (SELECT m.tenant_id, p.bucket, COUNT(*) FILTER (WHERE m.kind = 0) AS msgs_aluno,
+              COUNT(*) FILTER (WHERE m.kind = 1) AS msgs_tcs,
+              COUNT(DISTINCT m.conversation_id) FILTER (WHERE m.kind = 0) AS respostas
+       FROM base m JOIN periods p ON {in_period()} WHERE m.is_private = false AND m.kind IN (0, 1) GROUP BY 1, 2),
+per_v AS (SELECT sp.tenant_id, sp.bucket,
+          CAST(COALESCE(k.disparos, 0) AS DOUBLE) AS disparos, CAST(COALESCE(mm.respostas, 0) AS DOUBLE) AS respostas,
+          {pct('COALESCE(mm.respostas, 0)', 'COALESCE(k.disparos, 0)')} AS taxa_resp,
+          CAST(COALESCE(k.alunos, 0) AS DOUBLE) AS alunos_atendidos,
+          CASE WHEN COALESCE(k.alunos, 0) > 0 THEN CAST((200 * k.disparos + k.alunos) // (2 * k.alunos) AS DOUBLE) / 100
+               ELSE 0 END AS disparos_por_aluno,
+          CAST(COALESCE(mm.msgs_aluno, 0) AS DOUBLE) AS msgs_aluno, CAST(COALESCE(mm.msgs_tcs, 0) AS DOUBLE) AS msgs_tcs
+        FROM sp LEFT JOIN k ON k.tenant_id = sp.tenant_id AND k.bucket = sp.bucket
+        LEFT JOIN mm ON mm.tenant_id = sp.tenant_id AND mm.bucket = sp.bucket),
+tc AS (SELECT tenant_id, bucket, categoria, n, total,
+              ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY n DESC, categoria) - 1 AS i
+       FROM (SELECT tenant_id, bucket, categoria, COUNT(*) AS n,
+                    SUM(COUNT(*)) OVER (PARTITION BY tenant_id, bucket) AS total
+             FROM cb GROUP BY tenant_id, bucket, categoria) x),
+wr AS (SELECT * FROM (SELECT tenant_id, bucket, word, n,
+                             ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY n DESC, word) - 1 AS i
+                      FROM wc) x WHERE i < 40),
+fun AS (SELECT tenant_id, bucket, COUNT(*) AS n_conversas, COUNT(*) FILTER (WHERE menciona_desafio) AS n_m,
+               COUNT(*) FILTER (WHERE engajou) AS n_e FROM cb GROUP BY 1, 2),
+des_v AS (SELECT sp.tenant_id, sp.bucket, CAST(fun.n_m AS DOUBLE) AS n_mencionou,
+               CASE WHEN fun.n_m IS NULL THEN NULL ELSE {pct('fun.n_m', 'fun.n_conversas')} END AS pct_mencionou,
+               CAST(fun.n_e AS DOUBLE) AS n_engajou,
+               CASE WHEN fun.n_m IS NULL THEN NULL ELSE {pct('fun.n_e', 'fun.n_m')} END AS pct_engajou
+        FROM sp LEFT JOIN fun ON fun.tenant_id = sp.tenant_id AND fun.bucket = sp.bucket),
+fr AS (SELECT mc.tenant_id, mc.conversation_id, mc.content, cb.categoria, cb.bucket,
+              ROW_NUMBER() OVER (PARTITION BY mc.tenant_id, mc.conversation_id, cb.categoria, cb.bucket
+                                 ORDER BY md5(mc.content), mc.message_id) AS k
+       FROM mc JOIN cb ON cb.tenant_id = mc.tenant_id AND cb.conversation_id = mc.conversation_id AND cb.categoria = mc.mcat
+       WHERE cb.categoria NOT IN ({no_q})),
+qr AS (SELECT * FROM (SELECT tenant_id, bucket, categoria, content,
+                             ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket, categoria
+                                                ORDER BY md5(content), conversation_id) - 1 AS i
+                      FROM fr WHERE k = 1) x WHERE i < 3),
+rd AS (SELECT m.tenant_id, p.bucket, CAST({loc('m.ts', tz)} AS DATE) AS dia,
+              COUNT(*) FILTER (WHERE m.kind = 0) AS rec, COUNT(*) FILTER (WHERE m.kind = 1) AS env
+       FROM base m JOIN periods p ON {in_period()}
+       WHERE p.bucket IN ('d7', 'd8_14', 'custom') AND m.is_private = false AND m.kind IN (0, 1) GROUP BY 1, 2, 3),
+rr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY dia) - 1 AS i FROM rd),
+hb AS (SELECT m.tenant_id, p.bucket, CAST(hour({loc('m.ts', tz)}) AS INTEGER) AS h, COUNT(*) AS n
+       FROM base m JOIN periods p ON {in_period()}
+       WHERE p.bucket IN ('d7', 'custom') AND m.is_private = false AND m.kind = 0 GROUP BY 1, 2, 3),
+ob AS (SELECT DISTINCT tenant_id, bucket FROM hb),
+hm AS (SELECT ob.tenant_id, ob.bucket, CAST(g.h AS INTEGER) AS h, COALESCE(hb.n, 0) AS n
+       FROM ob JOIN range(24) g(h) ON TRUE
+       LEFT JOIN hb ON hb.tenant_id = ob.tenant_id AND hb.bucket = ob.bucket AND hb.h = g.h),
+all_v AS (SELECT t.tenant_id,
+         CAST(COALESCE(disparos, 0) AS DOUBLE) AS disparos, CAST(COALESCE(respostas, 0) AS DOUBLE) AS respostas,
+         {pct('COALESCE(respostas, 0)', 'COALESCE(disparos, 0)')} AS taxa_resp,
+         CAST(COALESCE(alunos, 0) AS DOUBLE) AS alunos_atendidos,
+         CASE WHEN COALESCE(alunos, 0) > 0 THEN CAST((200 * disparos + alunos) // (2 * alunos) AS DOUBLE) / 100
+              ELSE 0 END AS disparos_por_aluno,
+         CAST(COALESCE(conversas_unicas, 0) AS DOUBLE) AS conversas_unicas,
+         CAST((2 * dias * goal + 30) // 60 AS DOUBLE) AS meta_proporcional,
+         CASE WHEN dias > 0 AND goal > 0
+              THEN CAST((60000 * COALESCE(disparos, 0) + dias * goal) // (2 * dias * goal) AS DOUBLE) / 10 ELSE 0 END
+           AS pct_meta,
+         CASE WHEN dias > 0 THEN CAST((20 * COALESCE(disparos, 0) + dias) // (2 * dias) AS DOUBLE) / 10 ELSE 0 END
+           AS pace_diario
+       FROM tenants t LEFT JOIN tot ON tot.tenant_id = t.tenant_id JOIN cfg ON TRUE),
+mon_v AS (SELECT t.tenant_id,
+         CAST(COALESCE(mes_disparos, 0) AS DOUBLE) AS disparos, CAST(COALESCE(mes_respostas, 0) AS DOUBLE) AS respostas,
+         {pct('COALESCE(mes_respostas, 0)', 'COALESCE(mes_disparos, 0)')} AS taxa_resp,
+         CAST(COALESCE(mes_alunos, 0) AS DOUBLE) AS alunos_atendidos,
+         CAST(dias_mes AS DOUBLE) AS dias_decorridos, CAST(goal AS DOUBLE) AS meta,
+         CAST((2 * dias_mes * goal + 30) // 60 AS DOUBLE) AS meta_proporcional,
+         CASE WHEN dias_mes > 0 AND goal > 0
+              THEN CAST((60000 * COALESCE(mes_disparos, 0) + dias_mes * goal) // (2 * dias_mes * goal) AS DOUBLE) / 10
+              ELSE 0 END AS pct_meta,
+         CASE WHEN dias_mes > 0 THEN CAST((60 * COALESCE(mes_disparos, 0) + dias_mes) // (2 * dias_mes) AS DOUBLE)
+              ELSE 0 END AS projecao_fim_mes
+       FROM tenants t LEFT JOIN tot ON tot.tenant_id = t.tenant_id JOIN cfg ON TRUE)""", params=params)
+    pre = "'periodos.' || bucket || '."
+    return ctes + f"""
+SELECT t.tenant_id, 'atualizado_em' AS path, CAST(NULL AS DOUBLE) AS num, strftime(l_now, '%Y-%m-%d %H:%M') AS txt
+  FROM tenants t JOIN cfg ON TRUE
+UNION ALL SELECT t.tenant_id, 'inicio_projeto', NULL, strftime(DATE '{params.project_start}', '%Y-%m-%d') FROM tenants t
+UNION ALL SELECT t.tenant_id, 'meta_mensal', CAST(goal AS DOUBLE), NULL FROM tenants t JOIN cfg ON TRUE
+UNION ALL SELECT t.tenant_id, 'dias_corridos', CAST(dias AS DOUBLE), NULL FROM tenants t JOIN cfg ON TRUE
+UNION ALL SELECT tenant_id, 'alltime.' || name, value, NULL FROM (UNPIVOT all_v ON COLUMNS(* EXCLUDE (tenant_id))
+                                                                   INTO NAME name VALUE value)
+UNION ALL SELECT tenant_id, 'mes_atual.' || name, value, NULL FROM (UNPIVOT mon_v ON COLUMNS(* EXCLUDE (tenant_id))
+                                                                     INTO NAME name VALUE value)
+UNION ALL SELECT t.tenant_id, 'mes_atual.label', NULL,
+                 ([{months}])[month(l_now)] || '/' || strftime(l_now, '%y') FROM tenants t JOIN cfg ON TRUE
+UNION ALL SELECT tenant_id, {pre}label', NULL, label FROM sp
+UNION ALL SELECT tenant_id, {pre}sublabel', NULL, sublabel FROM sp
+UNION ALL SELECT tenant_id, {pre}' || name, value, NULL FROM (UNPIVOT per_v ON COLUMNS(* EXCLUDE (tenant_id, bucket))
+                                                              INTO NAME name VALUE value)
+UNION ALL SELECT tenant_id, {pre}assuntos[' || i || '].cat', NULL, categoria FROM tc
+UNION ALL SELECT tenant_id, {pre}assuntos[' || i || '].n', CAST(n AS DOUBLE), NULL FROM tc
+UNION ALL SELECT tenant_id, {pre}assuntos[' || i || '].pct', {pct('n', 'total')}, NULL FROM tc
+UNION ALL SELECT tenant_id, {pre}nuvem[' || i || '].w', NULL, word FROM wr
+UNION ALL SELECT tenant_id, {pre}nuvem[' || i || '].n', CAST(n AS DOUBLE), NULL FROM wr
+UNION ALL SELECT tenant_id, {pre}desafio.' || name, value, NULL
+  FROM des_v UNPIVOT INCLUDE NULLS (value FOR name IN (n_mencionou, pct_mencionou, n_engajou, pct_engajou))
+UNION ALL SELECT tenant_id, {pre}frases.' || categoria || '[' || i || ']', NULL, content FROM qr
+UNION ALL SELECT tenant_id, {pre}ritmo[' || i || '].dia', NULL, strftime(dia, '%d/%m') FROM rr
+UNION ALL SELECT tenant_id, {pre}ritmo[' || i || '].rec', CAST(rec AS DOUBLE), NULL FROM rr
+UNION ALL SELECT tenant_id, {pre}ritmo[' || i || '].env', CAST(env AS DOUBLE), NULL FROM rr
+UNION ALL SELECT tenant_id, {pre}heatmap[' || h || ']', CAST(n AS DOUBLE), NULL FROM hm"""
