@@ -17,8 +17,6 @@ A zero or negative denominator gives 0 (the report's ``ELSE 0`` branch).
 
 from __future__ import annotations
 
-import decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +59,3 @@ def to_decimal(units: Column, scale: int) -> Column:
 def to_double(units: Column, scale: int) -> Column:
     """Integer units of ``10**-scale`` as DOUBLE (``units / 10**scale``)."""
     return units.cast("double") / F.lit(float(10**scale))
-
-
-def round_half_up(value: decimal.Decimal, digits: int = 0) -> decimal.Decimal:
-    """Driver-side rounding of parameter-only quantities (half away from zero)."""
-    q = decimal.Decimal(1).scaleb(-digits)
-    return value.quantize(q, rounding=decimal.ROUND_HALF_UP)

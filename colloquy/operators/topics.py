@@ -67,7 +67,7 @@ def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
     mentions / engages  challenge mention / engagement phrase present
     quote_ok      quote length and not an auto-reply
     """
-    if "rule_idx" in df.columns:
+    if all(c in df.columns for c in TEXT_FEATURES):
         return df
     c = F.col("content")
     txt = is_text(pack)
