@@ -80,3 +80,14 @@ def test_batch_job_entry_point(spark):
     assert set(docs["t1"]["periodos"]) == {"d7", "d8_14", "mes_fechado", "custom"}
     assert docs["t1"]["periodos"]["custom"]["disparos"] == 1
     assert docs["t9"]["alltime"]["disparos"] == 0
+
+
+def test_spread_only_rebalances_under_partitioned_inputs(spark):
+    from colloquy.sources.tables import spread
+
+    par = spark.sparkContext.defaultParallelism
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == par
+    many = spark.range(1000).repartition(par * 2)
+    assert spread(many) is many  # enough splits already: no extra shuffle
+    assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
