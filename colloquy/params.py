@@ -32,7 +32,8 @@ class Params:
     ``custom_start``/``custom_end`` are local calendar dates, the end inclusive;
     the ``custom`` period exists only when both are given.
     ``tenants`` restricts the run (and fixes the set of documents produced even
-    for tenants without any rows); ``None`` means every tenant found in the data.
+    for tenants without any rows); ``None`` means every tenant of the
+    conversations table.
     """
 
     as_of: dt.datetime = field(default_factory=_now_utc)
