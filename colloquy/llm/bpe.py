@@ -43,7 +43,7 @@ from .common import ship
 #: Words in the lexicon.
 LEXICON = 1 << 15
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 18
 #: Characters of text handled at once.
 CHUNK = 1 << 20
 
