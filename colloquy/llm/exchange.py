@@ -41,9 +41,9 @@ def send(h1: np.ndarray, h2: np.ndarray | None, k: np.ndarray, pos: np.ndarray,
             for a, b in zip(cut[::64], np.append(cut[64::64], len(tk))):  # some documents a row
                 rows.append((int(tk[a]) % buckets, b"", b"", b"", tk[a:b].tobytes(), tp[a:b].astype(np.int32).tobytes()))
         h1, k, pos, again = h1[at], k[at], pos[at], (size > 1)
-        h2 = h2[at] if h2 is not None else None
+        h2 = h2[at].astype(np.uint32) if h2 is not None else None  # 64 + 32 bits are exchanged
         bucket = ((h1 >> U64(32)) % U64(buckets)).astype(np.int64)
-        o = np.argsort(bucket, kind="stable")
+        o = np.lexsort((pos, k, bucket))  # by document: keys and places compress well
         bucket, h1, k, pos, again = bucket[o], h1[o].astype(h1_type), k[o], pos[o].astype(np.int32), again[o]
         h2 = h2[o] if h2 is not None else None
         cut = np.append(np.append(0, np.flatnonzero(np.diff(bucket)) + 1), len(bucket))
@@ -61,7 +61,7 @@ def repeated(table: pa.Table, h1_type=np.uint64) -> pa.Table:
             done_pos.append(np.frombuffer(e, np.int32))
             continue
         h1.append(np.frombuffer(a, h1_type))
-        h2.append(np.frombuffer(b, np.uint64))
+        h2.append(np.frombuffer(b, np.uint32))
         again.append(np.unpackbits(np.frombuffer(c, np.uint8))[: len(h1[-1])])
         k.append(np.frombuffer(d, np.int64))
         pos.append(np.frombuffer(e, np.int32))

@@ -6,7 +6,7 @@ d < 21 with p + d and q + d both on cover positions. So if the same window
 stands at p and q, the 15 words from p + d and from q + d are equal *anchors*:
 only anchors at cover positions (5 of 21) are hashed and exchanged, windows
 that hold no repeated anchor are never looked at again, and the others are
-decided by a 128-bit hash of all their 35 words (the extension). Every word
+decided by a 96-bit hash of all their 35 words (the extension). Every word
 covered by a window that also starts elsewhere is removed, in all its places.
 
 Both exchanges (``exchange.py``) are per-bucket tasks over packed rows; no
