@@ -34,9 +34,9 @@ from .words import U64, chunks, mix
 ORDER = 5
 END, START, SYMBOLS = 256, 257, 258
 BITS = 9
-GROUP = 12 << 20
+GROUP = 8 << 20
 #: Largest dense table of a trie level; beyond it a level is numbered by sorting.
-DENSE = 1 << 25
+DENSE = 1 << 24
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, v long"
 
