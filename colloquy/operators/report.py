@@ -25,7 +25,6 @@ from ..functions.ratio import pct_tenths, quot_hundredths, to_decimal
 from ..params import Params
 from ..plans.calendar import Calendar, build_calendar
 from ..plans.rules import REFERENCE_PACK, RulePack
-from ..sources.tables import spread
 from .base import base_messages, restrict_tenants
 from .kpis import dispatch_kpis, goal_constants, goal_metrics, message_kpis, totals
 from .periods import period_spine
@@ -75,10 +74,7 @@ def materialize(df: DataFrame, how: str) -> tuple[DataFrame, str | None]:
     ``table``: write Parquet under ``spark.checkpoint.dir`` and read it back
     (columnar, pruned reads, balanced input splits, survives executor loss);
     ``cache``: persist MEMORY_AND_DISK (lost blocks are recomputed from
-    lineage); ``none``: leave lazy; ``auto``: ``table`` when the session names a
-    checkpoint folder, else ``cache``."""
-    if how == "auto":
-        how = "table" if _configured_checkpoint_dir(df.sparkSession) else "cache"
+    lineage); ``none``: leave lazy. The caller chooses; nothing switches by itself."""
     if how == "cache":
         return df.persist(StorageLevel.MEMORY_AND_DISK), None
     if how == "table":
@@ -108,13 +104,13 @@ class Dashboard:
 
     @classmethod
     def from_tables(cls, messages: DataFrame, conversations: DataFrame, params: Params,
-                    pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
+                    pack: RulePack = REFERENCE_PACK, how: str = "table") -> "Dashboard":
         # per-message regex features on the scan side, before the join shuffles by conversation
-        msgs = with_text_features(spread(restrict_tenants(messages, params.tenants)), pack)
+        msgs = with_text_features(restrict_tenants(messages, params.tenants), pack)
         base = base_messages(msgs, conversations, params.exclude_patterns, params.tenants)
         spark = messages.sparkSession
         if params.tenants is not None:
-            tenants = spark.createDataFrame([(t,) for t in params.tenants], "tenant_id string")
+            tenants = spark.createDataFrame([(t,) for t in dict.fromkeys(params.tenants)], "tenant_id string")
         else:
             # every tenant with a counted row has conversations (the base is an inner join
             # on them), so the conversation table alone names the tenants: no message scan
@@ -123,9 +119,9 @@ class Dashboard:
 
     @classmethod
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
-                  pack: RulePack = REFERENCE_PACK, how: str = "auto") -> "Dashboard":
+                  pack: RulePack = REFERENCE_PACK, how: str = "table") -> "Dashboard":
         cal = build_calendar(params)
-        full = with_text_features(base if "rule_idx" in base.columns else spread(base), pack)
+        full = with_text_features(base, pack)
         if tenants is None:
             tenants = full.select("tenant_id").distinct()
         d = cls(base=full, cal=cal, tenants=tenants, pack=pack)
@@ -305,6 +301,6 @@ class Dashboard:
 
 
 def summary(messages: DataFrame, conversations: DataFrame, params: Params, pack: RulePack = REFERENCE_PACK,
-            how: str = "auto") -> DataFrame:
+            how: str = "table") -> DataFrame:
     """Convenience: the per-tenant document for ``params``."""
     return Dashboard.from_tables(messages, conversations, params, pack, how).summary()

@@ -2,10 +2,12 @@
 
 A conversation's text is its public incoming messages of at least
 ``min_text_len`` characters. Its topic is the first rule (in pack order) that
-matches that text anywhere. Because no pack pattern can match across the
-``' | '`` joint, "rule r matches the joined text" equals "rule r matches one of
-its messages", so the topic is the minimum over messages of each message's
-first-match index. That turns classification into a row-local regex ``CASE``
+matches that text anywhere. No pack pattern can match across the ``|`` of the
+joint ``' | '``, but one that ends in a space can take the joint's space: "rule
+r matches the joined text" equals "rule r matches one of its messages, or one
+of them but the last, followed by a space". So the topic is the minimum over
+messages of each message's first-match index, and of the rules that match only
+with the space in a message before the last. That turns classification into a row-local regex ``CASE``
 followed by a combinable ``min`` per (tenant, conversation): no string
 concatenation, and a huge conversation is pre-aggregated map-side like any
 other key. The same holds for the mention and engagement flags (``bool_or``).
@@ -51,7 +53,7 @@ def classify(text_col, pack: RulePack, message_level: bool = False):
     return topic_name(first_match_index(text_col, rules), pack, rules)
 
 
-TEXT_FEATURES = ("rule_idx", "msg_rule_idx", "mentions", "engages", "quote_ok")
+TEXT_FEATURES = ("rule_idx", "joint_hits", "msg_rule_idx", "mentions", "engages", "quote_ok")
 
 
 def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
@@ -63,6 +65,7 @@ def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
     not land in one task).
 
     rule_idx      first rule (1-based, whole pack) matching the message
+    joint_hits    bits of pack.joint_rules that match earlier than rule_idx once a space follows
     msg_rule_idx  the same for the single-message chain
     mentions / engages  challenge mention / engagement phrase present
     quote_ok      quote length and not an auto-reply
@@ -79,8 +82,14 @@ def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
         msg_idx = F.when(txt, first_match_index(c, pack.message_rules))
     quote_ok = (txt & F.length(c).between(pack.quote_min_len, pack.quote_max_len)
                 & ~matches(c, pack.quote_exclude, word_start=False))
+    joint = F.lit(0)
+    for bit, i in enumerate(pack.joint_rules):
+        r = pack.rules[i - 1]
+        hit = txt & (F.col("rule_idx") > i) & matches(F.concat(c, F.lit(" ")), r.keywords, r.guard, r.word_start)
+        joint = joint + F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0))
     return (df.withColumn("rule_idx", idx)
-            .withColumns({"msg_rule_idx": msg_idx,
+            .withColumns({"joint_hits": joint,
+                          "msg_rule_idx": msg_idx,
                           "mentions": txt & matches(c, pack.mention),
                           "engages": txt & matches(c, pack.engage),
                           "quote_ok": quote_ok}))
@@ -108,16 +117,25 @@ def conversation_topics(base: DataFrame, pack: RulePack) -> DataFrame:
     holds an engagement phrase (anywhere in its text)."""
     # the plain predicate is stated too, so it reaches the scan as pushed filters
     per_msg = with_text_features(base, pack).where(is_text(pack) & F.col("rule_idx").isNotNull())
+    place = F.struct("ts", "message_id")
+    # a joint rule counts when its first hit is not in the conversation's last message
+    first_hits = [F.min(F.when(F.col("joint_hits").bitwiseAND(1 << b) > 0, place)).alias(f"joint_{b}")
+                  for b in range(len(pack.joint_rules))]
     conv = per_msg.groupBy("tenant_id", "conversation_id").agg(
         F.min("rule_idx").alias("rule_idx"),
+        F.max(place).alias("last"),
+        *first_hits,
         F.max("ts").alias("ult_msg"),
         F.count(F.lit(1)).alias("n_msgs"),
         F.bool_or("mentions").alias("menciona_desafio"),
         F.bool_or("engages").alias("engage_any"),
     )
+    idx = F.col("rule_idx")
+    for b, i in enumerate(pack.joint_rules):
+        idx = F.least(idx, F.when(F.col(f"joint_{b}") < F.col("last"), F.lit(i)))
     return conv.select(
         "tenant_id", "conversation_id",
-        topic_name(F.col("rule_idx"), pack).alias("categoria"),
+        topic_name(idx, pack).alias("categoria"),
         "ult_msg", "n_msgs", "menciona_desafio",
         (F.col("menciona_desafio") & F.col("engage_any")).alias("engajou"),
     )

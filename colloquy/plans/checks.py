@@ -23,7 +23,6 @@ from ..operators.topics import classify
 from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
 from ..plans.rules import REFERENCE_PACK
-from ..sources.tables import spread
 from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_conversations,
                                 chat_messages, event_base)
 
@@ -125,7 +124,7 @@ def conversation_text(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def topic_rules(spark, sf_dir):

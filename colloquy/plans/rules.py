@@ -5,15 +5,20 @@ auxiliary text predicates of the report: the challenge-mention and engagement
 phrases, the auto-reply filter for quotes and the word-cloud stop words.
 
 Patterns of a pack must not be able to match the character ``|`` (a plain
-keyword never does; use ``[^|]`` for gaps). That property lets every text
-predicate of a conversation be evaluated message by message and OR-ed, which is
-exactly the same as matching the conversation's messages joined with ``' | '``.
+keyword never does; use ``[^|]`` for gaps) nor begin with a space; a pack that
+breaks this is rejected. Then every text predicate of a conversation can be
+evaluated message by message: matching the messages joined with ``' | '`` is
+matching one of them, each but the last followed by the joint's space. Rules
+whose matches can end in a space (``joint_rules``) are tested with that space too.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+from ..functions.regex import can_end_in_space
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -38,6 +43,18 @@ class RulePack:
     quote_min_len: int = 25
     quote_max_len: int = 250
 
+    def __post_init__(self):
+        for p in [*(r.keywords for r in self.rules), self.mention, self.engage]:
+            if r"\|" in p or re.search(r"(^|[|(]) ", p) or re.search(r"\[(?!\^)[^\]]*\|", p):
+                raise ValueError(f"pattern could match across messages: {p!r}")
+        if can_end_in_space(self.mention) or can_end_in_space(self.engage):
+            raise ValueError("mention and engagement phrases must not end in a space")
+
+    @property
+    def joint_rules(self) -> tuple[int, ...]:
+        """1-based indexes of the rules whose matches can end in a space."""
+        return tuple(i for i, r in enumerate(self.rules, start=1) if can_end_in_space(r.keywords))
+
     @property
     def topics(self) -> tuple[str, ...]:
         return tuple(r.topic for r in self.rules) + (self.default_topic,)

@@ -45,27 +45,17 @@ def read_conversations(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.format(fmt).schema(schema).load(path)
 
 
+def _replacing(writer):
+    """Overwriting replaces the partitions that have new rows and leaves the others."""
+    return writer.option("partitionOverwriteMode", "dynamic")
+
+
 def write_partitioned(df: DataFrame, path: str, by=("tenant_id",), fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Sink helper: write a canonical table partitioned by ``by``."""
-    df.write.mode(mode).format(fmt).partitionBy(*by).save(path)
+    """Sink helper: write a canonical table partitioned by ``by``; ``overwrite`` replaces only the partitions written."""
+    _replacing(df.write.mode(mode)).format(fmt).partitionBy(*by).save(path)
 
 
 def write_documents(summary_json: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sink of the report: one JSON document per tenant (``tenant_id``, ``doc``)
-    as text files partitioned by tenant."""
-    summary_json.select("tenant_id", "doc").write.mode(mode).partitionBy("tenant_id").format("text").save(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Guard for CPU-heavy row-local work (regexes over whole texts): when the
-    input arrives in fewer partitions than the cluster runs tasks in parallel
-    (a small table, or one written as a single row group, which Spark cannot
-    split), deal it round-robin over that many partitions. Large tables already
-    arrive in at least that many splits, so this adds no shuffle at scale.
-    (Without RDD access, e.g. over Spark Connect, the frame is left as is.)"""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext / RDD API on this session
-        return df
-    return df.repartition(target) if current < target else df
+    as text files partitioned by tenant; other tenants' documents stay."""
+    _replacing(summary_json.select("tenant_id", "doc").write.mode(mode)).partitionBy("tenant_id").format("text").save(path)

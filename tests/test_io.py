@@ -82,12 +82,15 @@ def test_batch_job_entry_point(spark):
     assert docs["t9"]["alltime"]["disparos"] == 0
 
 
-def test_spread_only_rebalances_under_partitioned_inputs(spark):
-    from colloquy.sources.tables import spread
-
-    par = spark.sparkContext.defaultParallelism
-    one = spark.range(1000).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == par
-    many = spark.range(1000).repartition(par * 2)
-    assert spread(many) is many  # enough splits already: no extra shuffle
-    assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
+def test_one_tenants_rerun_leaves_the_others(spark, tmp_path):
+    out = str(tmp_path / "docs")
+    write_documents(spark.createDataFrame([("a", "1"), ("b", "2")], "tenant_id string, doc string"), out)
+    write_documents(spark.createDataFrame([("a", "3")], "tenant_id string, doc string"), out)
+    assert {(r.tenant_id, int(r.value)) for r in spark.read.text(out).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_building_a_lazy_dashboard_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("lazy-build", "")
+    Dashboard.from_tables(make_messages(spark, MSGS), make_conversations(spark, CONVS), Params(), how="none")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -88,7 +88,7 @@ def test_topics_equal_joined_text_classification(spark):
     mention, engage = plain_kw(REFERENCE_PACK.mention), plain_kw(REFERENCE_PACK.engage)
     frags = ["não", "quero", "cancelar", "mais", "agradecemos", "seu", "contato", "mensagem", "sou", "a", "corretora",
              "desafio", "bora", "vou", "fazer", "curso", "é", "ótimo", "|", "assim que possível", "retorno", "em breve",
-             "envio", "👉", "obrigada", "nunca", "arrematei", "tô", "dentro", "xx"]
+             "envio", "👉", "escolha a", "escolha", "obrigada", "nunca", "arrematei", "tô", "dentro", "xx"]
     rnd = random.Random(11)
     msgs, texts = [], {}
     mid = 0
@@ -102,7 +102,13 @@ def test_topics_equal_joined_text_classification(spark):
                 parts.append(t)
         if parts:
             texts[conv] = " | ".join(parts)
-    convs = [("t", c, c, "x") for c in range(400)]
+    # a rule that ends in a space takes the joint's space, but not after the last message
+    for conv, parts in ((400, ["Por favor escolha a", "segunda mensagem aqui"]), (401, ["segunda mensagem aqui", "Por favor escolha a"])):
+        texts[conv] = " | ".join(parts)
+        for k, t in enumerate(parts):
+            mid += 1
+            msgs.append(("t", conv, mid, 0, False, utc(2024, 2, 10, 0, 0, k), t))
+    convs = [("t", c, c, "x") for c in range(402)]
     params = Params(as_of=utc(2024, 2, 14, 12, 0), project_start=dt.date(2024, 1, 1))
     d = Dashboard.from_tables(make_messages(spark, msgs), make_conversations(spark, convs), params, how="none")
     got = {r["conversation_id"]: (r["categoria"], r["menciona_desafio"], r["engajou"])
@@ -113,6 +119,7 @@ def test_topics_equal_joined_text_classification(spark):
         m = bool(mention.search(text))
         want[c] = (topic, m, m and bool(engage.search(text)))
     assert got == want
+    assert got[400][0] == "automatico" and got[401][0] == REFERENCE_PACK.default_topic
 
 
 def plain_kw(keywords):
