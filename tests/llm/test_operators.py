@@ -1,0 +1,278 @@
+"""Each operator against a brute-force version on a small table with nulls, empty and long texts, copies, ties and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+llm = pytest.importorskip("colloquy.llm")
+from colloquy.llm import bpe, cover_tree, hilbert, line_dedup, minhash, packing, ppm, quality, queries, substring, warc  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __key string, q string, bands string"
+
+
+def rows():
+    rnd = random.Random(5)
+    words = ["alpha", "Beta", "gamma,", "délta", "x1", "the", "of", "in", "run", "Zeta.", "I'm", "ÉTÉ", "#"]
+    text = lambda n: " ".join(rnd.choice(words) + str(rnd.randint(0, 60)) for _ in range(n))
+    passage, block = text(50), "\n".join(text(6) for _ in range(12))
+    out = [None, "", " \t\n", "one", "one two three", "one two three", "\n\n\n", "<|endoftext|> hi", "a\x1cb c\x85d"]
+    out += [text(rnd.randint(5, 120)) for _ in range(25)]
+    out += [text(30) + "\n" + passage + "\n" + text(20) for _ in range(6)] + [passage]
+    out += [text(9) + "\n" + block + "\n" + text(7) for _ in range(5)]
+    base = text(120).split(" ")
+    for _ in range(12):
+        w = base.copy()
+        for _ in range(3):
+            w[rnd.randrange(len(w))] = "changed" + str(rnd.randint(0, 9))
+        out.append(" ".join(w))
+    out += [out[20]] * 6 + ["spam " * 60, "## ** %% $$ " * 12 + text(21), text(9000)]
+    return [(i, t, "en", None if i % 7 == 0 else f"src{i % 3}", None if i % 11 == 0 else len(t or ""), "k", "q", "b") for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def table():
+    return rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, table):
+    return spark.createDataFrame(table, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def by_id(df):
+    return {r[0]: tuple(r)[1:] for r in df.collect()}
+
+
+def oracle(table, sql):
+    con = duckdb.connect()
+    con.register("t", pa.table({"doc_id": [r[0] for r in table], "text": pa.array([r[1] for r in table], pa.string()), "source": pa.array([r[3] for r in table], pa.string())}))
+    con.execute("CREATE VIEW documents AS SELECT * FROM t")
+    cur = con.execute(sql)
+    names = [c[0] for c in cur.description]
+    return names, {r[0]: r for r in cur.fetchall()}
+
+
+@pytest.mark.parametrize("sql, run", [(queries.OP2, minhash.near_duplicates), (queries.OP6, substring.digests), (queries.OP7, quality.assess)])
+def test_sql(docs, empty, table, sql, run):
+    names, want = oracle(table, sql)
+    got = {r["doc_id"]: tuple(r[c] for c in names) for r in run(docs).collect()}
+    assert got == want
+    assert run(empty).collect() == []
+
+
+def test_line_dedup(docs, empty, table):
+    got, seen = by_id(line_dedup.digests(docs)), set()
+    for i, t, *_ in table:
+        gone = set()
+        for j, body, _ in line_dedup.chunk_list((t or "").encode()):
+            if body in seen:
+                gone.add(j)
+            seen.add(body)
+        kept, n, lost = line_dedup._kept((t or "").encode(), gone)
+        assert got[i] == (n if t else 0, lost, hashlib.sha256(kept).hexdigest())
+    assert sum(g[1] for g in got.values()) > 0
+    assert line_dedup.digests(empty).collect() == []
+
+
+def test_line_chunks_come_back_in_step():
+    a = [f"line {i}".encode() for i in range(200)]
+    b = a[:50] + [b"inserted"] + a[50:]
+    chunks = lambda x: {body for _, body, _ in line_dedup.chunk_list(b"\n".join(x))}
+    assert len(chunks(a) - chunks(b)) <= 4
+
+
+def test_sketches_are_full_and_estimate_similarity():
+    h = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
+    row = np.repeat([0, 1], [900, 900])
+    s = minhash.sketches(row, np.concatenate([h[:900], h[100:]]), 2)
+    assert (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+    assert abs((s[0] == s[1]).mean() - 0.8) < 0.15
+    assert (minhash.sketches(np.zeros(1, int), h[:1], 1) != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+
+
+def test_bpe(docs, empty, table):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    tk = tokenizers.Tokenizer.from_file(path)
+    odd = ["ΑΣ Σας", "İx I'm 'sT", "é ½ ²", "aaaaaaa ababab", "漢字 👍🏽", "<|startoftext|>x<|x|>", "a\xa0b x"]
+    e = bpe.Encoder(path)
+    for t in odd:
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+    got = by_id(bpe.digests(docs, path))
+    for i, t, *_ in table:
+        ids = tk.encode(t or "", add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        assert got[i] == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert bpe.digests(empty, path).collect() == []
+
+
+def test_transducer(tmp_path):
+    found = [b"a", b"ab", b"abc", b"bc", b"b", "é".encode()]
+    ids = [np.array([i, i + 1]) for i in range(len(found))]
+    bpe.compile_words(found, ids, path := str(tmp_path / "x"))
+    t = bpe.Transducer(path)
+    n = t.find([*found, b"", b"abcd", b"c"])
+    assert n[-3:].tolist() == [-1, -1, -1]
+    assert [t.ids[t.offsets[i]:t.offsets[i + 1]].tolist() for i in n[:-3]] == [x.tolist() for x in ids]
+
+
+def test_cover_tree(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[100:180] = x[7] + rng.normal(scale=0.05, size=(80, 16))
+    x[180:190] = x[3]
+    data = [(i, int(i % 2) if i < 290 else None, v.tolist()) for i, v in enumerate(x)]
+    data += [(300, 0, None), (301, 0, [0.0] * 16), (302, 0, [float("nan")] * 16), (303, 0, [None] * 16), (304, 0, []), (305, 0, [1.0, 2.0])]
+    schema = "vec_id long, label int, embedding array<float>"
+    got = by_id(cover_tree.near_duplicates(spark.createDataFrame(data, schema)))
+    links = defaultdict(set)
+    for i in range(290):
+        for j in range(i):
+            a, b = x[i].astype(float), x[j].astype(float)
+            if i % 2 == j % 2 and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98:
+                links[i].add(j)
+                links[j].add(i)
+    for i, *_ in data:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert got[i] == (len(links[i]), min(seen), min(seen) == i)
+    assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_ppm(docs, empty, table, monkeypatch):
+    monkeypatch.setattr(ppm, "GROUP", 8000)
+    got, k = by_id(ppm.scores(docs)), ppm.ORDER
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    ws = {i: words((t or "").encode().translate(low).decode()) for i, t, *_ in table}
+    train = [r for r in table if zlib.crc32(str(r[0]).encode()) % 10]
+    count, ends = Counter(w for r in train for w in ws[r[0]]), len(train)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    seen = defaultdict(Counter)
+    symbols = lambda t: [257] * k + list((t or "").encode()) + [256]
+    for _, t, *_ in train:
+        s = symbols(t)
+        for p in range(k, len(s)):
+            for o in range(k + 1):
+                seen[tuple(s[p - o:p])][s[p]] += 1
+    for i, t, *_ in table[:40]:
+        s, score = symbols(t), 0.0
+        for p in range(k, len(s)):
+            gone = set()
+            for o in range(k, -1, -1):
+                m = seen.get(tuple(s[p - o:p]), {})
+                total = sum(c for a, c in m.items() if a not in gone)
+                if not total:
+                    continue
+                if s[p] in m:
+                    score += np.log10((m[s[p]] - 0.5) / total)
+                    break
+                score += np.log10(0.5 * sum(a not in gone for a in m) / total)
+                gone = set(m)
+            else:
+                score -= np.log10(max(257 - len(seen[()]), 1))
+        base = sum(np.log10(count[w] + 0.1) for w in ws[i]) + np.log10(ends + 0.1) - (len(ws[i]) + 1) * np.log10(n + 0.1 * (v + 1))
+        held, n_tokens, known, total, b, sc = got[i]
+        assert (held, n_tokens, known, total) == (zlib.crc32(str(i).encode()) % 10 == 0, len(ws[i]) + 1, sum(count[w] > 0 for w in ws[i]) + 1, n)
+        assert b == pytest.approx(base) and sc == pytest.approx(score, rel=1e-5)
+    assert ppm.scores(empty).collect() == []
+
+
+def test_hilbert(docs, empty, table):
+    t = hilbert.curve_table()
+    cell = {v: k for k, v in enumerate(t)}
+    assert sorted(t) == list(range(hilbert.CELLS))
+    at = lambda c: [c >> (hilbert.BITS * d) & 7 for d in range(hilbert.DIMS)]
+    assert all(sum(abs(a - b) for a, b in zip(at(cell[i]), at(cell[i + 1]))) == 1 for i in range(hilbert.CELLS - 1))
+    got = hilbert.order(docs, 7).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r.slot)
+        data = (table[r.doc_id][1] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(data) + 16, zlib.crc32(data))
+    assert sorted(shards) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    assert [r.cell for r in sorted(got, key=lambda r: r["rank"])] == sorted(r.cell for r in got)
+    assert hilbert.order(empty, 7).collect() == []
+
+
+def test_warc(spark):
+    data = [(i, f"http://x/{i}\n", h) for i, h in enumerate([None, "", "a", "b", "a", "é" * 5000, "a", "b\r\n\r\nWARC/1.1"])]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.payload) for r in warc.round_trip(pages).collect()}
+    top = {(h or ""): i for i, _, h in data}
+    for i, _, h in data:
+        body, t = (h or "").encode(), top[h or ""]
+        assert got[i] == (len(body), warc.digest(body), *(("response", None, body) if t == i else ("revisit", t, None)))
+    assert warc.round_trip(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("split", [61, 997, 10**6])
+def test_split_reader(split):
+    inner = b"".join(warc.record(j, "v", bytes(range(256)) * 3, 0, False) for j in range(20))
+    blob = b"".join(warc.record(i, "u", inner if i == 3 else b"p" * i, 0, False) for i in range(9))
+    got = [r["warc-record-id"] for s in range(0, len(blob), split) for r in warc.records(pa.BufferReader(blob), len(blob), s, min(s + split, len(blob)))]
+    assert got == [f"<urn:page:{i}>" for i in range(9)]
+
+
+def test_packing(docs, empty, table):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    tk = tokenizers.Tokenizer.from_file(path)
+    got, spots = packing.pack(docs, path).collect(), defaultdict(list)
+    ids = {i: tk.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in table}
+    for r in got:
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.start == 4096 * r.piece
+        spots[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    for s in spots.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(spots) == -(-sum(map(len, ids.values())) // 4096)
+    assert packing.pack(empty, path).collect() == []
+
+
+@pytest.mark.parametrize("counts", [{6: 2, 5: 2, 4: 2}, {10: 3}, {7: 1, 6: 1, 4: 1, 3: 1}, {1: 25}, {}])
+def test_solver(counts):
+    solution = packing.solve(counts, 10)
+    used = Counter()
+    for times, filling in solution:
+        assert sum(filling) <= 10
+        for x in filling:
+            used[x] += times
+    assert used == counts and sum(t for t, _ in solution) == -(-sum(x * n for x, n in counts.items()) // 10)
+
+
+def test_pipeline(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, frame in (("full", docs), ("none", empty)):
+        d = frame
+        for i, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, d, str(tmp_path))
+            if i < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(path := str(tmp_path / f"{name}{i}"))
+            d = spark.read.parquet(path)
+        assert (d.count() > 0) == (name == "full")
