@@ -3,7 +3,8 @@
 A task sends, for every bucket of the hash space, one row with all its hashes
 of that bucket and where they stand (document key, position); a task per
 bucket finds the hashes that stand at two places or more and answers with one
-row per document. Each sender sends a hash once, however often it has it, so
+row per home, a group of documents, whose task makes one row per document. Places travel as
+differences, document by document, which compress well. Each sender sends a hash once, however often it has it, so
 a hash that a third of all documents share costs one entry per sender; the
 places that are already known to repeat travel in rows that are spread evenly.
 """
@@ -15,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SENT = "bucket int, h1 binary, h2 binary, again binary, k binary, pos binary"
+ANSWER = "home int, k binary, pos binary"
 FOUND = "k long, pos binary"
 _SENT = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("h1", "h2", "again", "k", "pos")])
 
@@ -39,7 +41,7 @@ def send(h1: np.ndarray, h2: np.ndarray | None, k: np.ndarray, pos: np.ndarray,
             tk, tp = tk[o], tp[o]
             cut = np.append(0, np.flatnonzero(np.diff(tk)) + 1)
             for a, b in zip(cut[::64], np.append(cut[64::64], len(tk))):  # some documents a row
-                rows.append((int(tk[a]) % buckets, b"", b"", b"", tk[a:b].tobytes(), tp[a:b].astype(np.int32).tobytes()))
+                rows.append((int(tk[a]) % buckets, b"", b"", b"", tk[a:b].tobytes(), _steps(tp[a:b])))
         h1, k, pos, again = h1[at], k[at], pos[at], (size > 1)
         h2 = h2[at].astype(np.uint32) if h2 is not None else None  # 64 + 32 bits are exchanged
         bucket = ((h1 >> U64(32)) % U64(buckets)).astype(np.int64)
@@ -48,23 +50,31 @@ def send(h1: np.ndarray, h2: np.ndarray | None, k: np.ndarray, pos: np.ndarray,
         h2 = h2[o] if h2 is not None else None
         cut = np.append(np.append(0, np.flatnonzero(np.diff(bucket)) + 1), len(bucket))
         for a, b in zip(cut[:-1], cut[1:]):
-            rows.append((int(bucket[a]), h1[a:b].tobytes(), h2[a:b].tobytes() if h2 is not None else b"", np.packbits(again[a:b]).tobytes(), k[a:b].tobytes(), pos[a:b].tobytes()))
+            rows.append((int(bucket[a]), h1[a:b].tobytes(), h2[a:b].tobytes() if h2 is not None else b"", np.packbits(again[a:b]).tobytes(), k[a:b].tobytes(), _steps(pos[a:b])))
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 6, _SENT)], schema=_SENT)
 
 
-def repeated(table: pa.Table, h1_type=np.uint64) -> pa.Table:
-    """One bucket's rows -> FOUND rows: the places whose hash stands at two places or more."""
+def _steps(pos: np.ndarray) -> bytes:
+    return np.diff(pos.astype(np.int32), prepend=np.int32(0)).tobytes()
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.int32), dtype=np.int32)
+
+
+def repeated(table: pa.Table, homes: int, h1_type=np.uint64) -> pa.Table:
+    """One bucket's rows -> ANSWER rows: the places whose hash stands at two places or more."""
     h1, h2, again, k, pos, done_k, done_pos = [], [], [], [], [], [], []
     for a, b, c, d, e in zip(*(table[x].to_pylist() for x in ("h1", "h2", "again", "k", "pos"))):
         if not a:
             done_k.append(np.frombuffer(d, np.int64))
-            done_pos.append(np.frombuffer(e, np.int32))
+            done_pos.append(_places(e))
             continue
         h1.append(np.frombuffer(a, h1_type))
         h2.append(np.frombuffer(b, np.uint32))
         again.append(np.unpackbits(np.frombuffer(c, np.uint8))[: len(h1[-1])])
         k.append(np.frombuffer(d, np.int64))
-        pos.append(np.frombuffer(e, np.int32))
+        pos.append(_places(e))
     if h1:
         h1, h2, again, k, pos = (np.concatenate(x) for x in (h1, h2, again, k, pos))
         two = len(h2) > 0
@@ -80,7 +90,19 @@ def repeated(table: pa.Table, h1_type=np.uint64) -> pa.Table:
         done_k.append(k[o][hit])
         done_pos.append(pos[o][hit])
     keys, places = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (done_k, done_pos))
-    o = np.argsort(keys, kind="stable")
+    home = keys % homes
+    o = np.lexsort((places, keys, home))
+    home, keys, places = home[o], keys[o], places[o]
+    cut = np.append(np.append(0, np.flatnonzero(np.diff(home)) + 1), len(home)) if len(home) else np.zeros(1, int)
+    rows = [(int(home[a]), keys[a:b].tobytes(), _steps(places[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["home", "k", "pos"])
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """One home's ANSWER rows -> FOUND rows, one per document."""
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in table["k"].to_pylist()])
+    places = np.concatenate([_places(x) for x in table["pos"].to_pylist()])
+    o = np.lexsort((places, keys))
     keys, places = keys[o], places[o].astype(np.int32)
     cut = np.append(np.append(0, np.flatnonzero(np.diff(keys)) + 1), len(keys)) if len(keys) else np.zeros(1, int)
     return pa.table({"k": pa.array(keys[cut[:-1]], pa.int64()), "pos": pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})

@@ -87,7 +87,7 @@ def _windows(buckets: int):
                     last = int(b - a) - WIDTH  # last start
                     if last < 0:
                         continue
-                    at = np.frombuffer(b"".join(marks[c.first + i]), np.int32)
+                    at = np.frombuffer(marks[c.first + i], np.int32)
                     step = np.zeros(last + 2, np.int32)  # starts at - PERIOD + 1 .. at
                     np.add.at(step, np.clip(at - PERIOD + 1, 0, last + 1), 1)
                     np.add.at(step, np.clip(at + 1, 0, last + 1), -1)
@@ -106,11 +106,11 @@ def _windows(buckets: int):
     return run
 
 
-def _mark(n: int, marks: list[bytes] | None) -> np.ndarray | None:
+def _mark(n: int, marks: bytes | None) -> np.ndarray | None:
     """Which of n words lie in a window that starts at one of the marks."""
     if not marks:
         return None
-    at = np.frombuffer(b"".join(marks), np.int32)
+    at = np.frombuffer(marks, np.int32)
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, at, 1)
     np.add.at(step, at + WIDTH, -1)
@@ -159,13 +159,13 @@ def _marked(docs: DataFrame, k: str, marks: str) -> tuple[DataFrame, DataFrame]:
     keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
     sent = keyed.select(k, "text").where(F.length("text") >= 2 * WIDTH - 1).mapInArrow(_anchors(buckets), exchange.SENT)
     small = np.uint32
-    anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, small), exchange.FOUND)
-    anchors = anchors.groupBy("k").agg(F.collect_list("pos").alias(marks)).withColumnRenamed("k", "__k")
+    anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, buckets, small), exchange.ANSWER)
+    anchors = anchors.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
     dealt = keyed.repartition(partitions(spark), k)
     with_anchors = dealt.join(anchors, dealt[k] == anchors["__k"], "left").select(k, "text", marks)
     sent = with_anchors.mapInArrow(_windows(buckets), exchange.SENT)
-    windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t), exchange.FOUND)
-    windows = windows.groupBy("k").agg(F.collect_list("pos").alias(marks)).withColumnRenamed("k", "__k")
+    windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, buckets), exchange.ANSWER)
+    windows = windows.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
     return dealt, windows
 
 
