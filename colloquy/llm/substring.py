@@ -156,15 +156,16 @@ def _marked(docs: DataFrame, k: str, marks: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     ship(spark)
     buckets = max(32, 4 * partitions(spark))
+    homes = max(8, buckets // 16)  # an answer is a row per bucket and home
     keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
     sent = keyed.select(k, "text").where(F.length("text") >= 2 * WIDTH - 1).mapInArrow(_anchors(buckets), exchange.SENT)
     small = np.uint32
-    anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, buckets, small), exchange.ANSWER)
+    anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes, small), exchange.ANSWER)
     anchors = anchors.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
     dealt = keyed.repartition(partitions(spark), k)
     with_anchors = dealt.join(anchors, dealt[k] == anchors["__k"], "left").select(k, "text", marks)
     sent = with_anchors.mapInArrow(_windows(buckets), exchange.SENT)
-    windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, buckets), exchange.ANSWER)
+    windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes), exchange.ANSWER)
     windows = windows.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
     return dealt, windows
 
