@@ -14,11 +14,18 @@ probability (1 - 0.8**4)**30 < 2e-7.
 Documents that share a band are candidates. They are verified on their full
 sets (100 * intersection >= 80 * union), but not pair by pair: equal sets
 are one node beforehand; each bucket first compares its members with one
-member, then, as long as a bucket still holds several components, members
-with a few random members of other components, and when few cross-component pairs are left,
-all of those. A pair inside a component needs no look, every pair across
+member, then, as long as that still links many nodes, members of buckets with several components
+with a few random members of other components; at last the sketches of every pair across
+components are compared, in blocks of ``BLOCK`` members, so that a bucket of any size is dealt to many
+tasks and only pairs that can be links leave them. A pair inside a component needs no look, every pair across
 components is looked at, so the components are those of all candidate links.
 
+Full sets travel only for pairs that can be links: the sizes must allow it, and
+of the ``T`` coordinates (a byte of each is compared) at least ``T * s - 7 * sqrt(T * s * (1 - s))``
+must agree, s being the similarity asked for; a link at similarity 0.8 fails that with
+probability below 2e-9. In the first round a node is compared with one other, then, but for the
+last round, with one member of each other component a round, since one link joins them.
+
 Null or empty text, or text without words: empty set, linked with nothing.
 Rows with one doc_id are one document. A row without doc_id is linked with
 nothing (its component is null, and it is kept). An empty table gives an empty result.
@@ -41,8 +48,10 @@ WIDTH = 4
 LEAST = 80
 CENTERS = 3
 MAX_ROUNDS = 10
+#: Members of a bucket that are compared with each other at once, and rows that a task's group holds, about.
+BLOCK, GROUP = 1024, 20_000
 
-SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -101,13 +110,15 @@ def _sign(width: int):
                 with np.errstate(over="ignore"):
                     f1 = np.where(size > 0, np.add.reduceat(pad, at[:-1]), U64(0))
                     f2 = np.where(size > 0, np.add.reduceat(mix(pad ^ U64(mix_int(7))), at[:-1]), U64(0))
-                    s = sketches(row, h, c.n).reshape(c.n, BANDS, ROWS)
+                    s = sketches(row, h, c.n)
+                    short = pa.array([x.tobytes() for x in (mix(s) >> U64(56)).astype(np.uint8)], pa.binary())
+                    s = s.reshape(c.n, BANDS, ROWS)
                     b = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (c.n, BANDS))
                     for r in range(ROWS):
                         b = mix(b ^ s[:, :, r])
                 flat = pa.array(b.astype(U64).view(np.int64).reshape(-1), pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.n + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, short], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
     return run
 
@@ -127,6 +138,69 @@ def _sets(width: int):
     return run
 
 
+def _agree(least: int) -> float:
+    s = least / 100
+    return T * s - 7 * (T * s * (1 - s)) ** 0.5
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, T)
+
+
+def _likely(least: int):
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = 100 * np.minimum(na, nb) >= least * np.maximum(na, nb)
+            keep &= (_bytes(batch.column(4)) == _bytes(batch.column(5))).sum(1) >= _agree(least)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _across(least: int):
+    """A group of blocks (bucket, x, y) -> the pairs across components that can be links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, x, y, own, node, component, n = (table[c].to_numpy() for c in ("bucket", "x", "y", "own", "node", "component", "n"))
+        sketch = _bytes(table["sketch"])
+        o = np.lexsort((node, y, x, bucket))
+        key = np.stack([bucket[o], x[o], y[o]])
+        start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+        size = np.diff(np.append(start, len(o)))
+        found = []
+        for m in np.unique(size[size > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            of_size = start[size == m]
+            step = max(1, 2_000_000 // len(i))
+            for at in range(0, len(of_size), step):
+                first = of_size[at : at + step, None]
+                a, b = o[(first + i).reshape(-1)], o[(first + j).reshape(-1)]
+                ok = (component[a] != component[b]) & ((x[a] == y[a]) | (own[a] != own[b]))
+                ok &= 100 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
+                a, b = a[ok], b[ok]
+                for k in range(0, len(a), 100_000):
+                    p, q = a[k : k + 100_000], b[k : k + 100_000]
+                    near = (sketch[p] == sketch[q]).sum(1) >= _agree(least)
+                    found.append(np.unique(np.sort(np.stack([node[p[near]], node[q[near]]], 1), 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _all_across(members: DataFrame, short: DataFrame, rows: int, least: int) -> DataFrame:
+    """Every pair across components of a bucket, as far as it can be a link."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "bucket").withColumn("own", own).join(short, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    group = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(1 + rows // GROUP))
+    dealt = dealt.select(group.alias("g"), "bucket", "x", "y", "own", "node", "component", "n", "sketch")
+    return dealt.groupBy("g").applyInArrow(_across(least), "a long, b long").distinct()
+
+
 def _linked(least: int):
     def run(batches):
         for batch in batches:
@@ -145,6 +219,13 @@ def _linked(least: int):
     return run
 
 
+def _possible(pairs: DataFrame, short: DataFrame, least: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    one = pairs.join(short.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
+    two = one.join(short.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
+    return two.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_likely(least), "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -163,8 +244,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     signed = checkpoint(docs.mapInArrow(_sign(width), SIGNATURE))
     # equal sets are one node, named by their least id
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    classes = checkpoint(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")))
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
+    classes = checkpoint(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")))
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     placed = checkpoint(placed.join(shared, "bucket").distinct())
@@ -175,33 +256,39 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
         sets = docs.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, f long, s binary")
         sets = sets.join(chosen, ["node", "f"], "left_semi").groupBy("node").agg(F.min("s").alias("s")) if _repeated_ids(full) else sets.select("node", "s")
         sets = checkpoint(sets.repartition(partitions(spark), "node"))
+        short = classes.groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("m")).select("node", "m.n", "m.sketch")
         labels = checkpoint(labels.withColumn("component", F.col("node")))
+        n_nodes, few = labels.count(), False
         for turn in range(MAX_ROUNDS + 1):
             members = placed.join(labels, "node")
             if turn:
                 mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
                 members = checkpoint(members.join(mixed, "bucket"))
-                per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-                left = per.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"), F.sum("n").alias("n"))
-                left = left.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-                if not left["n"]:
+                rows = members.count()
+                if not rows:
                     break
-                last = turn == MAX_ROUNDS or left["p"] <= 2 * CENTERS * left["n"]
+                last = turn == MAX_ROUNDS or few
             else:
                 last = False
             if last:
-                # few are left: every pair across components
-                x, y = members.alias("x"), members.alias("y")
-                pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).select(*_ordered("x.node", "y.node"))
+                pairs = _all_across(members, short, rows, least)
             else:
                 by = [F.min("node").alias("c0")] if not turn else [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(97 * turn + i)), "node"))["node"].alias(f"c{i}") for i in range(CENTERS)]
                 centers = members.groupBy("bucket").agg(*by)
                 near = members.join(centers, "bucket").select("node", "component", F.explode(F.array(*[f"c{i}" for i in range(len(by))])).alias("c"))
-                near = near.where("node <> c").distinct().join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").where("component <> cc")
-                pairs = near.select(*_ordered("node", "c"))
-            found = checkpoint(_verify(pairs.distinct(), sets, least))
+                if not turn:
+                    # every node with one other: the least it shares a bucket with
+                    near = near.where("c < node").groupBy("node").agg(F.min("c").alias("c"))
+                else:
+                    # one member of each other component
+                    near = near.where("node <> c").distinct().join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").where("component <> cc")
+                    near = near.groupBy("node", "cc").agg(F.min("c").alias("c"))
+                pairs = _possible(near.select(*_ordered("node", "c")).distinct(), short, least)
+            found = checkpoint(_verify(pairs, sets, least))
             links = found if links is None else links.unionByName(found)
-            if not found.isEmpty():
+            n_found = found.count()
+            few = bool(turn) and CENTERS * n_found < n_nodes
+            if n_found:
                 merged = components(links)
                 labels = checkpoint(placed.select("node").distinct().join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
             if last:
