@@ -11,20 +11,16 @@ estimate the similarity with the concentration of T independent samples; they ar
 bands of ``ROWS``: two documents at similarity 0.8 share no band with
 probability (1 - 0.8**4)**30 < 2e-7.
 
-Documents that share a band are candidates. They are verified on their full
+Documents that share a band are candidates, and every candidate pair is decided on full
 sets (100 * intersection >= 80 * union), but not pair by pair: equal sets
-are one node beforehand; each bucket first compares its members with one
-member, then, as long as that still links many nodes, members of buckets with several components
-with a few random members of other components; at last the sketches of every pair across
-components are compared, in blocks of ``BLOCK`` members, so that a bucket of any size is dealt to many
-tasks and only pairs that can be links leave them. A pair inside a component needs no look, every pair across
-components is looked at, so the components are those of all candidate links.
-
-Full sets travel only for pairs that can be links: the sizes must allow it, and
-of the ``T`` coordinates (a byte of each is compared) at least ``T * s - 7 * sqrt(T * s * (1 - s))``
-must agree, s being the similarity asked for; a link at similarity 0.8 fails that with
-probability below 2e-9. In the first round a node is compared with one other, then, but for the
-last round, with one member of each other component a round, since one link joins them.
+are one node beforehand; then each node is compared with the least node that it shares a
+bucket with; the buckets that still hold several components are dealt in blocks of
+members to tasks. A task holds the full sets of two blocks, compares each member outside the bucket's
+most frequent component with all others, skips pairs that its links so far put into one component, and
+returns at most one link per member. A pair inside a component needs no look, every other pair of a bucket
+is looked at, so the components are those of all candidate links. No pair that is
+not a link leaves a task, and a block is bounded in members and shingles
+(``BLOCK``, ``BLOCK_SHINGLES``; a longer set is a block of its own), so a bucket of any size is dealt to many tasks.
 
 Null or empty text, or text without words: empty set, linked with nothing.
 Rows with one doc_id are one document. A row without doc_id is linked with
@@ -46,12 +42,10 @@ T = ROWS * BANDS
 WIDTH = 4
 #: Similarity in percent.
 LEAST = 80
-CENTERS = 3
-MAX_ROUNDS = 10
-#: Members of a bucket that are compared with each other at once, and rows that a task's group holds, about.
-BLOCK, GROUP = 1024, 20_000
+#: Members and shingles of a block, and shingles that a task's group of blocks holds, about.
+BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES = 2048, 1 << 20, 1 << 20
 
-SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"
+SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,14 +105,13 @@ def _sign(width: int):
                     f1 = np.where(size > 0, np.add.reduceat(pad, at[:-1]), U64(0))
                     f2 = np.where(size > 0, np.add.reduceat(mix(pad ^ U64(mix_int(7))), at[:-1]), U64(0))
                     s = sketches(row, h, c.n)
-                    short = pa.array([x.tobytes() for x in (mix(s) >> U64(56)).astype(np.uint8)], pa.binary())
                     s = s.reshape(c.n, BANDS, ROWS)
                     b = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (c.n, BANDS))
                     for r in range(ROWS):
                         b = mix(b ^ s[:, :, r])
                 flat = pa.array(b.astype(U64).view(np.int64).reshape(-1), pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.n + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, short], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
     return run
 
@@ -138,67 +131,75 @@ def _sets(width: int):
     return run
 
 
-def _agree(least: int) -> float:
-    s = least / 100
-    return T * s - 7 * (T * s * (1 - s)) ** 0.5
-
-
-def _bytes(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, T)
-
-
-def _likely(least: int):
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            keep = 100 * np.minimum(na, nb) >= least * np.maximum(na, nb)
-            keep &= (_bytes(batch.column(4)) == _bytes(batch.column(5))).sum(1) >= _agree(least)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _across(least: int):
-    """A group of blocks (bucket, x, y) -> the pairs across components that can be links."""
+    """A group of blocks (bucket, i, j) -> links between components, at most one per member and block."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, x, y, own, node, component, n = (table[c].to_numpy() for c in ("bucket", "x", "y", "own", "node", "component", "n"))
-        sketch = _bytes(table["sketch"])
-        o = np.lexsort((node, y, x, bucket))
-        key = np.stack([bucket[o], x[o], y[o]])
+        bucket, i, j, component, left, right = (table[c].to_numpy() for c in ("bucket", "i", "j", "component", "left", "right"))
+        sets = table["s"].combine_chunks().to_pylist()
+        order = np.lexsort((j, i, bucket))
+        key = np.stack([bucket[order], i[order], j[order]])
         start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        size = np.diff(np.append(start, len(o)))
         found = []
-        for m in np.unique(size[size > 1]).tolist():
-            i, j = np.triu_indices(m, 1)
-            of_size = start[size == m]
-            step = max(1, 2_000_000 // len(i))
-            for at in range(0, len(of_size), step):
-                first = of_size[at : at + step, None]
-                a, b = o[(first + i).reshape(-1)], o[(first + j).reshape(-1)]
-                ok = (component[a] != component[b]) & ((x[a] == y[a]) | (own[a] != own[b]))
-                ok &= 100 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
-                a, b = a[ok], b[ok]
-                for k in range(0, len(a), 100_000):
-                    p, q = a[k : k + 100_000], b[k : k + 100_000]
-                    near = (sketch[p] == sketch[q]).sum(1) >= _agree(least)
-                    found.append(np.unique(np.sort(np.stack([node[p[near]], node[q[near]]], 1), 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        for rows in np.split(order, start[1:]):
+            found += _links([np.frombuffer(sets[r], U64) for r in rows], component[rows], left[rows], right[rows], least)
+        found = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     return run
 
 
-def _all_across(members: DataFrame, short: DataFrame, rows: int, least: int) -> DataFrame:
-    """Every pair across components of a bucket, as far as it can be a link."""
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "bucket").withColumn("own", own).join(short, "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    group = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(1 + rows // GROUP))
-    dealt = dealt.select(group.alias("g"), "bucket", "x", "y", "own", "node", "component", "n", "sketch")
-    return dealt.groupBy("g").applyInArrow(_across(least), "a long, b long").distinct()
+def _links(sets: list, component: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> list:
+    """Links (component, component) of a left and a right member that connect all of a block's components that any do."""
+    n = np.array([len(x) for x in sets])
+    to = np.flatnonzero(right)
+    names, root = np.unique(component, return_inverse=True)
+    if len(names) < 2 or not len(to) or not left.any():
+        return []
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(n)[:-1])
+    right_ids, at = np.concatenate([ids[r] for r in to]), np.cumsum(n[to]) - n[to]
+    mark = np.zeros(len(vocabulary), np.int64)
+    found = []
+    for a in np.flatnonzero(left):
+        fits = (root[to] != root[a]) & (100 * np.minimum(n[to], n[a]) >= least * np.maximum(n[to], n[a]))
+        if not fits.any():
+            continue
+        mark[ids[a]] = 1
+        if fits.sum() * 8 < len(to):
+            some = np.flatnonzero(fits)
+            both = np.array([mark[ids[b]].sum() for b in to[some]])
+        else:
+            some, both = np.arange(len(to)), np.add.reduceat(mark[right_ids], at)
+        mark[ids[a]] = 0
+        linked = to[some[fits[some] & (100 * both >= least * (n[a] + n[to[some]] - both))]]
+        for r in np.unique(root[linked]):
+            found.append((component[a], component[linked[root[linked] == r][0]]))
+            root[root == r] = root[a]
+    return found
+
+
+def _all_across(members: DataFrame, sets: DataFrame, least: int) -> DataFrame | None:
+    """Links between components (of all pairs of a bucket): rows (a, b) of components; None if no bucket holds two."""
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    bucket = parts.groupBy("bucket").agg(F.max(F.struct("m", "size", "component")).alias("most"), F.sum("m").alias("m"), F.sum("size").alias("size")).where("m > most.m")
+    blocks = lambda m, size: F.ceil(F.greatest(m / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    bucket = bucket.select("bucket", F.col("most.component").alias("major"), blocks(F.col("m"), F.col("size")).alias("js"), blocks(F.col("m") - F.col("most.m"), F.col("size") - F.col("most.size")).alias("is"))
+    dealt = members.join(bucket, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    dealt = dealt.withColumn("own_j", F.pmod(F.xxhash64("node", "bucket"), F.col("js")).cast("int"))
+    dealt = dealt.withColumn("own_i", F.when(F.col("minor"), F.pmod(F.xxhash64("bucket", "node", "bucket"), F.col("is")).cast("int")))
+    # on the right in its own column of blocks; on the left, if outside the major component, in its own row of blocks
+    as_right = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("minor"), F.array_union(as_right, as_left)).otherwise(as_right)))
+    left = F.coalesce(F.col("own_i") == F.col("at.i"), F.lit(False))
+    dealt = checkpoint(dealt.select("bucket", "at.i", "at.j", "node", "component", "n", left.alias("left"), (F.col("own_j") == F.col("at.j")).alias("right")))
+    shingles_dealt = dealt.agg(F.sum("n")).first()[0]
+    if not shingles_dealt:
+        return None
+    group = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(1 + shingles_dealt // GROUP_SHINGLES))
+    dealt = dealt.join(sets, "node").select(group.alias("g"), "bucket", "i", "j", "component", "left", "right", "s")
+    return dealt.groupBy("g").applyInArrow(_across(least), "a long, b long")
 
 
 def _linked(least: int):
@@ -219,23 +220,12 @@ def _linked(least: int):
     return run
 
 
-def _possible(pairs: DataFrame, short: DataFrame, least: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow a link."""
-    one = pairs.join(short.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a")
-    two = one.join(short.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
-    return two.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_likely(least), "a long, b long")
-
-
 def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(_linked(least), "a long, b long")
 
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
@@ -244,57 +234,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     signed = checkpoint(docs.mapInArrow(_sign(width), SIGNATURE))
     # equal sets are one node, named by their least id
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
-    classes = checkpoint(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")))
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
+    classes = checkpoint(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")))
     placed = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "lo")
     placed = checkpoint(placed.join(shared, "bucket").distinct())
-    links = None
-    labels = placed.select("node").distinct()
-    if not placed.isEmpty():
-        chosen = labels.join(classes.select("node", F.col("f1").alias("f")), "node")
+    near = checkpoint(placed.groupBy("node").agg(F.min("lo").alias("lo")))
+    labels = near.select("node", F.col("node").alias("component"))
+    if not near.isEmpty():
+        chosen = near.join(classes.select("node", F.col("f1").alias("f")), "node").select("node", "f")
         sets = docs.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, f long, s binary")
         sets = sets.join(chosen, ["node", "f"], "left_semi").groupBy("node").agg(F.min("s").alias("s")) if _repeated_ids(full) else sets.select("node", "s")
         sets = checkpoint(sets.repartition(partitions(spark), "node"))
-        short = classes.groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("m")).select("node", "m.n", "m.sketch")
-        labels = checkpoint(labels.withColumn("component", F.col("node")))
-        n_nodes, few = labels.count(), False
-        for turn in range(MAX_ROUNDS + 1):
-            members = placed.join(labels, "node")
-            if turn:
-                mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-                members = checkpoint(members.join(mixed, "bucket"))
-                rows = members.count()
-                if not rows:
-                    break
-                last = turn == MAX_ROUNDS or few
-            else:
-                last = False
-            if last:
-                pairs = _all_across(members, short, rows, least)
-            else:
-                by = [F.min("node").alias("c0")] if not turn else [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(97 * turn + i)), "node"))["node"].alias(f"c{i}") for i in range(CENTERS)]
-                centers = members.groupBy("bucket").agg(*by)
-                near = members.join(centers, "bucket").select("node", "component", F.explode(F.array(*[f"c{i}" for i in range(len(by))])).alias("c"))
-                if not turn:
-                    # every node with one other: the least it shares a bucket with
-                    near = near.where("c < node").groupBy("node").agg(F.min("c").alias("c"))
-                else:
-                    # one member of each other component
-                    near = near.where("node <> c").distinct().join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").where("component <> cc")
-                    near = near.groupBy("node", "cc").agg(F.min("c").alias("c"))
-                pairs = _possible(near.select(*_ordered("node", "c")).distinct(), short, least)
-            found = checkpoint(_verify(pairs, sets, least))
-            links = found if links is None else links.unionByName(found)
-            n_found = found.count()
-            few = bool(turn) and CENTERS * n_found < n_nodes
-            if n_found:
-                merged = components(links)
-                labels = checkpoint(placed.select("node").distinct().join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-            if last:
-                break
-    else:
-        labels = labels.withColumn("component", F.col("node"))
+        # every node with the least that it shares a bucket with
+        first = _verify(near.where("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")), sets, least)
+        labels = labels.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        labels = checkpoint(labels)
+        sizes = labels.join(sets.select("node", F.expr("cast(octet_length(s) / 8 as long)").alias("n")), "node")
+        rest = _all_across(placed.select("bucket", "node").join(sizes, "node"), sets, least)
+        if rest is not None:
+            merged = components(rest).select(F.col("node").alias("component"), F.col("component").alias("to"))
+            labels = labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     named = classes.select("f1", "f2", "n_shingles", "node").join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
