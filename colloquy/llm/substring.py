@@ -163,7 +163,9 @@ def _marked(docs: DataFrame, k: str, marks: str) -> tuple[DataFrame, DataFrame]:
     anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes, small), exchange.ANSWER)
     anchors = anchors.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
     dealt = keyed.repartition(partitions(spark), k)
-    with_anchors = dealt.join(anchors, dealt[k] == anchors["__k"], "left").select(k, "text", marks)
+    # with the other columns, so that both joins read one and the same shuffle of the text
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    with_anchors = dealt.join(anchors, dealt[k] == anchors["__k"], "left").select(k, "text", marks, *others)
     sent = with_anchors.mapInArrow(_windows(buckets), exchange.SENT)
     windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes), exchange.ANSWER)
     windows = windows.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
