@@ -75,6 +75,37 @@ def test_sql(docs, empty, table, sql, run):
     assert run(empty).collect() == []
 
 
+def test_near_duplicates_in_small_blocks(docs, table, monkeypatch):
+    # many blocks a bucket: the links do not depend on how members are dealt
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 500)
+    names, want = oracle(table, queries.OP2)
+    assert {r["doc_id"]: tuple(r[c] for c in names) for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_block_links_against_all_pairs():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rnd.integers(2, 14))
+        base = rnd.permutation(40).astype(np.uint64)
+        sets = [np.sort(rnd.choice(base[:13], int(rnd.integers(9, 14)), replace=False)) for _ in range(n)]
+        component = rnd.integers(0, 6, n)
+        left, right = rnd.random(n) < 0.7, rnd.random(n) < 0.7
+
+        def parts(pairs):
+            root = {int(c): int(c) for c in component}
+            for a, b in pairs:
+                old, new = root[int(a)], root[int(b)]
+                root = {c: new if r == old else r for c, r in root.items()}
+            return {frozenset(c for c in root if root[c] == r) for r in root.values()}
+
+        near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+        true = [(component[a], component[b]) for a in range(n) for b in range(n) if left[a] and right[b] and near(sets[a], sets[b])]
+        found = minhash._links(sets, component, left, right, 80)
+        assert parts(found) == parts(true)
+        assert len(found) < 6
+
+
 def test_line_dedup(docs, empty, table):
     got, seen = by_id(line_dedup.digests(docs)), set()
     for i, t, *_ in table:
