@@ -295,6 +295,21 @@ def test_solver(counts):
     assert used == counts and sum(t for t, _ in solution) == -(-sum(x * n for x, n in counts.items()) // 10)
 
 
+def test_complete_wastes_least(monkeypatch):
+    left = {1048: 100, **{x: 1 for x in range(1300, 2000)}}
+    assert packing.complete(sorted(left), left, 4096 - 2000) == [1048, 1048]
+    assert (1, [2000, 1048, 1048]) in packing.completions({**left, 2000: 1}, 4096)
+    rnd = random.Random(3)
+    for tries in (0, 5, packing.TRIES):
+        monkeypatch.setattr(packing, "TRIES", tries)
+        for _ in range(300):
+            room, left = rnd.randint(1, 80), {rnd.randint(1, 60): rnd.randint(1, 4) for _ in range(rnd.randint(0, 7))}
+            fillings = [()]  # all of them, longest piece first
+            for x in sorted(left, reverse=True):
+                fillings = [f + (x,) * k for f in fillings for k in range(left[x] + 1) if sum(f) + k * x <= room]
+            assert packing.complete(sorted(left), left, room) == list(max(fillings, key=lambda f: (sum(f), f)))
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
