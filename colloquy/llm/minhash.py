@@ -23,7 +23,9 @@ not a link leaves a task, and a block is bounded in members and shingles
 (``BLOCK``, ``BLOCK_SHINGLES``; a longer set is a block of its own), so a bucket of any size is dealt to many tasks.
 
 Null or empty text, or text without words: empty set, linked with nothing.
-Rows with one doc_id are one document. A row without doc_id is linked with
+Every row is a document of its own, whatever its doc_id: a component is named by its least doc_id, and of its rows
+one is kept, one of those with that doc_id. So a doc_id with several texts is decided text by text, of repeated rows
+with equal doc_id and text one stays, and two components with the same least doc_id share a name. A row without doc_id is linked with
 nothing (its component is null, and it is kept). An empty table gives an empty result.
 """
 
@@ -31,10 +33,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, partitions, ship
+from .common import checkpoint, components, free, partitions, ship
 from .words import U64, chunks, mix, mix_int, windows
 
 ROWS, BANDS = 4, 30
@@ -45,7 +48,7 @@ LEAST = 80
 #: Members and shingles of a block, and shingles that a task's group of blocks holds, about.
 BLOCK, BLOCK_SHINGLES, GROUP_SHINGLES = 2048, 1 << 20, 1 << 20
 
-SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, key long"
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,12 +114,14 @@ def _sign(width: int):
                         b = mix(b ^ s[:, :, r])
                 flat = pa.array(b.astype(U64).view(np.int64).reshape(-1), pa.int64())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (c.n + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands, batch.column(2).slice(c.first, c.n)], ["doc_id", "n_shingles", "f1", "f2", "bands", "key"])
 
     return run
 
 
 def _sets(width: int):
+    """(node, text, f) -> node and set of the texts whose hash sum is f."""
+
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column(1)):
@@ -126,7 +131,8 @@ def _sets(width: int):
                 with np.errstate(over="ignore"):
                     f = [int(np.add.reduce(h[a:b]).view(np.int64)) if b > a else 0 for a, b in zip(at[:-1], at[1:])]
                 s = pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n).cast(pa.int64()), pa.array(f, pa.int64()), s], ["node", "f", "s"])
+                same = pc.equal(pa.array(f, pa.int64()), batch.column(2).slice(c.first, c.n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), s], ["node", "s"]).filter(same)
 
     return run
 
@@ -227,24 +233,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _decided(docs, width, least).drop("key")
+
+
+def _decided(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and key (of doc_id and text) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpoint(docs.mapInArrow(_sign(width), SIGNATURE))
-    # equal sets are one node, named by their least id
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
+    signed = checkpoint(docs.mapInArrow(_sign(width), SIGNATURE).withColumn("row", F.monotonically_increasing_id()))
+    # equal sets are one node, named by the row that has the least id
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    classes = checkpoint(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")))
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "key", "row", "bands")).alias("m"))
+    classes = checkpoint(classes.select("f1", "f2", "n_shingles", "m.doc_id", "m.key", F.col("m.row").alias("node"), F.col("m.bands").alias("bands")))
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "lo")
     placed = checkpoint(placed.join(shared, "bucket").distinct())
     near = checkpoint(placed.groupBy("node").agg(F.min("lo").alias("lo")))
     labels = near.select("node", F.col("node").alias("component"))
     if not near.isEmpty():
-        chosen = near.join(classes.select("node", F.col("f1").alias("f")), "node").select("node", "f")
-        sets = docs.join(chosen.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, f long, s binary")
-        sets = sets.join(chosen, ["node", "f"], "left_semi").groupBy("node").agg(F.min("s").alias("s")) if _repeated_ids(full) else sets.select("node", "s")
+        chosen = near.join(classes, "node").select("node", "doc_id", "key", F.col("f1").alias("f"))
+        sets = docs.join(chosen, ["doc_id", "key"]).select("node", "text", "f").mapInArrow(_sets(width), "node long, s binary")
+        sets = sets.groupBy("node").agg(F.min("s").alias("s")) if _repeated_rows(full) else sets
         sets = checkpoint(sets.repartition(partitions(spark), "node"))
         # every node with the least that it shares a bucket with
         first = _verify(near.where("lo < node").select(F.col("lo").alias("a"), F.col("node").alias("b")), sets, least)
@@ -255,17 +266,34 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
         if rest is not None:
             merged = components(rest).select(F.col("node").alias("component"), F.col("component").alias("to"))
             labels = labels.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    named = classes.select("f1", "f2", "n_shingles", "node").join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    # a component's name and the row that is kept of it
+    lead = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("m"))
+    labels = labels.join(lead, "component").select("node", F.col("m.doc_id").alias("c"), F.col("m.node").alias("lead"))
+    named = classes.select("f1", "f2", "n_shingles", "node", F.col("doc_id").alias("own")).join(labels, "node", "left")
+    named = named.select("f1", "f2", "n_shingles", F.coalesce("c", "own").alias("c"), F.coalesce("lead", "node").alias("lead"))
+    out = signed.drop("bands").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.col("doc_id").isNull() | F.coalesce(F.col("row") == F.col("lead"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def _repeated_ids(signed: DataFrame) -> bool:
-    return not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
+def _repeated_rows(signed: DataFrame) -> bool:
+    return not signed.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: int = LEAST) -> DataFrame:
     """The documents, columns as given, of which one of each group stays."""
-    gone = near_duplicates(docs, width, least).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    key, id_, k = free("__key", docs), free("__id", docs), free("__gone", docs)
+    lost = _decided(docs, width, least).groupBy(F.col("doc_id").alias(id_), F.col("key").alias(k)).agg(F.max("kept").alias("one"), F.min("kept").alias("all"))
+    lost = checkpoint(lost.where("not all"))
+    keyed = docs.withColumn(key, _key())
+    same = (keyed["doc_id"].cast("long") == F.col(id_)) & (keyed[key] == F.col(k))
+    rest = keyed.join(lost.select(id_, k), same, "left_anti")
+    repeated = lost.where("one").select(id_, k)
+    if not repeated.isEmpty():
+        rest = rest.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return rest.drop(key)

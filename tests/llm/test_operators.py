@@ -83,6 +83,22 @@ def test_near_duplicates_in_small_blocks(docs, table, monkeypatch):
     assert {r["doc_id"]: tuple(r[c] for c in names) for r in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, b, c, d, e = map(text, "abcde")
+    near = lambda t: t + " end"
+    # 2 has a copy of 1 and a clean text; 5 has two texts that both have near copies; 8 and 10 are repeated rows
+    data = [(1, a), (2, a), (2, b), (5, c), (5, d), (6, near(c)), (7, near(d)), (8, e), (8, e), (9, near(e)), (10, near(e)), (10, near(e)), (11, ""), (11, ""), (None, a), (None, a)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, __key string").repartition(3)
+    want = Counter([(1, a), (2, b), (5, c), (5, d), (8, e), (11, ""), (11, ""), (None, a), (None, a)])
+    out = minhash.keep_one(frame)
+    assert out.columns == frame.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    got = minhash.near_duplicates(frame).collect()
+    assert len(got) == len(data) and Counter(r.doc_id for r in got if r.kept) == Counter(i for i, _ in want.elements())
+    component = {1: 1, 2: {1, 2}, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 10: 8, 11: 11, None: None}
+    assert all(r.component_id == component[r.doc_id] or r.doc_id == 2 and r.component_id in component[2] for r in got)
+
+
 def test_block_links_against_all_pairs():
     rnd = np.random.default_rng(3)
     for _ in range(60):
