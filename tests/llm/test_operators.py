@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,3 +339,101 @@ def test_pipeline(spark, docs, empty, tmp_path):
             out.write.parquet(path := str(tmp_path / f"{name}{i}"))
             d = spark.read.parquet(path)
         assert (d.count() > 0) == (name == "full")
+
+
+def quality_by_hand(docs):
+    judged = []
+    for i, t, source in docs:
+        t = t or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(w[j:j + 8]) for j in range(len(w) - 7)]
+        n = Counter(windows)
+        covered = {j + d for j, x in enumerate(windows) if n[x] > 1 for d in range(8)}
+        base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        soft = 100 * sum(c in "#*$%&|<>" for c in t) > 10 * sum(map(len, w)) or 100 * (len(lines) - len(set(lines))) > 30 * len(lines)
+        judged.append((i, t, source, base, soft))
+    hosts = defaultdict(list)
+    for *_, source, base, soft in judged:
+        hosts[source].append(base or soft)
+    mean, rates = sum(map(sum, hosts.values())) / len(judged), [sum(x) / len(x) for x in hosts.values()]
+    v = float(np.var(rates))
+    weight = min(max(mean * (1 - mean) / v - 1, 1), 1000) if v else 1000
+    bad = {h for h, x in hosts.items() if (sum(x) + mean * weight) / (len(x) + weight) > 0.5}
+    return [(i, t, source) for i, t, source, base, soft in judged if not base and not (soft and source in bad)]
+
+
+def lines_by_hand(docs):
+    seen, out = set(), []
+    for i, t, source in sorted(docs, key=lambda d: d[0]):
+        gone = set()
+        for j, body, _ in line_dedup.chunk_list(t.encode()):
+            if body in seen:
+                gone.add(j)
+            seen.add(body)
+        out.append((i, line_dedup._kept(t.encode(), gone)[0].decode(), source))
+    return out
+
+
+def near_by_hand(docs):
+    sets = {}
+    for i, t, _ in docs:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(len(w) - 4, 1))} if w else set()
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return [d for d in docs if root[d[0]] == d[0]]
+
+
+def substrings_by_hand(docs):
+    ws = {i: t.encode().split() for i, t, _ in docs}
+    n = Counter(tuple(w[j:j + 35]) for w in ws.values() for j in range(len(w) - 34))
+    out = []
+    for i, t, source in docs:
+        w = ws[i]
+        gone = {j + d for j in range(len(w) - 34) if n[tuple(w[j:j + 35])] > 1 for d in range(35)}
+        if gone:  # a word goes with the white space before it
+            parts = re.findall(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+", t.encode())
+            kept = b"".join(x for j, x in enumerate(parts) if j not in gone)
+            t = (kept.lstrip(b" \t\n\x0b\x0c\r") if 0 in gone else kept).decode()
+        out.append((i, t, source))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, table, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    text = lambda n: " ".join("w" + str(rnd.randint(0, 5000)) for _ in range(n))
+    base = text(120).split(" ")
+    more = [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in (3, 60, 110)]  # near copies of one another
+    more = [(t, "src0") for t in more] + [("## ** %% $$ " * 12 + text(30), "bad") for _ in range(6)] + [(text(40), "bad")]
+    rows = [*table, *((1000 + i, t, "en", source, len(t), "k", "q", "b") for i, (t, source) in enumerate(more))]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    given = []
+
+    def seen(f):
+        return lambda s, docs, d: (given.append(sorted((r.doc_id, r.text, r.source) for r in docs.collect())), f(s, docs, d))[1]
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, seen(f)) for name, f in corpus_pipeline.STAGES])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = [(r[0], r[1], r[3]) for r in rows]
+    assert len(given) == 5
+    for by_hand, out in zip((quality_by_hand, lines_by_hand, near_by_hand, substrings_by_hand), given[1:]):
+        before, want = want, by_hand(want)
+        assert want != before  # every stage has something to do
+        assert out == sorted(want, key=lambda r: r[0])
+    tk = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    pieces = []
+    for i, t, _ in want:
+        ids = tk.encode(t, add_special_tokens=False).ids + [1]
+        cut = [ids[j:j + 4096] for j in range(0, len(ids), 4096)]
+        pieces += [(i, p, 4096 * p, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for p, x in enumerate(cut)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces)
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(o + n <= 4096 for _, o, n in spots) and all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(spots, spots[1:]))
