@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve (built-in functions only).
 
 Language, source, length and id (ingest order) are quantised to 2**BITS levels
-each by equal-frequency cut points, every document gets the index of its cell
+each by equal-frequency cut points (of whole strings, by their bytes), every document gets the index of its cell
 on the Hilbert curve through the four dimensions, and the documents in curve
 order are cut into runs whose counts differ by at most one (law ``rows``).
 Neighbouring documents on the curve share value ranges in every dimension, so
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, partitions
 
 DIMS, BITS = 4, 3
 CELLS = 1 << (DIMS * BITS)
@@ -70,13 +70,32 @@ def curve_table() -> list[int]:
     return [curve_index([c >> (BITS * d) & (side - 1) for d in range(DIMS)], BITS) for c in range(CELLS)]
 
 
-def _number(c: Column) -> Column:
-    """Order-preserving number of a string's first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def _text(name: str) -> Column:
+    """A string with null below the empty one."""
+    return F.coalesce(F.concat(F.lit(" "), F.col(name)), F.lit(""))
 
 
 def _measures() -> list[Column]:
-    return [F.coalesce(c, F.lit(-1)).cast("long") for c in (_number(F.col("lang")), _number(F.col("source")), F.col("n_chars"), F.col("doc_id"))]
+    return [_text("lang"), _text("source"), *(F.coalesce(F.col(c), F.lit(-1)).cast("long") for c in ("n_chars", "doc_id"))]
+
+
+def _text_cuts(values: DataFrame, at: list[float]) -> list[str]:
+    """Least values of the column v that the shares ``at`` of the rows do not exceed; whole strings, counted
+    exactly on ranges of distinct values, of which only those that hold a cut are summed up in order."""
+    counts = values.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange(partitions(values.sparkSession), "v")
+    counts = checkpoint(counts.withColumn("p", F.spark_partition_id()))
+    sums = sorted(tuple(r) for r in counts.groupBy("p").agg(F.sum("n")).collect())
+    targets, total, before, wanted = [], sum(n for _, n in sums), 0, F.lit(False)
+    for p, n in sums:
+        for q in at:
+            if before < q * total <= before + n:
+                targets.append((p, q * total - before))
+        before += n
+    up_to = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    for p, t in targets:
+        wanted = wanted | ((F.col("p") == p) & (F.col("up_to") >= t) & (F.col("up_to") - F.col("n") < t))
+    some = counts.where(F.col("p").isin([p for p, _ in targets])).withColumn("up_to", up_to)
+    return [r["v"] for r in some.where(wanted).select("v").collect()]
 
 
 def order(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -84,8 +103,9 @@ def order(docs: DataFrame, n_shards: int) -> DataFrame:
     side = 1 << BITS
     at = [i / side for i in range(1, side)]
     measures = [c.alias(f"m{i}") for i, c in enumerate(_measures())]
-    cuts = docs.select("lang", "source", "n_chars", "doc_id").select(*measures).agg(
-        *[F.percentile_approx(f"m{i}", at, 10000).alias(f"m{i}") for i in range(DIMS)]).first()
+    measured = docs.select("lang", "source", "n_chars", "doc_id").select(*measures)
+    cuts = [_text_cuts(measured.select(F.col(f"m{i}").alias("v")), at) for i in (0, 1)]
+    cuts += measured.agg(*[F.percentile_approx(f"m{i}", at, 10000) for i in (2, 3)]).first()
     cell = F.lit(0)
     for i, c in enumerate(_measures()):
         for cut in sorted(set(cuts[i] or [])):

@@ -262,6 +262,17 @@ def test_hilbert(docs, empty, table):
     assert hilbert.order(empty, 7).collect() == []
 
 
+def test_hilbert_levels_of_long_strings(spark):
+    # one prefix: the levels come from what follows it
+    sources = [f"https://www.example.org/{i:02d}" for i in range(64)]
+    data = [(4 * i + k, "text", None if k else "en", s, 4) for i, s in enumerate(sources) for k in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    place = {c: i for i, c in enumerate(hilbert.curve_table())}
+    got = {r.doc_id: place[r.cell] for r in hilbert.order(docs, 3).collect()}
+    assert [got[d[0]] >> hilbert.BITS & 7 for d in data] == [d[0] // 32 for d in data]
+    assert [got[d[0]] & 7 for d in data] == [int(d[2] == "en") for d in data]
+
+
 def test_warc(spark):
     data = [(i, f"http://x/{i}\n", h) for i, h in enumerate([None, "", "a", "b", "a", "é" * 5000, "a", "b\r\n\r\nWARC/1.1"])]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
