@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover_tree, hilbert, line_dedup, minhash, packing, ppm, quality, substring, warc
+from . import bpe, cover_tree, hilbert, line_dedup, minhash, mixing, packing, ppm, quality, repair, substring, warc, whitening
 
 #: Parameters of the queries.
 VOCABULARY = "word_bpe_49k.json"
@@ -66,9 +66,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(_table(spark, sf_dir, "conversations"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(_table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1, "op2_minhash": op2, "op3_bpe": op3, "op4_cover_tree": op4, "op5_ppm": op5,
     "op6_substring": op6, "op7_quality": op7, "op8_hilbert": op8, "op9_warc": op9, "op10_packing": op10,
+    "op11_repair": op11, "op12_whitening": op12, "op13_mixing": op13,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -140,5 +153,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN z ON z.source IS NOT DISTINCT FROM b.source
 """
 
-#: Not expressible in SQL (checksums, tokenizers, archives, approximate cut points): 1, 3, 5, 8, 9, 10; brute force in tests/llm.
-ORACLES: dict[str, str] = {"op2_minhash": OP2, "op4_cover_tree": OP4, "op6_substring": OP6, "op7_quality": OP7}
+OP13 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, {list(mixing.WEIGHTS)}[sid % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w, {float(mixing.SHARE)}::DOUBLE * sum(s) OVER () AS budget FROM s),
+o AS (SELECT *, row_number() OVER z AS place, coalesce(sum({mixing.PASSES} * s) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS limited,
+        sum(w) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w WINDOW z AS (ORDER BY s / w, sid)),
+v AS (SELECT (budget - limited) / open AS level FROM o WHERE (budget - limited) / open * w <= {mixing.PASSES} * s ORDER BY place LIMIT 1),
+t AS (SELECT sid, source, s::BIGINT AS source_size, least({mixing.PASSES} * s, level * w) AS target, floor(budget) AS budget FROM o, v),
+q AS (SELECT d.*, t.* EXCLUDE (source), row_number() OVER (PARTITION BY sid ORDER BY key) AS place, sum(size) OVER (PARTITION BY sid ORDER BY key ROWS UNBOUNDED PRECEDING) AS sent
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+m AS (SELECT sid, place, pass, size, budget, sum(size) OVER (ORDER BY (pass * source_size + sent)::DOUBLE / target, sid, pass, key, place ROWS UNBOUNDED PRECEDING) AS total
+      FROM q, range({mixing.PASSES}) p(pass) WHERE size > 0),
+k AS (SELECT sid, place, sum(size) AS taken FROM m WHERE total <= budget GROUP BY sid, place)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (sid, place)
+"""
+
+#: Not expressible in SQL (checksums, tokenizers, archives, approximate cut points, edit scripts, eigenvectors): 1, 3, 5, 8, 9, 10, 11, 12; brute force in tests/llm.
+ORACLES: dict[str, str] = {"op2_minhash": OP2, "op4_cover_tree": OP4, "op6_substring": OP6, "op7_quality": OP7, "op13_mixing": OP13}
