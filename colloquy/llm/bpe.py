@@ -5,7 +5,7 @@ pieces, the merge ranks and the two special strings. A text is cut at the specia
 strings, normalised (NFC, lower case) and cut at white space; the tokens of a
 white-space word never depend on its neighbours.
 
-Lexicon: all words of the corpus are counted, the ``LEXICON`` most frequent
+Lexicon: all words of the corpus are counted; the most frequent that occur twice or more, ``LEXICON`` at most,
 are encoded once, and compiled into an acyclic automaton whose equal suffixes
 are shared (states with equal futures are one state); every transition
 carries how many words stand before it, so a path adds up to the word's
@@ -13,8 +13,9 @@ number, and the number gives its ids. The automaton is a few flat arrays in one
 handed out by Spark (``addFile``) and memory-mapped by the tasks; its size is bounded by
 LEXICON. The words of a batch walk it together, one byte a step.
 
-Words outside the lexicon are merged exactly: all such words of a batch at once, the
-best-ranked pair of each word in each step, leftmost first where pairs overlap.
+Words outside the lexicon are merged exactly: all such words of a batch at once, in matrices of words of about one length, the
+best-ranked pair of each word in each step, the leftmost of equals. Very long words are merged one by one
+with a heap of their pairs, in time n log n.
 
 Null text is empty: no ids, empty decoded text. Repeated rows are encoded alike. An
 empty table gives an empty result (the lexicon is then empty).
@@ -30,25 +31,29 @@ import tempfile
 import unicodedata
 import uuid
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import checkpoint, ship
 
 #: Words in the lexicon.
 LEXICON = 1 << 15
-#: Words whose ids a Python worker remembers at most.
+#: Steps an octave in which frequencies are told apart.
+LEVELS = 16
+#: Words whose ids a Python worker remembers, until the batch that passes it.
 REMEMBERED = 3 << 18
 #: Characters of text handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+PIECE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Characters that str.split() takes for white space and the vocabulary's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -97,6 +102,9 @@ class Vocabulary:
             else:
                 self.slot_pair[s], self.slot_rank[s] = p, rank
         self.made = made
+        self.rank_of: dict[int, int] = {}
+        for rank, p in enumerate(pair.tolist()):
+            self.rank_of.setdefault(p, rank)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         p = left * self.size + right
@@ -111,44 +119,91 @@ class Vocabulary:
             s[todo] = (s[todo] + 1) & self.mask
         return out
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each (non-empty) word, by merging."""
-        data = np.frombuffer(b"".join(words), np.uint8)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian 32-bit strings, of each (non-empty) word, by merging."""
+        out: list = [b""] * len(words)
         lens = np.array([len(w) for w in words])
-        ends = np.cumsum(lens)
-        ids = self.byte_id[data]
-        ids[ends - 1] = self.last_id[data[ends - 1]]
-        word = np.repeat(np.arange(len(words)), lens)
-        done: list = [None] * len(words)
-        with np.errstate(over="ignore"):
-            while len(ids):
-                r = np.full(len(ids), NONE, np.int64)
-                r[:-1] = np.where(word[:-1] == word[1:], self.ranks(ids[:-1], ids[1:]), NONE)
-                start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                best = np.minimum.reduceat(r, start)
-                size = np.diff(np.append(start, len(ids)))
-                over = best == NONE
-                if over.any():
-                    for a, n in zip(start[over].tolist(), size[over].tolist()):
-                        done[word[a]] = ids[a : a + n]
-                    live = np.repeat(~over, size)
-                    ids, word, r, best, size = ids[live], word[live], r[live], best[~over], size[~over]
-                    if not len(ids):
-                        break
-                hit = r == np.repeat(best, size)
-                # of pairs that overlap (a a a), every second one, from the left
-                run = hit.copy()
-                run[1:] &= ~hit[:-1]
-                at = np.arange(len(hit))
-                first = np.maximum.accumulate(np.where(run, at, 0))
-                hit &= (at - first) % 2 == 0
-                ids[hit] = self.made[r[hit]]
-                keep = np.ones(len(ids), bool)
-                keep[1:] = ~hit[:-1]
-                ids, word = ids[keep], word[keep]
-        return done
-
+        done = 0
+        for width in WIDTHS:  # words of about one length are a matrix
+            at = np.flatnonzero((lens > done) & (lens <= width))
+            done = width
+            for i in range(0, len(at), ROWS):
+                rows = at[i : i + ROWS]
+                data, cut = self._merge_rows([words[j] for j in rows.tolist()], lens[rows], width)
+                for j, x, y in zip(rows.tolist(), cut[:-1], cut[1:]):
+                    out[j] = data[x:y]
+        for j in np.flatnonzero(lens > done).tolist():
+            out[j] = self._merge_long(words[j])
+        return out
 
+    def _merge_rows(self, words: list[bytes], lens: np.ndarray, width: int) -> tuple[bytes, list[int]]:
+        """One merge a row and step: the best-ranked pair, the leftmost of equals."""
+        n = len(words)
+        inside = np.arange(width) < lens[:, None]
+        data = np.zeros((n, width), np.uint8)
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(inside, self.byte_id[data], -1)
+        last = (np.arange(n), lens - 1)
+        ids[last] = self.last_id[data[last]]
+        ends = np.full((n, width), -1, np.int64)
+        sizes = lens.copy()
+        rank = np.full((n, width), NONE, np.int64)
+        pairs = inside[:, 1:]
+        rank[:, :-1][pairs] = self.ranks(ids[:, :-1][pairs], ids[:, 1:][pairs])
+        live, column = np.arange(n), np.arange(width)
+        while len(live):
+            best = rank.argmin(1)
+            row = np.arange(len(live))
+            found = rank[row, best]
+            more = found < NONE
+            if not more.all():
+                ends[live[~more]] = ids[~more]
+                live, ids, rank, best, found, row = live[more], ids[more], rank[more], best[more], found[more], row[: int(more.sum())]
+                if not len(live):
+                    break
+            # the pair becomes one: what follows moves up by one
+            ids[:, :-1] = np.where(column[:-1] > best[:, None], ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(column[:-1] > best[:, None], rank[:, 1:], rank[:, :-1])
+            ids[:, -1], rank[:, -1] = -1, NONE
+            ids[row, best] = self.made[found]
+            sizes[live] -= 1
+            rank[row, best] = NONE
+            for to in (best, best - 1):
+                ok = (to >= 0) & (to + 1 < sizes[live])
+                r, t = row[ok], to[ok]
+                rank[r, t] = self.ranks(ids[r, t], ids[r, t + 1])
+        return ends[np.arange(width) < sizes[:, None]].astype("<u4").tobytes(), (4 * np.append(0, np.cumsum(sizes))).tolist()
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same for one long word: neighbours in a linked list, pairs in a heap by rank and place."""
+        raw = np.frombuffer(word, np.uint8)
+        ids = self.byte_id[raw].tolist()
+        ids[-1] = int(self.last_id[raw[-1]])
+        n = len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        found = self.ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(found) if r < NONE]
+        heapify(heap)
+        rank_of, made = self.rank_of, self.made.tolist()
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if j < 0 or ids[i] != a or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = made[r], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (q := rank_of.get(ids[x] * self.size + ids[y])) is not None:
+                    heappush(heap, (q, x, ids[x], ids[y]))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
+
+#: Widths of the matrices in which words are merged; longer words are merged one by one.
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 48)
+#: Rows of such a matrix.
+ROWS = 8192
 NONE = 1 << 40
 
 
@@ -260,50 +315,86 @@ def compile_words(words: list[bytes], ids: list[np.ndarray], path: str) -> None:
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of words as little-endian 32-bit strings."""
+    """Encodes texts; remembers the ids of words and of their pieces as little-endian 32-bit strings."""
 
-    def __init__(self, vocab: str, lexicon: str | None = None):
+    def __init__(self, vocab: str, lexicon: str | None = None, remembered: int = REMEMBERED):
         self.v = vocabulary(vocab)
         self.lexicon = Transducer(lexicon) if lexicon else None
-        self.known: dict[str, bytes] = {}
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the special strings' ids stay, which no merging gives."""
+        self.known: dict[str, bytes] = {"": b"", **{s: int(i).to_bytes(4, "little") for s, i in self.v.special.items()}}
+        self.pieces: dict[str, bytes] = {"\n": b""}
 
-    def learn(self, words: set[str]) -> None:
-        """Finds the ids of words that aren't known yet."""
-        words = list(words - self.known.keys())
+    def learn(self, words: list[str]) -> None:
+        """Finds the ids of different words that aren't known yet."""
         if self.lexicon is not None and words:
-            raw = [w.encode() for w in words]
-            n = self.lexicon.find(raw)
-            offsets, ids = self.lexicon.offsets, self.lexicon.ids
-            for w, i in zip(words, n.tolist()):
-                if i >= 0:
-                    self.known[w] = ids[offsets[i] : offsets[i + 1]].tobytes()
-            words = [w for w, i in zip(words, n.tolist()) if i < 0]
+            n = self.lexicon.find([w.encode() for w in words]).tolist()
+            offsets, ids = self.lexicon.offsets.tolist(), self.lexicon.ids.tobytes()
+            self.known.update((w, ids[4 * offsets[i] : 4 * offsets[i + 1]]) for w, i in zip(words, n) if i >= 0)
+            words = [w for w, i in zip(words, n) if i < 0]
         if not words:
             return
-        cut = [PIECE.findall(normal(w)) for w in words]
-        pieces = list({p for c in cut for p in c})
-        ids = dict(zip(pieces, (x.astype("<u4").tobytes() for x in self.v.merge([p.encode() for p in pieces])))) if pieces else {}
-        for w, c in zip(words, cut):
-            self.known[w] = b"".join([ids[p] for p in c])
+        # a word holds no white space, so all are normalised and cut as one text, a line each
+        parts = pa.array(PIECE.findall(normal("\n".join(words)) + "\n"), pa.large_string()).dictionary_encode()
+        pieces, found = self.pieces, _strings(parts.dictionary)
+        new = [p for p in found if p not in pieces]
+        pieces.update(zip(new, self.v.merge([p.encode() for p in new])))
+        which = parts.indices.to_numpy()
+        data, cut = _deal([pieces[p] for p in found], which)
+        ends = np.append(0, cut[1:][which == found.index("\n")]).tolist()
+        self.known.update(zip(words, [data[a:b] for a, b in zip(ends[:-1], ends[1:])]))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.known) > self.remembered:
+            self._forget()
+        out = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            self.learn([words[i] for i in missing])
+            for i in missing:
+                out[i] = self.known[words[i]]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn({w for ws in cut for w in ws})
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        """Ids of each text: every different word of all texts is looked up once, and ids are dealt by word numbers."""
+        simple = np.array(["<|" not in t and (t.isascii() or unicodedata.is_normalized("NFC", t)) and not ODD_SPACE.search(t) for t in texts], bool)
+        order = np.argsort(~simple, kind="stable")  # simple texts first: Arrow cuts them at white space just as str.split does
+        split = pc.utf8_split_whitespace(pa.array([texts[i] for i in order[: simple.sum()].tolist()], pa.large_string()))
+        others = [self._words(texts[i]) for i in order[simple.sum() :].tolist()]
+        words = pa.chunked_array([split.flatten(), pa.array([w for ws in others for w in ws], pa.large_string())]).combine_chunks().dictionary_encode()
+        ids = self._ids(_strings(words.dictionary))
+        out, ends = _deal(ids, words.indices.to_numpy())
+        cut = ends[np.append(0, np.cumsum(np.append(pc.list_value_length(split).to_numpy(), np.array([len(ws) for ws in others], np.int64)).astype(np.int64)))]
+        texts_ids: list = [b""] * len(texts)
+        for i, a, b in zip(order.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            texts_ids[i] = out[a:b]
+        return texts_ids
 
     def _words(self, text: str) -> list[str]:
         if "<|" in text:
             parts = SPECIAL.split(text)
             if len(parts) > 1:
-                for s, i in self.v.special.items():
-                    self.known[s] = int(i).to_bytes(4, "little")
                 return [w for j, p in enumerate(parts) for w in ([p] if j % 2 else _cut(p))]
         return _cut(text)
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _deal(parts: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Parts (32-bit numbers) put together in an order; and where each begins, and the end."""
+    n = np.array([len(x) >> 2 for x in parts], np.int64)
+    pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(n) - n
+    sizes = n[which]
+    ends = np.append(0, np.cumsum(sizes))
+    return pool[np.repeat(first[which] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes(), 4 * ends
+
+
 def _cut(text: str) -> list[str]:
     if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
@@ -348,21 +439,28 @@ def decode(ids: bytes, pieces: list[str]) -> str:
 
 def _count(batches):
     for batch in batches:
-        seen: dict[str, int] = {}
-        for t in batch.column(0).to_pylist():
-            for w in _cut(t or ""):
-                seen[w] = seen.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+        words = pc.utf8_split_whitespace(batch.column(0).fill_null("").cast(pa.large_string())).flatten()
+        n = pc.value_counts(words)
+        yield pa.RecordBatch.from_arrays([n.field(0).cast(pa.string()), n.field(1)], ["w", "n"])
 
 
 def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON) -> str:
-    """Counts all words, compiles the most frequent; returns the name under which tasks find the file."""
+    """Counts all words, compiles the most frequent; returns the name under which tasks find the file.
+
+    How many words there are of about each frequency (``LEVELS`` steps an octave) gives the least frequency
+    with which the lexicon is full: only its words, ``size`` at most, come to the driver.
+    """
     spark: SparkSession = docs.sparkSession
     counts = docs.select("text").mapInArrow(_count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.octet_length("w") <= 64)
-    top = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counts = checkpoint(counts.where(F.octet_length("w").between(1, 64) & (F.col("n") > 1)).select("w", F.floor(F.log2("n") * LEVELS).cast("int").alias("level")))
+    room, least = size, None
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # 64 * LEVELS rows at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    top = [] if least is None else [r["w"] for r in counts.where(F.col("level") >= least).select("w").collect()]
     e = Encoder(vocab)
-    e.learn(set(top))
+    e.learn(top)
     name = f"lexicon-{uuid.uuid4().hex[:12]}"
     path = os.path.join(tempfile.mkdtemp(prefix="colloquy-"), name)
     compile_words([w.encode() for w in top], [np.frombuffer(e.known[w], "<u4") for w in top], path)

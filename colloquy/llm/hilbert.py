@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, partitions
+from .common import checkpoint, free, partitions
 
 DIMS, BITS = 4, 3
 CELLS = 1 << (DIMS * BITS)
@@ -140,11 +140,20 @@ def order(docs: DataFrame, n_shards: int) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "cell", "rank", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, n_shards: int, path: str) -> None:
-    """Writes the documents, all columns, one folder per shard in curve order.
-
-    Meant for tables with unique ids: the order joins back on doc_id.
-    """
-    o = order(docs, n_shards).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    d = docs.join(o, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    d.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, n_shards: int, path: str) -> str:
+    """Writes the documents, all columns as given, one folder per shard in curve order; returns the folders' column
+    (``shard``, or a name near it that is free). Rows with equal id and text take the places of such rows in any order."""
+    size, crc, copy, to, place = (free(c, docs) for c in ("__size", "__crc", "__copy", "shard", "__slot"))
+    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    mine = docs.withColumn(size, (F.octet_length(text) + 16).cast("long")).withColumn(crc, F.crc32(text))
+    mine = mine.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", size, crc).orderBy("lang", "source", "n_chars")))
+    o = order(docs, n_shards)
+    o = o.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("rank")))
+    at = [free(c, mine) for c in ("__i", "__n", "__c", "__m")]
+    o = o.select(*[F.col(c).alias(x) for c, x in zip(("doc_id", "size", "text_crc32", "copy"), at)], F.col("shard").alias(to), F.col("slot").alias(place))
+    on = F.col("doc_id").eqNullSafe(F.col(at[0]))
+    for c, x in zip((size, crc, copy), at[1:]):
+        on = on & (F.col(c) == F.col(x))
+    d = mine.join(o, on).select(*[F.col(f"`{c}`") for c in docs.columns], to, place)
+    d.repartition(n_shards, to).sortWithinPartitions(to, place).drop(place).write.mode("overwrite").partitionBy(to).parquet(path)
+    return to

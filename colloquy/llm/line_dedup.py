@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, partitions, ship
+from .common import checkpoint, free, partitions, ship
 from .words import U64, mix, mix_int
 
 LOOK, DIVISOR, LEAST, MOST = 2, 3, 2, 16
@@ -134,19 +134,22 @@ def _joined(docs: DataFrame, k: str, js: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
-    places = keyed.select(k, F.col("doc_id").cast("long"), "text").mapInArrow(_hashes, "h binary, k long, doc_id long, j int").distinct()
+    other, marks = free("__k", keyed), free("__js", keyed)
+    text = keyed.select(F.col(k).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # read twice, so written once: texts are cut and hashed once
+    places = checkpoint(text.mapInArrow(_hashes, "h binary, k long, doc_id long, j int").distinct())
     # hashes at two places or more: count with map-side combining, then join back
     twice = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marked = places.join(twice, "h").groupBy("k").agg(F.collect_list("j").alias("__js")).withColumnRenamed("k", "__k")
+    marked = places.join(twice, "h").groupBy(F.col("k").alias(other)).agg(F.collect_list("j").alias(marks))
     dealt = keyed.repartition(partitions(spark), k)
-    left = dealt.join(marked, dealt[k] == marked["__k"], "left").select(k, F.col("doc_id").cast("long").alias("doc_id"), "text", "__js")
+    left = dealt.join(marked, F.col(k) == F.col(other), "left").select(F.col(k).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(marks).alias("js"))
     bodies = left.mapInArrow(_bodies, "h binary, body binary, k long, doc_id long, j int")
     place = F.struct("doc_id", "k", "j")
     first = bodies.groupBy("h").agg(F.min(F.struct("doc_id", "k", "j", "body")).alias("first"))
     # byte comparison with the first place's chunk
     same = bodies.join(first, "h").where((F.col("body") == F.col("first.body")) & ~(place.eqNullSafe(F.struct("first.doc_id", "first.k", "first.j"))))
-    gone = same.groupBy("k").agg(F.collect_set("j").alias(js)).withColumnRenamed("k", "__k")
-    return dealt.join(gone, dealt[k] == gone["__k"], "left")
+    gone = same.groupBy(F.col("k").alias(other)).agg(F.collect_set("j").alias(js))
+    return dealt.join(gone, F.col(k) == F.col(other), "left")
 
 
 def digests(docs: DataFrame) -> DataFrame:

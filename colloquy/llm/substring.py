@@ -40,6 +40,8 @@ ANCHOR = WIDTH - PERIOD + 1
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Places that one sending holds at most, about.
 SEND = 4_000_000
+#: Bytes of text whose hashes make a bucket, and whose documents make a home, at most about.
+BUCKET, HOME = 8 << 20, 128 << 20
 
 
 def _anchors(buckets: int):
@@ -151,39 +153,40 @@ def _cut(text_at: int, marks_at: int):
     return run
 
 
-def _marked(docs: DataFrame, k: str, marks: str) -> tuple[DataFrame, DataFrame]:
-    """The documents by key (one shuffle), and the starts of repeated windows by key."""
+def _marked(docs: DataFrame, k: str, marks: str) -> DataFrame:
+    """The documents (one shuffle) with their key and the starts of their repeated windows (null: none)."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(32, 4 * partitions(spark))
-    homes = max(8, buckets // 16)  # an answer is a row per bucket and home
+    # groups of bounded bytes, whatever the number of partitions
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(32, 4 * partitions(spark), size // BUCKET)
+    homes = max(8, buckets // 16, size // HOME)  # an answer is a row per bucket and home
+    other = free("__other", docs)
     keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
     sent = keyed.select(k, "text").where(F.length("text") >= 2 * WIDTH - 1).mapInArrow(_anchors(buckets), exchange.SENT)
     small = np.uint32
     anchors = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes, small), exchange.ANSWER)
-    anchors = anchors.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
+    anchors = anchors.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias(other), F.col("pos").alias(marks))
     dealt = keyed.repartition(partitions(spark), k)
     # with the other columns, so that both joins read one and the same shuffle of the text
     others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
-    with_anchors = dealt.join(anchors, dealt[k] == anchors["__k"], "left").select(k, "text", marks, *others)
+    with_anchors = dealt.join(anchors, F.col(k) == F.col(other), "left").select(k, "text", marks, *others)
     sent = with_anchors.mapInArrow(_windows(buckets), exchange.SENT)
     windows = sent.groupBy("bucket").applyInArrow(lambda t: exchange.repeated(t, homes), exchange.ANSWER)
-    windows = windows.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias("__k"), F.col("pos").alias(marks))
-    return dealt, windows
+    windows = windows.groupBy("home").applyInArrow(exchange.by_document, exchange.FOUND).select(F.col("k").alias(other), F.col("pos").alias(marks))
+    return dealt.join(windows, F.col(k) == F.col(other), "left").drop(other)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
-    dealt, windows = _marked(docs, "k", "marks")
-    rows = dealt.join(windows, dealt["k"] == windows["__k"], "left").select("k", "text", "marks", "doc_id")
+    rows = _marked(docs, "k", "marks").select("k", "text", "marks", "doc_id")
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, columns as given, without the words that repeated windows cover."""
     k, marks = free("__key", docs), free("__marks", docs)
-    dealt, windows = _marked(docs, k, marks)
-    rows = dealt.join(windows, dealt[k] == windows["__k"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], marks)
+    rows = _marked(docs, k, marks).select(*[F.col(f"`{c}`") for c in docs.columns], marks)
     at = [c.lower() for c in docs.columns].index("text")
     return rows.mapInArrow(_cut(at, len(docs.columns)), docs.schema)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 llm = pytest.importorskip("colloquy.llm")
 from colloquy.llm import bpe, cover_tree, hilbert, line_dedup, minhash, packing, ppm, quality, queries, substring, warc  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __key string, q string, bands string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __k string, __js string"
 
 
 def rows():
@@ -33,7 +34,7 @@ def rows():
             w[rnd.randrange(len(w))] = "changed" + str(rnd.randint(0, 9))
         out.append(" ".join(w))
     out += [out[20]] * 6 + ["spam " * 60, "## ** %% $$ " * 12 + text(21), text(9000)]
-    return [(i, t, "en", None if i % 7 == 0 else f"src{i % 3}", None if i % 11 == 0 else len(t or ""), "k", "q", "b") for i, t in enumerate(out)]
+    return [(i, t, "en", None if i % 7 == 0 else f"src{i % 3}", None if i % 11 == 0 else len(t or ""), "k", "j") for i, t in enumerate(out)]
 
 
 @pytest.fixture(scope="module")
@@ -137,6 +138,34 @@ def test_line_dedup(docs, empty, table):
     assert line_dedup.digests(empty).collect() == []
 
 
+NAMES = ["__k", "__js", "__key", "__chunks", "__marks", "__q", "__host", "__bad", "k", "js", "h", "q", "marks", "home", "bucket", "pos", "g", "first", "body", "copy", "shard", "slot", "__id"]
+
+
+def test_columns_with_clashing_names(spark, table):
+    """Every stage that keeps columns keeps these, and gives the rows that it gives without them."""
+    bare = spark.createDataFrame([(r[0], r[1], r[3]) for r in table], "doc_id long, text string, source string")
+    wide = spark.createDataFrame([(r[0], r[1], r[3], *NAMES) for r in table], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in NAMES))
+    for stage in (quality.keep_good, line_dedup.remove_repeated, minhash.keep_one, substring.remove_repeats):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert all(tuple(r)[3:] == tuple(NAMES) for r in rows)
+        assert sorted((r[0], r[1]) for r in map(tuple, rows) if r[1] is not None) == sorted((r[0], r[1]) for r in stage(bare).collect() if r[1] is not None)
+
+
+def test_null_ids_and_equal_rows(spark):
+    """What the operators say of rows with null ids and of repeated rows."""
+    t = "\n".join(f"line {i} of several words here" for i in range(12))
+    rows = [(None, t), (None, t), (1, t), (1, t), (2, "x y"), (None, None), (2, None)]
+    df = spark.createDataFrame([(*r, "s", "q", None, 3) for r in rows], "doc_id long, text string, source string, __k string, lang string, n_chars long")
+    path = queries.vocabulary_path()
+    for run in (line_dedup.digests, substring.digests, ppm.scores, quality.assess, lambda d: bpe.digests(d, path), lambda d: hilbert.order(d, 3)):
+        assert Counter(r["doc_id"] for r in run(df).collect()) == Counter(r[0] for r in rows)
+    assert Counter(r.doc_id for r in packing.pack(df, path).collect()) == Counter(r[0] for r in rows)
+    lines = {(r.doc_id, r.n_lines): r.n_removed for r in line_dedup.digests(df).collect()}
+    assert lines[None, 12] == 0 and lines[1, 12] == 12  # equal rows are one document; the one with a null id comes first
+
+
 def test_line_chunks_come_back_in_step():
     a = [f"line {i}".encode() for i in range(200)]
     b = a[:50] + [b"inserted"] + a[50:]
@@ -169,6 +198,42 @@ def test_bpe(docs, empty, table):
     assert bpe.digests(empty, path).collect() == []
 
 
+def test_bpe_forgets_words_but_no_special_strings():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    tk = tokenizers.Tokenizer.from_file(path)
+    e = bpe.Encoder(path, remembered=5)
+    for k in range(4):
+        texts = [f"x <|endoftext|> y{k} word{k}", f"<|startoftext|>a{k}. b{k}<|endoftext|>", "plain words only", "", " \t", f"Étude{k} \x1e odd", "e\u0301 nfd", "<|x|>"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+        assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0][1] == tk.token_to_id("<|endoftext|>")
+
+
+def test_bpe_long_words():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    tk, e, rnd = tokenizers.Tokenizer.from_file(path), bpe.Encoder(path), random.Random(2)
+    for n in [*range(1, 60), 100, 1000]:
+        t = "".join(rnd.choice("abcdeinrstèж") for _ in range(n)) + rnd.choice([".", "", "'s", "..", "1"])
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+    for t in ("".join(rnd.choice("etaoinshrdlu") for _ in range(100_000)), "a" * 100_001):
+        began = time.process_time()
+        ids = np.frombuffer(e.encode([t])[0], "<u4").tolist()
+        assert time.process_time() - began < 10  # about linear
+        assert ids == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_lexicon_holds_the_most_frequent(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(bpe, "compile_words", lambda words, ids, path: (made.append(sorted(words)), open(path, "wb").close()))
+    texts = [("a b c d " * 40 + "e e e f",), (None,), ("a b " * 300,)]
+    bpe.build_lexicon(spark.createDataFrame(texts, "text string"), queries.vocabulary_path(), 4)
+    bpe.build_lexicon(spark.createDataFrame(texts, "text string"), queries.vocabulary_path(), 3)
+    bpe.build_lexicon(spark.createDataFrame(texts, "text string"), queries.vocabulary_path(), 100)
+    assert made == [[b"a", b"b", b"c", b"d"], [b"a", b"b"], [b"a", b"b", b"c", b"d", b"e"]]
+
+
 def test_transducer(tmp_path):
     found = [b"a", b"ab", b"abc", b"bc", b"b", "é".encode()]
     ids = [np.array([i, i + 1]) for i in range(len(found))]
@@ -273,6 +338,67 @@ def test_hilbert_levels_of_long_strings(spark):
     assert [got[d[0]] & 7 for d in data] == [int(d[2] == "en") for d in data]
 
 
+def test_hilbert_files(spark, table, tmp_path):
+    rows = [(r[0], r[1], "en", r[3], 5, "mine") for r in table] + [(None, "no id", "en", "x", 1, "mine")] * 2 + [(3, "one", "en", None, 1, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string")
+    to = hilbert.write_shards(docs, 7, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert to == "shard_" and back.columns == [*docs.columns, to]
+    got = back.collect()
+    assert Counter(tuple(r)[:6] for r in got) == Counter(rows)
+    sizes = Counter(r[to] for r in got)
+    assert sorted(sizes) == list(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_hilbert_places_recomputed(docs, table):
+    """Cell -> rank -> shard once more in plain Python, from the cells that the query reports."""
+    got = hilbert.order(docs, 7).collect()
+    n = Counter(r.cell for r in got)
+    first = {c: sum(n[x] for x in n if x < c) for c in n}
+    ranks = defaultdict(list)
+    for r in got:
+        ranks[r.cell].append(r["rank"])
+    assert all(sorted(x) == list(range(first[c], first[c] + n[c])) for c, x in ranks.items())
+    base, more = divmod(len(table), 7)
+    starts = [0]
+    for s in range(7):
+        starts.append(starts[-1] + base + (s < more))
+    for r in got:
+        s = max(i for i in range(7) if starts[i] <= r["rank"])
+        assert (r.shard, r.slot) == (s, r["rank"] - starts[s])
+
+
+def plain_chunks(text):
+    """Chunks (number, text, lines) by the definition, line by line."""
+    full = 2**64
+    out, now, recent, j = [], [], [], 0
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        h = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little")
+        recent = [*recent, h][-2:]
+        roll = (recent[-1] + (recent[-2] * line_dedup._STEP if len(recent) > 1 else 0)) % full
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            roll = (roll ^ roll >> shift) * factor % full
+        now.append(line)
+        if len(now) >= 16 or roll % 3 == 0 and len(now) >= 2 or i == len(lines) - 1:
+            out.append((j, "\n".join(now), len(now)))
+            j, now = j + 1, []
+    return [(k, b, n) for k, b, n in out if n > 1 and b.strip(" \t\n\x0b\x0c\r")], out
+
+
+def test_line_dedup_against_plain_chunks(docs, table):
+    got, seen = by_id(line_dedup.digests(docs)), set()
+    for i, t, *_ in table:
+        good, every = plain_chunks(t or "")
+        gone = set()
+        for j, body, _ in good:
+            if body in seen:
+                gone.add(j)
+            seen.add(body)
+        kept = "\n".join(b for j, b, _ in every if j not in gone)
+        assert got[i] == (sum(n for *_, n in every) if t else 0, sum(n for j, _, n in every if j in gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_warc(spark):
     data = [(i, f"http://x/{i}\n", h) for i, h in enumerate([None, "", "a", "b", "a", "é" * 5000, "a", "b\r\n\r\nWARC/1.1"])]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
@@ -423,7 +549,7 @@ def test_pipeline_against_brute_force(spark, table, tmp_path, monkeypatch):
     base = text(120).split(" ")
     more = [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in (3, 60, 110)]  # near copies of one another
     more = [(t, "src0") for t in more] + [("## ** %% $$ " * 12 + text(30), "bad") for _ in range(6)] + [(text(40), "bad")]
-    rows = [*table, *((1000 + i, t, "en", source, len(t), "k", "q", "b") for i, (t, source) in enumerate(more))]
+    rows = [*table, *((1000 + i, t, "en", source, len(t), "k", "j") for i, (t, source) in enumerate(more))]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
 
     given = []
