@@ -1,4 +1,4 @@
-"""Best-fit packing by bin completion.
+"""Best-fit packing by bin completion with branch and bound.
 
 Every document becomes its ids and one end id; only documents over ``ROOM`` =
 4096 ids are cut. Which sequence a piece goes to depends on its length alone, so
@@ -6,15 +6,17 @@ the packing is solved on the histogram of lengths (at most 4096 counts, at any
 corpus size) and the solution, runs of equal fillings, is dealt to the pieces by their
 rank among the pieces of their length.
 
-Solver, longest length first: a sequence that starts with the longest remaining piece is completed by
-the filling that wastes least of its room; of several, the one with the longest pieces, longest first, so
-no filling dominated by one with a longer piece in the same room is taken. The filling is exact: a
-depth-first search, longest piece first, stops at the first filling without waste, and if it finds none in
-``TRIES`` calls, a table of all sums that the pieces up to each length reach (4096 bits a length) gives the
-least waste and the filling; both give the same filling, so ``TRIES`` changes the time only. A filling is used
-as often as its pieces last. A filling is not taken back for another one in view of later sequences: the number of sequences is
-least for sure only where it meets the sum of lengths over ``ROOM``. The whole is compared with best-fit
-decreasing on the same histogram; the smaller number of sequences stays.
+Solver: branch and bound over the histogram, a sequence at a time. The sequence around the longest remaining piece is
+completed by each *undominated* filling, least waste first, longest pieces first (a filling is dominated if one of the pieces left
+out could take the place of some of its pieces: whatever packs with these packs with that one). A filling is taken as often as its pieces last,
+and less often on the way back. The number of sequences cannot be less than the bound of ``least_number``. Best-fit decreasing is the first
+incumbent; a branch ends when its waste is more than a solution with one sequence less than the incumbent's may have, or when it comes to a
+remainder that it has met with no more sequences used. So the search ends with the least number, or, after ``WORK`` steps without an end,
+keeps the best solution found: ``WORK`` limits the proof and what may still be found, never what is packed (every solution holds all pieces).
+
+The least waste of a filling is exact: a depth-first search, longest piece first, stops at the first filling without waste, and if it finds none in
+``TRIES`` calls, a table of all sums that the pieces up to each length reach (``ROOM`` bits a length) gives the
+least waste and the filling; both give the same filling, so ``TRIES`` changes the time only.
 
 Null text is empty: one piece that holds the end id. Repeated rows are separate pieces. An
 empty table gives an empty result.
@@ -23,7 +25,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,12 @@ ROOM = 4096
 END = 1
 #: Calls of the search for a filling without waste before the table of sums is made.
 TRIES = 400
+#: Steps of the search, after its first way to an end, until the best solution so far is kept; a filling or a table costs ``STEP`` and one for each length.
+WORK, STEP = 1_500_000, 40
+#: Pieces that are ranked in one group, about.
+GROUP = 100_000
+#: Remainders of at most so many lengths are remembered.
+FEW = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,29 +125,176 @@ def _least_waste(lengths: list[int], left: dict[int, int], room: int) -> list[in
     return filling
 
 
-def completions(counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
-    """Bin completion: (times, lengths of the pieces, longest first)."""
-    left = dict(counts)
+def _sums(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
+    """For each place in ``lengths`` the sums (bits) that the pieces before it reach, and at the end those of all."""
+    full = (1 << room + 1) - 1
+    sums, out = 1, [1]
+    for x in lengths:
+        have, k = min(left[x], room // x), 1
+        while have and sums != full:
+            k = min(k, have)
+            sums |= sums << k * x & full
+            have -= k
+            k *= 2
+        out.append(sums)
+    return out
+
+
+def undominated(left: dict[int, int], room: int, waste: int):
+    """Undominated fillings with at most ``waste`` left over, least waste first, then longest pieces first; None for each dominated one."""
+    lengths = sorted(x for x, n in left.items() if n and x <= room)
+    sums = _sums(lengths, left, room)
+
+    def fill(i: int, space: int, chosen: list[int]):
+        """All fillings of exactly ``space`` with the first i lengths."""
+        if not space:
+            yield chosen
+            return
+        while i > 0:
+            i -= 1
+            x = lengths[i]
+            for k in range(min(left[x], space // x), 0, -1):
+                if sums[i] >> space - k * x & 1:
+                    yield from fill(i, space - k * x, chosen + [x] * k)
+
+    for over in range(min(waste, room) + 1):
+        if not sums[-1] >> room - over & 1:
+            continue
+        for filling in fill(len(lengths), room - over, []):
+            yield None if _dominated(filling, left, lengths, over) else filling
+
+
+def _dominated(filling: list[int], left: dict[int, int], lengths: list[int], over: int) -> bool:
+    """Whether a piece left out fits in place of some pieces of the filling that are no longer than it together."""
+    parts, used = 1, {}
+    for x in filling:
+        parts |= parts << x
+        used[x] = used.get(x, 0) + 1
+    for y in lengths:
+        if left[y] > used.get(y, 0):
+            low = max(y - over, 1)
+            window = parts >> low & (1 << y - low + 1) - 1
+            if y in used and window == 1 << y - low and not _several(filling, y):
+                continue  # only a piece of the same length: no change
+            if window:
+                return True
+    return False
+
+
+def _several(filling: list[int], total: int) -> bool:
+    """Whether two pieces or more of the filling make up the total."""
+    one, more = 0, 0
+    for x in filling:
+        more |= more << x | one << x
+        one |= 1 << x
+    return bool(more >> total & 1)
+
+
+def least_number(counts: dict[int, int], room: int) -> int:
+    """Lower bound: pieces too long to share a sequence with a piece of a length x have one to themselves; the others' words fill what is left."""
+    lengths = sorted(counts)
+    words = sum(x * n for x, n in counts.items())
+    best = -(-words // room)
+    small, at = 0, 0  # words of pieces shorter than x
+    for x in [n for n in lengths if n <= room // 2]:
+        while lengths[at] < x:
+            small += lengths[at] * counts[lengths[at]]
+            at += 1
+        alone = sum(n for y, n in counts.items() if y > room - x)
+        halves = {y: n for y, n in counts.items() if room - x >= y > room // 2}
+        rest = sum(y * n for y, n in counts.items() if x <= y <= room // 2)
+        spare = sum(halves.values()) * room - sum(y * n for y, n in halves.items())
+        best = max(best, alone + sum(halves.values()) + max(0, -(-(rest - spare) // room)))
+    return best
+
+
+def branch_and_bound(counts: dict[int, int], room: int, best: list[tuple[int, list[int]]], bound: int) -> list[tuple[int, list[int]]]:
+    """A solution with fewer sequences than ``best`` if the search finds one, (times, lengths of the pieces, longest first)."""
+    left = {x: n for x, n in counts.items() if n}
     lengths = sorted(left)
-    out = []
-    while lengths:
-        top = lengths[-1]
-        left[top] -= 1
-        if not left[top]:
-            lengths.pop()
-        filling = [top, *complete(lengths, left, room - top)] if top < room else [top]
+    words = sum(x * n for x, n in left.items())
+    number = sum(t for t, _ in best)
+    path: list[tuple[int, list[int]]] = []  # fillings taken so far
+    options: list = []  # for each of them, what else may be tried there
+    used, waste, work = 0, 0, 0
+    met: dict[frozenset, int] = {}
+
+    def change(filling: list[int], by: int) -> None:
+        for x in filling:
+            left[x] = left.get(x, 0) - by
+            if not left[x]:
+                del left[x]
+                lengths.pop(bisect_right(lengths, x) - 1)
+            elif left[x] == -by:
+                insort(lengths, x)
+
+    def often(filling: list[int]) -> int:
         need: dict[int, int] = {}
         for x in filling:
             need[x] = need.get(x, 0) + 1
-        left[top] += 1
-        if left[top] == 1 and (not lengths or lengths[-1] != top):
-            lengths.append(top)
-        times = min(left[x] // n for x, n in need.items())
-        for x, n in need.items():
-            left[x] -= times * n
-        lengths = [x for x in lengths if left[x]]
-        out.append((times, filling))
-    return out
+        return min(left[x] // n for x, n in need.items())
+
+    def tried():
+        """(times, filling) for the sequence around the longest piece; the first one needs no table."""
+        nonlocal work
+        top = lengths[-1]
+        work += STEP + len(lengths)
+        change([top], 1)
+        first = [top, *complete(lengths, left, room - top)]
+        change([top], -1)
+        most = often(first)
+        for times in range(most, 0, -1):
+            yield times, first
+        allowed = (number - 1) * room - words - waste
+        work += STEP + len(lengths)
+        rest = {**left, top: left[top] - 1}
+        for filling in undominated(rest, room - top, allowed):
+            work += STEP + len(lengths)
+            if filling is None:
+                yield 0, []  # a step of work only
+            elif [top, *filling] != first:
+                for times in range(often([top, *filling]), 0, -1):
+                    yield times, [top, *filling]
+
+    end = None  # of the work; the first way down is gone to its end
+    while True:
+        if not left:
+            number, best = used, [(t, list(f)) for t, f in path]
+            if number == bound:
+                return best
+        down = False
+        if left and (end is None or work <= end):
+            state = frozenset(left.items()) if len(left) <= FEW else None
+            if state is None or met.get(state, used + 1) > used:
+                if state is not None:
+                    met[state] = used
+                options.append(tried())
+                path.append((0, []))
+                down = True
+        if not down and end is None:
+            end = work + WORK
+        # the next filling that may lead to fewer sequences, here or further back
+        while options:
+            times, filling = path.pop()
+            if times:
+                change(filling, -times)
+                used, waste = used - times, waste - times * (room - sum(filling))
+            step = next(options[-1], None) if end is None or work <= end else None
+            if step is None:
+                options.pop()
+                end = work + WORK if end is None else end
+                continue
+            times, filling = step
+            more = times * (room - sum(filling))
+            if not times or waste + more > (number - 1) * room - words:
+                path.append((0, []))
+                continue
+            change(filling, times)
+            used, waste = used + times, waste + more
+            path.append(step)
+            break
+        if not options:
+            return best
 
 
 def best_fit(counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
@@ -182,13 +337,11 @@ def _keep(open_: dict, spaces: list[int], space: int, group: list) -> None:
 
 
 def solve(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, list[int]]]:
-    """The better of both; with the bound reached, best fit is not tried."""
-    one = completions(counts, room)
-    bound = -(-sum(x * n for x, n in counts.items()) // room)
-    if sum(t for t, _ in one) == bound:
-        return one
-    two = best_fit(counts, room)
-    return min(one, two, key=lambda s: sum(t for t, _ in s))
+    """As few sequences as the search finds, best fit to begin with: (times, lengths of the pieces)."""
+    if not counts:
+        return []
+    first, bound = best_fit(counts, room), least_number(counts, room)
+    return first if sum(t for t, _ in first) == bound else branch_and_bound(counts, room, first, bound)
 
 
 def runs(solution: list[tuple[int, list[int]]]) -> list[tuple]:
@@ -238,7 +391,7 @@ def pack(docs: DataFrame, vocab: str, room: int = ROOM, end: int = END) -> DataF
     ship(spark)
     pieces = checkpoint(docs.select("doc_id", "text").mapInArrow(_pieces(vocab, room, end), PIECES))
     # ranks within a length: pieces are dealt to groups by hash; counts by group and length are added up
-    groups = max(16, 2 * partitions(spark))
+    groups = max(16, 2 * partitions(spark), pieces.count() // GROUP)  # also of one length, so that each has bounded rows
     pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     per = checkpoint(pieces.groupBy("length", "g").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)

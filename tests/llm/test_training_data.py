@@ -452,7 +452,6 @@ def test_solver(counts):
 def test_complete_wastes_least(monkeypatch):
     left = {1048: 100, **{x: 1 for x in range(1300, 2000)}}
     assert packing.complete(sorted(left), left, 4096 - 2000) == [1048, 1048]
-    assert (1, [2000, 1048, 1048]) in packing.completions({**left, 2000: 1}, 4096)
     rnd = random.Random(3)
     for tries in (0, 5, packing.TRIES):
         monkeypatch.setattr(packing, "TRIES", tries)
@@ -464,6 +463,82 @@ def test_complete_wastes_least(monkeypatch):
             assert packing.complete(sorted(left), left, room) == list(max(fillings, key=lambda f: (sum(f), f)))
 
 
+def fewest(items, room):
+    """Least number of sequences, by trying every place for every piece."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def put(i, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(items):
+            best = len(spaces)
+            return
+        for space in set(spaces):
+            if space >= items[i]:
+                rest = spaces.copy()
+                rest.remove(space)
+                put(i + 1, [*rest, space - items[i]])
+        put(i + 1, [*spaces, room - items[i]])
+
+    put(0, [])
+    return best
+
+
+def test_branch_and_bound_finds_the_fewest(monkeypatch):
+    number = lambda s: sum(t for t, _ in s)
+    assert number(packing.solve(Counter([7, 10, 11, 13, 15, 15, 15, 18]), 36)) == 3
+    searched, rnd = [], random.Random(5)
+    search = packing.branch_and_bound
+    monkeypatch.setattr(packing, "branch_and_bound", lambda *a: (searched.append(number(a[2])), search(*a))[1])
+    better = 0
+    for k in range(700):
+        room = rnd.choice([36, 50, 97, 150])
+        items = [rnd.randint(max(room // 6, 1), room // 2) if k % 3 else rnd.randint(1, room) for _ in range(rnd.randint(1, 15))]
+        searched.clear()
+        solution = packing.solve(dict(Counter(items)), room)
+        used = Counter()
+        for times, filling in solution:
+            assert sum(filling) <= room
+            for x in filling:
+                used[x] += times
+        assert used == Counter(items)
+        assert packing.least_number(Counter(items), room) <= fewest(items, room) == number(solution)
+        better += bool(searched) and searched[0] > number(solution)
+    assert better > 5  # best fit was not enough
+
+
+def test_dominated_fillings_are_skipped():
+    left = Counter([9, 8, 7, 5, 4, 4, 3, 2])
+    for room in range(1, 30):
+        kept = [tuple(f) for f in packing.undominated(left, room, room) if f is not None]
+        fillings = {()}
+        for x in left.elements():
+            fillings |= {tuple(sorted((*f, x), reverse=True)) for f in fillings if sum(f) + x <= room and Counter(f)[x] < left[x]}
+
+        def dominated(f):
+            rest = left - Counter(f)
+            subsets = {()}
+            for x in f:
+                subsets |= {(*s, x) for s in subsets}
+            return any(s and s != (y,) and sum(s) <= y <= sum(s) + room - sum(f) for y in rest for s in subsets)
+
+        assert sorted(kept) == sorted(f for f in fillings if not dominated(f)) and [sum(f) for f in kept] == sorted([sum(f) for f in kept], reverse=True)
+
+
+def test_search_is_bounded():
+    """Without a proof the best solution so far is kept, with all pieces, in bounded time."""
+    rnd = random.Random(1)
+    for counts in (Counter(rnd.randint(1200, 1500) for _ in range(20_000)), Counter(rnd.choice([1000, 1100, 1365, 1366, 2049, 700]) for _ in range(10**5)), Counter([1048] * 2000 + [*range(1300, 2001)])):
+        began, used = time.process_time(), Counter()
+        for times, filling in packing.solve(dict(counts)):
+            assert sum(filling) <= packing.ROOM
+            for x in filling:
+                used[x] += times
+        assert used == counts and time.process_time() - began < 60
+        assert sum(t for t, _ in packing.solve(dict(counts))) < sum(t for t, _ in packing.best_fit(counts, packing.ROOM))
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
