@@ -271,14 +271,14 @@ def test_cover_tree(spark, monkeypatch):
     assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).collect() == []
 
 
-def test_ppm(docs, empty, table, monkeypatch):
-    monkeypatch.setattr(ppm, "GROUP", 8000)
-    got, k = by_id(ppm.scores(docs)), ppm.ORDER
+def check_scores(got, table):
+    """Scores against a plain trie of counts."""
+    k = ppm.ORDER
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     ws = {i: words((t or "").encode().translate(low).decode()) for i, t, *_ in table}
     train = [r for r in table if zlib.crc32(str(r[0]).encode()) % 10]
     count, ends = Counter(w for r in train for w in ws[r[0]]), len(train)
-    n, v = sum(count.values()) + ends, len(count) + 1
+    n, v = sum(count.values()) + ends, len(count) + (ends > 0)
     seen = defaultdict(Counter)
     symbols = lambda t: [257] * k + list((t or "").encode()) + [256]
     for _, t, *_ in train:
@@ -286,7 +286,7 @@ def test_ppm(docs, empty, table, monkeypatch):
         for p in range(k, len(s)):
             for o in range(k + 1):
                 seen[tuple(s[p - o:p])][s[p]] += 1
-    for i, t, *_ in table[:40]:
+    for i, t, *_ in table:
         s, score = symbols(t), 0.0
         for p in range(k, len(s)):
             gone = set()
@@ -304,11 +304,46 @@ def test_ppm(docs, empty, table, monkeypatch):
                 score -= np.log10(max(257 - len(seen[()]), 1))
         base = sum(np.log10(count[w] + 0.1) for w in ws[i]) + np.log10(ends + 0.1) - (len(ws[i]) + 1) * np.log10(n + 0.1 * (v + 1))
         held, n_tokens, known, total, b, sc = got[i]
-        assert (held, n_tokens, known, total) == (zlib.crc32(str(i).encode()) % 10 == 0, len(ws[i]) + 1, sum(count[w] > 0 for w in ws[i]) + 1, n)
+        assert (held, n_tokens, known, total) == (zlib.crc32(str(i).encode()) % 10 == 0, len(ws[i]) + 1, sum(count[w] > 0 for w in ws[i]) + (ends > 0), n)
         assert b == pytest.approx(base) and sc == pytest.approx(score, rel=1e-5)
+
+
+def test_ppm(docs, empty, table, monkeypatch):
+    monkeypatch.setattr(ppm, "GROUP", 8000)
+    check_scores(by_id(ppm.scores(docs)), table)
     assert ppm.scores(empty).collect() == []
 
 
+def test_ppm_with_one_pair_nearly_everywhere(spark, monkeypatch):
+    """Two bytes make up most of the corpus, in many groups; and bytes of all kinds."""
+    monkeypatch.setattr(ppm, "GROUP", 2000)
+    rnd = random.Random(9)
+    table = [(i, "ab" * rnd.randint(1, 300) + rnd.choice(["", "c", "a", " b", "ba"])) for i in range(60)] + [(100 + i, "".join(map(chr, rnd.sample(range(1, 3000), 200)))) for i in range(8)]
+    check_scores(by_id(ppm.scores(spark.createDataFrame(table, "doc_id long, text string").repartition(4))), table)
+
+
+def test_ppm_without_training_documents(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    table = [(i, "only held out") for i in held]
+    check_scores(by_id(ppm.scores(spark.createDataFrame(table, "doc_id long, text string"))), table)
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 10, 1 << 27])
+def test_grams(dense, monkeypatch):
+    monkeypatch.setattr(ppm, "DENSE", dense)
+    monkeypatch.setattr(ppm, "STEP", 1000)
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abc dé") for _ in range(4000))
+    seq = np.array([257] * 5 + list(text.encode()) + [256], np.int16)
+    keys, number = ppm.grams(seq)
+    assert len(set(keys.tolist())) == len(keys) and (number[:5] == -1).all()
+    for p in range(5, len(seq)):
+        key = 0
+        for x in seq[p - 5 : p + 1].tolist():
+            key = key << ppm.BITS | x
+        assert int(keys[number[p]]) == key
+
+
 def test_hilbert(docs, empty, table):
     t = hilbert.curve_table()
     cell = {v: k for k, v in enumerate(t)}
