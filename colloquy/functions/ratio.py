@@ -36,6 +36,13 @@ def scaled_round(num, den, mult: int) -> Column:
     return F.when(d > 0, _div(F.lit(2 * mult) * n + d, F.lit(2) * d)).otherwise(F.lit(0).cast("long"))
 
 
+def signed_round(num, den: int) -> Column:
+    """``round(num / den)`` as a BIGINT for any sign of ``num``, half away from zero; ``den`` is positive."""
+    n = _as_col(num).cast("long")
+    half = lambda v: _div(F.lit(2) * v + F.lit(den), F.lit(2 * den))
+    return F.when(n >= 0, half(n)).otherwise(-half(-n))
+
+
 def pct_tenths(n, total) -> Column:
     """``round(100 * n / total, 1)`` expressed in tenths."""
     return scaled_round(n, total, 1000)

@@ -18,8 +18,6 @@ starts with one pass of the union of its rules.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,52 +169,6 @@ def _body(keywords: str, guard: str | None, word_start: bool) -> str:
     return "".join(parts)
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """Top-level alternatives of a keyword pattern."""
-    out, depth, in_class, start, i = [], 0, False, 0, 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\":
-            i += 1
-        elif in_class:
-            in_class = ch != "]"
-        elif ch == "[":
-            in_class = True
-        elif ch in "()":
-            depth += 1 if ch == "(" else -1
-        elif ch == "|" and not depth:
-            out.append(pattern[start:i])
-            start = i + 1
-        i += 1
-    return out + [pattern[start:]]
-
-
-def _last_group(alt: str) -> int:
-    """Start of the group that ends at the last ``)``."""
-    depth = 0
-    for i in range(len(alt) - 1, -1, -1):
-        depth += {")": 1, "(": -1}.get(alt[i], 0)
-        if not depth:
-            return i
-    raise ValueError(f"unbalanced pattern {alt!r}")
-
-
-def can_end_in_space(keywords: str) -> bool:
-    """Whether a match of the pattern can end in a space (unsure cases count as yes)."""
-    for alt in _alternatives(keywords):
-        bare = re.sub(r"([?*]|\{0,\d+\})$", "", alt)
-        if bare != alt and not bare.endswith("\\") and can_end_in_space(re.sub(r"(\[[^\]]*\]|\\?.)$", "", bare) if not bare.endswith(")") else bare[:_last_group(bare)]):
-            return True
-        bare = re.sub(r"(\+|\{\d+(,\d*)?\})$", "", bare)
-        if bare.endswith((" ", "\\s", ".")):
-            return True
-        if bare.endswith(")") and can_end_in_space(bare[_last_group(bare) + 1:-1].removeprefix("?:")):
-            return True
-        if bare.endswith("]") and re.search(r"\[(\^|[^\]]*[ \\])[^\]]*\]$", bare):
-            return True
-    return False
-
-
 def java_regex(keywords: str, guard: str | None = None, word_start: bool = True) -> str:
     return FLAGS_GLOBAL + _body(keywords, guard, word_start)
 

@@ -8,13 +8,10 @@ lands whole in one task.
 
 from __future__ import annotations
 
-from fractions import Fraction
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratio import pct_tenths, quot_hundredths, quot_tenths, scaled_round
+from ..functions.ratio import pct_tenths, quot_hundredths, quot_tenths, scaled_round, signed_round
 from ..functions.timecol import ts_literal, ts_type
 from ..plans.calendar import Calendar
 from .base import is_dispatch, is_public, is_public_incoming
@@ -84,42 +81,38 @@ def totals(base: DataFrame, cal: Calendar) -> DataFrame:
         F.count_if("replied_month").alias("mes_respostas"))
 
 
-def _round_ratio(num: int, den: int) -> int:
-    """round(num / den), half away from zero, for a positive ``den``."""
-    q = Fraction(num, den)
-    return int(math.copysign(math.floor(abs(q) + Fraction(1, 2)), q))
-
-
-def goal_constants(cal: Calendar) -> dict:
-    """Parameter-only figures of the goal arithmetic (30-day months)."""
-    goal = cal.params.monthly_goal
-    return {
-        "dias_corridos": cal.elapsed_days,
-        "dias_mes_atual": cal.month_days,
-        "meta_proporcional": _round_ratio(cal.elapsed_days * goal, 30),
-        "mes_meta_proporcional": _round_ratio(cal.month_days * goal, 30),
-    }
+def with_call_facts(tenants: DataFrame, cal: Calendar) -> DataFrame:
+    """Tenant rows with the figures that follow from the call's arguments alone (30-day months): inicio_projeto,
+    meta_mensal, dias_corridos, meta_proporcional, mes_meta_proporcional."""
+    if cal.calls is None:
+        rows = tenants.select("*", F.lit(cal.params.project_start).alias("project_start"), F.lit(cal.params.monthly_goal).cast("long").alias("monthly_goal"),
+                              F.lit(cal.elapsed_days).cast("long").alias("elapsed_days"))
+    else:
+        rows = cal.calls.with_arguments(tenants)
+    goal, days = F.col("monthly_goal"), F.col("elapsed_days")
+    return rows.select(*tenants.columns, F.date_format("project_start", "yyyy-MM-dd").alias("inicio_projeto"), goal.cast("int").alias("meta_mensal"),
+                       days.cast("int").alias("dias_corridos"), signed_round(days * goal, 30).cast("int").alias("meta_proporcional"),
+                       signed_round(F.lit(cal.month_days) * goal, 30).cast("int").alias("mes_meta_proporcional"))
 
 
 def goal_metrics(tot: DataFrame, cal: Calendar) -> DataFrame:
-    """Adds the derived rates to ``totals`` as exact integer units.
+    """Adds the derived rates to ``totals`` as exact integer units (0 where a denominator is not positive).
 
     *_tenths / *_hundredths columns hold round(x, 1) / round(x, 2) scaled to
     integers; ``functions.ratio.to_decimal`` turns them into DECIMAL for the document."""
-    goal = cal.params.monthly_goal
-    k = goal_constants(cal)
-    days, mdays = k["dias_corridos"], k["dias_mes_atual"]
+    rows = with_call_facts(tot, cal)
+    goal, days = F.col("meta_mensal").cast("long"), F.col("dias_corridos").cast("long")
+    mdays = F.lit(cal.month_days).cast("long")
     disp, mdisp = F.col("disparos"), F.col("mes_disparos")
-    zero = F.lit(0).cast("long")
-    return tot.select(
-        "*",
+    return rows.select(
+        *tot.columns,
         pct_tenths(F.col("respostas"), disp).alias("taxa_resp_tenths"),
         quot_hundredths(disp, F.col("alunos")).alias("disparos_por_aluno_hundredths"),
-        F.lit(k["meta_proporcional"]).alias("meta_proporcional"),
-        (scaled_round(disp, F.lit(days * goal), 30000) if goal > 0 and days > 0 else zero).alias("pct_meta_tenths"),
-        (quot_tenths(disp, F.lit(days)) if days > 0 else zero).alias("pace_diario_tenths"),
+        "meta_proporcional",
+        scaled_round(disp, days * goal, 30000).alias("pct_meta_tenths"),
+        quot_tenths(disp, days).alias("pace_diario_tenths"),
         pct_tenths(F.col("mes_respostas"), mdisp).alias("mes_taxa_resp_tenths"),
-        F.lit(k["mes_meta_proporcional"]).alias("mes_meta_proporcional"),
-        (scaled_round(mdisp, F.lit(mdays * goal), 30000) if goal > 0 and mdays > 0 else zero).alias("mes_pct_meta_tenths"),
-        (scaled_round(mdisp, F.lit(mdays), 30) if mdays > 0 else zero).alias("projecao_fim_mes"),
+        "mes_meta_proporcional",
+        scaled_round(mdisp, mdays * goal, 30000).alias("mes_pct_meta_tenths"),
+        scaled_round(mdisp, mdays, 30).alias("projecao_fim_mes"),
     )

@@ -2,7 +2,8 @@
 
 ``assign_periods`` is the lateral "row -> every period containing its instant"
 fan-out. It is row-local: one ``Generate`` over a literal array of at most four
-``CASE`` branches, no join and no shuffle. A conjunct ``ts >= earliest start``
+``CASE`` branches, no join and no shuffle (but for tenants' own custom ranges, ``plans/calls.py``: one
+join on the tenant, a broadcast where that is small). A conjunct ``ts >= earliest start``
 is added first so the Parquet scan can skip row groups that are older than
 every period.
 """
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecol import ts_literal, ts_type
-from ..plans.calendar import Calendar, Period
+from ..plans.calendar import ALL_BUCKETS, BUCKET_CUSTOM, Calendar, Period
+from ..plans.calls import FROM, TO
 
 
 def period_condition(ts: Column, period: Period, dtype) -> Column:
@@ -24,22 +26,34 @@ def period_condition(ts: Column, period: Period, dtype) -> Column:
     return cond
 
 
-def bucket_array(ts: Column, periods, dtype) -> Column:
-    """``array<string>`` of the buckets whose range holds ``ts`` (in period order)."""
-    return F.array_compact(F.array(*[F.when(period_condition(ts, p, dtype), F.lit(p.bucket)) for p in periods]))
+def bucket_array(ts: Column, periods, dtype, own_range: bool = False) -> Column:
+    """``array<string>`` of the buckets whose range holds ``ts`` (in period order); ``own_range``: with
+    the custom period between the columns of ``Calls.with_range``."""
+    parts = [F.when(period_condition(ts, p, dtype), F.lit(p.bucket)) for p in periods]
+    if own_range:
+        parts.append(F.when((ts >= F.col(FROM)) & (ts < F.col(TO)), F.lit(BUCKET_CUSTOM)))
+    return F.array_compact(F.array(*parts))
+
+
+def with_bucket_array(df: DataFrame, ts_col: str, cal: Calendar, name: str, only=None) -> DataFrame:
+    """``df`` with the buckets of each row in column ``name``; a tenant's own custom range is joined by tenant."""
+    dtype = ts_type(df, ts_col)
+    own = cal.calls is not None and cal.calls.earliest is not None and (only is None or BUCKET_CUSTOM in only)
+    rows = cal.calls.with_range(df, dtype) if own else df
+    rows = rows.withColumn(name, bucket_array(F.col(ts_col), cal.select(only), dtype, own))
+    return rows.drop(FROM, TO) if own else rows
 
 
 def assign_periods(df: DataFrame, ts_col: str, cal: Calendar, only=None, bucket_col: str = "bucket") -> DataFrame:
     """One output row per (input row, containing period); rows in no period vanish."""
-    periods = cal.select(only)
-    if not periods:
+    starts = [p.start for p in cal.select(only)]
+    if cal.calls is not None and cal.calls.earliest is not None and (only is None or BUCKET_CUSTOM in only):
+        starts.append(cal.calls.earliest)
+    if not starts:
         return df.withColumn(bucket_col, F.lit(None).cast("string")).where(F.lit(False))
-    dtype = ts_type(df, ts_col)
-    ts = F.col(ts_col)
-    earliest = min(p.start for p in periods)
-    return df.where(ts >= ts_literal(earliest, dtype)).withColumn(
-        bucket_col, F.explode(bucket_array(ts, periods, dtype))
-    )
+    recent = df.where(F.col(ts_col) >= ts_literal(min(starts), ts_type(df, ts_col)))
+    rows = with_bucket_array(recent, ts_col, cal, bucket_col, only)
+    return rows.withColumn(bucket_col, F.explode(bucket_col))
 
 
 def period_struct(p: Period) -> Column:
@@ -56,6 +70,8 @@ def period_struct(p: Period) -> Column:
 
 def period_spine(tenants: DataFrame, cal: Calendar) -> DataFrame:
     """tenant x period dimension (``periodos_meta`` per tenant), made row-locally
-    by exploding a literal array of at most four structs onto each tenant row."""
+    by exploding a literal array of at most four structs onto each tenant row; tenants with
+    their own custom range get its row from their arguments."""
     periods = F.array(*[period_struct(p) for p in cal.periods])
-    return tenants.select("tenant_id", F.explode(periods).alias("p")).select("tenant_id", "p.*")
+    spine = tenants.select("tenant_id", F.explode(periods).alias("p")).select("tenant_id", "p.*")
+    return spine if cal.calls is None else spine.unionByName(cal.calls.custom_spine(tenants, len(ALL_BUCKETS), BUCKET_CUSTOM))

@@ -26,9 +26,10 @@ from ..params import Params
 from ..plans.calendar import Calendar, build_calendar
 from ..plans.rules import REFERENCE_PACK, RulePack
 from .base import base_messages, restrict_tenants
-from .kpis import dispatch_kpis, goal_constants, goal_metrics, message_kpis, totals
+from .kpis import dispatch_kpis, goal_metrics, message_kpis, totals, with_call_facts
 from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
+from .segments import SEGMENT, conversation_segments
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
 from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, is_text,
                      mention_funnel, topic_counts, topic_distribution, topics_folded, with_buckets,
@@ -97,6 +98,7 @@ class Dashboard:
     pack: RulePack = REFERENCE_PACK
     words_k: int = 40
     quotes_k: int = 3
+    stop_words: DataFrame | None = None
     work: DataFrame | None = None
     _topics: DataFrame | None = None
     _held: list = field(default_factory=list)
@@ -104,27 +106,37 @@ class Dashboard:
 
     @classmethod
     def from_tables(cls, messages: DataFrame, conversations: DataFrame, params: Params,
-                    pack: RulePack = REFERENCE_PACK, how: str = "table") -> "Dashboard":
+                    pack: RulePack = REFERENCE_PACK, how: str = "table", calls: DataFrame | None = None,
+                    stop_words: DataFrame | None = None) -> "Dashboard":
+        """``calls``: each tenant's own arguments (``plans.calls.CALLS_SCHEMA``); its tenants are then those of the run, as
+        with ``params.tenants``. ``stop_words`` (tenant_id, word): left out of a tenant's word cloud beside the pack's."""
         # per-message regex features on the scan side, before the join shuffles by conversation
         msgs = with_text_features(restrict_tenants(messages, params.tenants), pack)
         base = base_messages(msgs, conversations, params.exclude_patterns, params.tenants)
         spark = messages.sparkSession
-        if params.tenants is not None:
+        if calls is not None:
+            calls = restrict_tenants(calls, params.tenants)
+            tenants = calls.select("tenant_id")
+            base = base.join(tenants, "tenant_id", "left_semi")
+        elif params.tenants is not None:
             tenants = spark.createDataFrame([(t,) for t in dict.fromkeys(params.tenants)], "tenant_id string")
         else:
             # every tenant with a counted row has conversations (the base is an inner join
             # on them), so the conversation table alone names the tenants: no message scan
             tenants = conversations.select("tenant_id").distinct()
-        return cls.from_base(base, params, tenants, pack, how)
+        return cls.from_base(base, params, tenants, pack, how, calls, stop_words)
 
     @classmethod
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
-                  pack: RulePack = REFERENCE_PACK, how: str = "table") -> "Dashboard":
+                  pack: RulePack = REFERENCE_PACK, how: str = "table", calls: DataFrame | None = None,
+                  stop_words: DataFrame | None = None) -> "Dashboard":
         cal = build_calendar(params)
+        if calls is not None:
+            cal = cal.with_calls(calls)
         full = with_text_features(base, pack)
         if tenants is None:
             tenants = full.select("tenant_id").distinct()
-        d = cls(base=full, cal=cal, tenants=tenants, pack=pack)
+        d = cls(base=full, cal=cal, tenants=tenants, pack=pack, stop_words=stop_words)
         # the shared working copy keeps message text only where an operator reads
         # it (text messages); the team's outgoing messages and notes drop theirs
         work = full.withColumn("content", F.when(is_text(pack), F.col("content")))
@@ -156,6 +168,10 @@ class Dashboard:
     def conversation_text(self) -> DataFrame:
         return conversation_text(self.work, self.pack)
 
+    def conversation_segments(self, size: int = SEGMENT) -> DataFrame:
+        """The conversations' texts, in order, in rows of ``size`` characters."""
+        return conversation_segments(self.work, self.pack, size)
+
     def classified_buckets(self) -> DataFrame:
         return classified_buckets(self._topics)
 
@@ -172,7 +188,7 @@ class Dashboard:
         return topic_distribution(self.classified_buckets())
 
     def word_cloud(self) -> DataFrame:
-        return word_cloud(word_counts(self.work, self._topics, self.pack), self.words_k)
+        return word_cloud(word_counts(self.work, self._topics, self.pack, stop_words=self.stop_words), self.words_k)
 
     def mention_funnel(self) -> DataFrame:
         return mention_funnel(self.classified_buckets())
@@ -245,15 +261,14 @@ class Dashboard:
 
     def summary(self) -> DataFrame:
         """One row per tenant: the dashboard document as nested columns."""
-        cal, goal = self.cal, self.cal.params.monthly_goal
-        k = goal_constants(cal)
+        cal = self.cal
         rows = self.period_rows()
         by_ord = F.array_sort(F.collect_list(F.struct("ord", "bucket", "period")),
                               lambda a, b: a["ord"] - b["ord"])
         periodos = rows.groupBy("tenant_id").agg(F.map_from_entries(F.transform(
             by_ord, lambda e: F.struct(e["bucket"], e["period"]))).alias("periodos"))
-        tot = self.totals()
-        doc = self.tenants.join(periodos, "tenant_id", "left").join(tot, "tenant_id", "left")
+        tot = self.totals().drop("meta_proporcional", "mes_meta_proporcional")
+        doc = with_call_facts(self.tenants, cal).join(periodos, "tenant_id", "left").join(tot, "tenant_id", "left")
 
         def n(c: str) -> Column:
             return F.coalesce(F.col(c), F.lit(0).cast("long"))
@@ -266,7 +281,7 @@ class Dashboard:
             n("alunos").alias("alunos_atendidos"),
             to_decimal(F.coalesce(F.col("disparos_por_aluno_hundredths"), zero), 2).alias("disparos_por_aluno"),
             n("conversas_unicas").alias("conversas_unicas"),
-            F.lit(k["meta_proporcional"]).alias("meta_proporcional"),
+            F.col("meta_proporcional"),
             to_decimal(F.coalesce(F.col("pct_meta_tenths"), zero), 1).alias("pct_meta"),
             to_decimal(F.coalesce(F.col("pace_diario_tenths"), zero), 1).alias("pace_diario"),
         )
@@ -277,8 +292,8 @@ class Dashboard:
             to_decimal(F.coalesce(F.col("mes_taxa_resp_tenths"), zero), 1).alias("taxa_resp"),
             n("mes_alunos").alias("alunos_atendidos"),
             F.lit(cal.month_days).alias("dias_decorridos"),
-            F.lit(goal).alias("meta"),
-            F.lit(k["mes_meta_proporcional"]).alias("meta_proporcional"),
+            F.col("meta_mensal").alias("meta"),
+            F.col("mes_meta_proporcional").alias("meta_proporcional"),
             to_decimal(F.coalesce(F.col("mes_pct_meta_tenths"), zero), 1).alias("pct_meta"),
             n("projecao_fim_mes").alias("projecao_fim_mes"),
         )
@@ -286,9 +301,9 @@ class Dashboard:
         return doc.select(
             "tenant_id",
             F.lit(cal.updated_at).alias("atualizado_em"),
-            F.lit(cal.params.project_start.isoformat()).alias("inicio_projeto"),
-            F.lit(goal).alias("meta_mensal"),
-            F.lit(cal.elapsed_days).alias("dias_corridos"),
+            "inicio_projeto",
+            "meta_mensal",
+            "dias_corridos",
             alltime.alias("alltime"),
             mes_atual.alias("mes_atual"),
             F.coalesce(F.col("periodos"), empty_periods).alias("periodos"),

@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ratio import pct_tenths, to_decimal
 from ..functions.regex import first_match_index, matches
-from ..functions.timecol import ts_type
 from ..plans.calendar import Calendar
 from ..plans.rules import RulePack
-from .periods import bucket_array
+from .periods import with_bucket_array
 from .base import is_public_incoming
 
 
@@ -143,8 +142,7 @@ def conversation_topics(base: DataFrame, pack: RulePack) -> DataFrame:
 
 def with_buckets(conv_topics: DataFrame, cal: Calendar) -> DataFrame:
     """Adds ``buckets``: the periods holding the conversation's latest text message."""
-    dtype = ts_type(conv_topics, "ult_msg")
-    return conv_topics.withColumn("buckets", bucket_array(F.col("ult_msg"), cal.periods, dtype))
+    return with_bucket_array(conv_topics, "ult_msg", cal, "buckets")
 
 
 def classified_buckets(conv_topics_b: DataFrame) -> DataFrame:

@@ -32,11 +32,28 @@ def conversation_words(base: DataFrame, pack: RulePack, min_len: int = 4) -> Dat
     return kept.groupBy("tenant_id", "conversation_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_counts(base: DataFrame, conv_buckets: DataFrame, pack: RulePack, min_len: int = 4, min_n: int = 2) -> DataFrame:
+#: Tenants' own stop words that are broadcast at most (two short strings each).
+FEW_STOP_WORDS = 100_000
+
+
+def without_stop_words(words: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """Rows whose (tenant_id, word) is not among the tenant's own stop words (tenant_id, word; any case, nulls ignored).
+
+    Two lists of one tenant may overlap. Up to ``FEW_STOP_WORDS`` rows, which is checked, the list is broadcast; beyond that the
+    anti-join is a shuffle by tenant and word, which no hot tenant can fill."""
+    own = stop_words.select("tenant_id", F.lower("word").alias("word")).na.drop().distinct()
+    few = own.limit(FEW_STOP_WORDS + 1).count() <= FEW_STOP_WORDS
+    return words.join(F.broadcast(own) if few else own, ["tenant_id", "word"], "left_anti")
+
+
+def word_counts(base: DataFrame, conv_buckets: DataFrame, pack: RulePack, min_len: int = 4, min_n: int = 2,
+                stop_words: DataFrame | None = None) -> DataFrame:
     """(tenant_id, bucket, word, n) with n >= ``min_n``.
 
-    ``conv_buckets``: one row per (tenant_id, conversation_id) with a ``buckets`` array."""
+    ``conv_buckets``: one row per (tenant_id, conversation_id) with a ``buckets`` array; ``stop_words``: tenants' own."""
     cw = conversation_words(base, pack, min_len)
+    if stop_words is not None:
+        cw = without_stop_words(cw, stop_words)
     # only conversations inside some period contribute; old ones drop out at the join
     cb = conv_buckets.where(F.size("buckets") > 0).select("tenant_id", "conversation_id", "buckets")
     return (cw.join(cb, ["tenant_id", "conversation_id"])

@@ -17,10 +17,11 @@ plans as literals, so Catalyst folds them and Parquet can prune on them.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zoneinfo import ZoneInfo
 
 from ..params import Params
+from .calls import Calls
 
 # Bucket keys, their labels and the month abbreviations of the
 # report, in report order.
@@ -76,6 +77,7 @@ class Calendar:
     elapsed_days: int  # days since project start, today excluded, at least 1
     month_days: int  # days of the current local month, today included
     periods: tuple[Period, ...]
+    calls: Calls | None = None  # each tenant's own arguments; the custom period is then theirs
 
     @property
     def tz(self) -> str:
@@ -91,6 +93,11 @@ class Calendar:
     def select(self, only=None) -> tuple[Period, ...]:
         return tuple(p for p in self.periods if only is None or p.bucket in only)
 
+    def with_calls(self, arguments) -> "Calendar":
+        """This calendar with a table of each tenant's arguments (``plans.calls.CALLS_SCHEMA``) in place of the run's."""
+        standard = tuple(p for p in self.periods if p.bucket != BUCKET_CUSTOM)
+        return replace(self, periods=standard, calls=Calls.of(arguments, self.params, self.local_today))
+
     @property
     def updated_at(self) -> str:
         return self.local_now.strftime("%Y-%m-%d %H:%M")

@@ -10,6 +10,7 @@ ISO text) so it can be compared value by value with its SQL oracle in
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ from ..operators.topics import classify
 from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
 from ..plans.rules import REFERENCE_PACK
-from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_conversations,
-                                chat_messages, event_base)
+from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_calls, chat_conversations,
+                                chat_messages, chat_stop_words, event_base)
 
+#: Characters of a segment in the query of that name.
+SEGMENT_CHARS = 500
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -123,6 +126,11 @@ def conversation_text(spark, sf_dir):
                                      "texto_chars")
 
 
+def conversation_segments(spark, sf_dir):
+    """The conversations' texts themselves, in rows of few characters so that most have several."""
+    return chat(spark, sf_dir).conversation_segments(SEGMENT_CHARS)
+
+
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -243,6 +251,37 @@ def summary_json(spark, sf_dir):
     return chat(spark, sf_dir, pack=REFERENCE_PACK).summary_json()
 
 
+def with_calls(spark, sf_dir, pack=TEST_PACK, how="none") -> Dashboard:
+    return Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), CHAT_PARAMS, pack, how=how,
+                                 calls=chat_calls(spark, sf_dir))
+
+
+def summary_leaves_calls(spark, sf_dir):
+    """The whole document where every tenant has its own start, goal and custom range."""
+    return document_leaves(with_calls(spark, sf_dir).summary())
+
+
+def dispatch_kpis_calls(spark, sf_dir):
+    return with_calls(spark, sf_dir).dispatch_kpis()
+
+
+def period_calendar_calls(spark, sf_dir):
+    return with_calls(spark, sf_dir).period_spine().select(
+        "tenant_id", "bucket", "label", "sublabel", F.col("ord").cast("int").alias("ord"), _ts_text("start_utc").alias("start_utc"), _ts_text("end_utc").alias("end_utc"))
+
+
+def summary_leaves_one_tenant(spark, sf_dir):
+    """The call for one tenant, in the shipped mode (working tables)."""
+    d = Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), replace(CHAT_PARAMS, tenants=("1",)), TEST_PACK, how="table")
+    return document_leaves(d.summary())
+
+
+def word_cloud_own_stop_words(spark, sf_dir):
+    d = Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), CHAT_PARAMS, TEST_PACK, how="none",
+                              stop_words=chat_stop_words(spark, sf_dir))
+    return d.word_cloud().select("tenant_id", "bucket", "word", "n", F.col("rn").cast("long").alias("rn"))
+
+
 def reference_rules_documents(spark, sf_dir):
     """The report's own rules on whole documents, with the mention flag."""
     d = documents(spark, sf_dir)
@@ -265,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "totals_events": totals_events,
     "goal_metrics": goal_metrics,
     "conversation_text": conversation_text,
+    "conversation_segments": conversation_segments,
     "conversation_topics": conversation_topics,
     "topic_rules": topic_rules,
     "topic_rules_guarded": topic_rules_guarded,
@@ -287,4 +327,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_json": summary_json,
     "summary_leaves": summary_leaves,
     "reference_rules_documents": reference_rules_documents,
+    "period_calendar_calls": period_calendar_calls,
+    "dispatch_kpis_calls": dispatch_kpis_calls,
+    "summary_leaves_calls": summary_leaves_calls,
+    "summary_leaves_one_tenant": summary_leaves_one_tenant,
+    "word_cloud_own_stop_words": word_cloud_own_stop_words,
 }

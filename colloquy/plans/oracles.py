@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from ..params import Params
 from ..plans.rules import REFERENCE_PACK, RulePack
-from ..sources.testdata import CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED
+from ..sources.testdata import CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, N_TENANTS, TEST_PACK, TEST_PACK_GUARDED, call_params
 
 FMT = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -268,6 +268,10 @@ FROM cl"""
 SELECT tenant_id, conversation_id, strftime(ult_msg, '{FMT}') AS ult_msg, n_msgs, CAST(length(texto) AS BIGINT) AS texto_chars
 FROM ta"""
 
+    o["conversation_segments"] = chat_with(text_cte(tp)) + """
+SELECT tenant_id, conversation_id, CAST(k AS BIGINT) AS segment, substring(texto, CAST(k * 500 + 1 AS BIGINT), 500) AS text
+FROM (SELECT *, unnest(range(0, (length(texto) + 499) // 500)) AS k FROM ta) x"""
+
     o["topic_rules"] = f"SELECT doc_id, {case_topic('text', tp)} AS topic FROM documents"
     o["topic_rules_guarded"] = f"SELECT doc_id, {case_topic('text', TEST_PACK_GUARDED)} AS topic FROM documents"
     o["reference_rules_documents"] = (f"SELECT doc_id, {case_topic('text', REFERENCE_PACK)} AS topic, "
@@ -318,9 +322,28 @@ LEFT JOIN hb ON hb.tenant_id = ob.tenant_id AND hb.bucket = ob.bucket AND hb.h =
     o["word_cloud_reference"] = word_cloud_sql(CHAT_PARAMS, REFERENCE_PACK)
     o["period_report_reference"] = period_report_sql(CHAT_PARAMS, REFERENCE_PACK)
     o["summary_leaves"] = summary_leaves_sql(CHAT_PARAMS, REFERENCE_PACK)
+
+    # every tenant with its own call: the plain SQL of each call, and of it the tenant's rows
+    o["period_calendar_calls"] = per_tenant(lambda p: chat_with(_period_labels(p), params=p) + f"""
+SELECT t.tenant_id, p.bucket, l.label, l.sublabel, p.ord, strftime(p.p_start, '{FMT}') AS start_utc, strftime(p.p_end, '{FMT}') AS end_utc
+FROM tenants t JOIN periods p ON TRUE JOIN labels l ON l.bucket = p.bucket""")
+    o["dispatch_kpis_calls"] = per_tenant(lambda p: chat_with(params=p) + dispatch)
+    o["summary_leaves_calls"] = per_tenant(lambda p: summary_leaves_sql(p, tp))
+    o["summary_leaves_one_tenant"] = f"SELECT * FROM ({summary_leaves_sql(CHAT_PARAMS, tp)}) x WHERE tenant_id = '1'"
+    own = f"""
+own AS (SELECT DISTINCT tenant_id, unnest(regexp_split_to_array(lower(content), '{_q(tp.word_split)}')) AS word FROM msgs_a),
+tok AS (
+  SELECT * FROM (SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(tp.word_split)}')) AS word FROM cb) x
+  ANTI JOIN (SELECT * FROM own WHERE length(word) % 4 = CAST(tenant_id AS INTEGER)) y ON y.tenant_id = x.tenant_id AND y.word = x.word)"""
+    o["word_cloud_own_stop_words"] = word_cloud_sql(CHAT_PARAMS, tp, own)
     return o
 
 
+def per_tenant(sql) -> str:
+    parts = [f"SELECT * FROM ({sql(call_params(t))}) x WHERE tenant_id = '{t}'" for t in range(N_TENANTS)]
+    return "\nUNION ALL\n".join(parts)
+
+
 def topic_distribution_sql(params: Params, pack: RulePack) -> str:
     return chat_with(text_cte(pack), params=params) + f"""
 SELECT tenant_id, bucket, categoria, n, {pct('n', 'total')} AS pct
@@ -329,18 +352,19 @@ FROM (SELECT tenant_id, bucket, categoria, COUNT(*) AS n,
       FROM cb GROUP BY tenant_id, bucket, categoria) x"""
 
 
-def words_cte(pack: RulePack) -> str:
-    return f"""
+def words_cte(pack: RulePack, tok: str | None = None) -> str:
+    tok = tok or f"""
 tok AS (
-  SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(pack.word_split)}')) AS word FROM cb),
+  SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(pack.word_split)}')) AS word FROM cb)"""
+    return f"""{tok},
 wc AS (
   SELECT tenant_id, bucket, word, COUNT(*) AS n FROM tok
   WHERE length(word) >= 4 AND word NOT IN ({stop_list(pack)})
   GROUP BY tenant_id, bucket, word HAVING COUNT(*) >= 2)"""
 
 
-def word_cloud_sql(params: Params, pack: RulePack) -> str:
-    return chat_with(text_cte(pack), words_cte(pack), params=params) + """
+def word_cloud_sql(params: Params, pack: RulePack, tok: str | None = None) -> str:
+    return chat_with(text_cte(pack), words_cte(pack, tok), params=params) + """
 SELECT tenant_id, bucket, word, n, rn FROM (
   SELECT tenant_id, bucket, word, n, ROW_NUMBER() OVER (PARTITION BY tenant_id, bucket ORDER BY n DESC, word) AS rn
   FROM wc) x WHERE rn <= 40"""

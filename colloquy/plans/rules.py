@@ -4,9 +4,9 @@ A ``RulePack`` is an ordered list of ``Rule`` rows (first match wins) plus the
 auxiliary text predicates of the report: the challenge-mention and engagement
 phrases, the auto-reply filter for quotes and the word-cloud stop words.
 
-Patterns of a pack must not be able to match the character ``|`` (a plain
-keyword never does; use ``[^|]`` for gaps) nor begin with a space; a pack that
-breaks this is rejected. Then every text predicate of a conversation can be
+No match of a pack's patterns may take part of the joint ``' | '`` between two messages but the space right after a message:
+``functions/pattern.py`` reads every pattern and guard and refuses those that could, and those that it can't read.
+Then every text predicate of a conversation can be
 evaluated message by message: matching the messages joined with ``' | '`` is
 matching one of them, each but the last followed by the joint's space. Rules
 whose matches can end in a space (``joint_rules``) are tested with that space too.
@@ -14,10 +14,9 @@ whose matches can end in a space (``joint_rules``) are tested with that space to
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from ..functions.regex import can_end_in_space
+from ..functions.pattern import UnsafePattern, can_end_in_space, check_rule
 
 
 @dataclass(frozen=True)
@@ -44,11 +43,12 @@ class RulePack:
     quote_max_len: int = 250
 
     def __post_init__(self):
-        for p in [*(r.keywords for r in self.rules), self.mention, self.engage]:
-            if r"\|" in p or re.search(r"(^|[|(]) ", p) or re.search(r"\[(?!\^)[^\]]*\|", p):
-                raise ValueError(f"pattern could match across messages: {p!r}")
-        if can_end_in_space(self.mention) or can_end_in_space(self.engage):
-            raise ValueError("mention and engagement phrases must not end in a space")
+        for r in self.rules:
+            check_rule(r.keywords, r.guard)
+        for p in (self.mention, self.engage):
+            check_rule(p)
+            if can_end_in_space(p):
+                raise UnsafePattern(f"pattern {p!r}: mention and engagement phrases must not end in a space")
 
     @property
     def joint_rules(self) -> tuple[int, ...]:

@@ -46,6 +46,14 @@ EVENT_PARAMS = Params(
     custom_end=dt.date(2024, 1, 20),
     exclude_patterns=(),
 )
+# Each tenant's own call in the queries that test them (tenant "t" of N_TENANTS).
+def call_params(t: int) -> Params:
+    """The chat parameters with tenant t's own project start, goal and custom range."""
+    start = dt.date(2024, 1, 5) + dt.timedelta(days=8 * t)
+    return Params(as_of=CHAT_PARAMS.as_of, tz=CHAT_PARAMS.tz, project_start=dt.date(2024, 1, 1) + dt.timedelta(days=9 * t),
+                  monthly_goal=30 + 17 * t, custom_start=start, custom_end=start + dt.timedelta(days=6 + 5 * t), exclude_patterns=("%7%",))
+
+
 N_TENANTS = 3
 N_CONTACTS = 40
 
@@ -81,6 +89,21 @@ def chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenant's call arguments (``plans.calls.CALLS_SCHEMA``), by its number."""
+    t = F.col("tenant_id").cast("int")
+    own = chat_messages(spark, sf_dir).select("tenant_id").distinct()
+    start = F.date_add(F.lit(dt.date(2024, 1, 5)), 8 * t)
+    return own.select("tenant_id", F.date_add(F.lit(dt.date(2024, 1, 1)), 9 * t).alias("project_start"), (30 + 17 * t).alias("monthly_goal"),
+                      start.alias("custom_start"), F.date_add(start, 6 + 5 * t).alias("custom_end"))
+
+
+def chat_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stop list of each tenant's own: its words, by length, where the length leaves the tenant's number modulo 4."""
+    words = chat_messages(spark, sf_dir).select("tenant_id", F.explode(F.split(F.lower("content"), TEST_PACK.word_split)).alias("word"))
+    return words.where(F.length("word") % 4 == F.col("tenant_id").cast("int")).distinct()
+
+
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an already-joined message base (contact derived from the user)."""
     e = _table(spark, sf_dir, "events")
