@@ -35,7 +35,8 @@ def base_messages(messages: DataFrame, conversations: DataFrame, exclude_pattern
     convs = convs.select("tenant_id", "conversation_id", "contact_id")
     msgs = restrict_tenants(messages, tenants)
     extra = [c for c in msgs.columns if c not in BASE_COLUMNS]
-    return msgs.join(convs, ["tenant_id", "conversation_id"], "inner").select(*BASE_COLUMNS, *extra)
+    base = [c for c in BASE_COLUMNS if c in msgs.columns or c in convs.columns]  # messages may come without text
+    return msgs.join(convs, ["tenant_id", "conversation_id"], "inner").select(*base, *extra)
 
 
 # Row predicates over the base (NULL ``is_private`` passes none of them).

@@ -15,12 +15,12 @@ from ..functions.ratio import pct_tenths, quot_hundredths, quot_tenths, scaled_r
 from ..functions.timecol import ts_literal, ts_type
 from ..plans.calendar import Calendar
 from .base import is_dispatch, is_public, is_public_incoming
-from .periods import assign_periods
+from .periods import assign_periods, day
 
 
 def dispatch_kpis(base: DataFrame, cal: Calendar) -> DataFrame:
     """(tenant_id, bucket, disparos, alunos_atendidos) for dispatches per period."""
-    d = base.where(is_dispatch()).select("tenant_id", "contact_id", "ts")
+    d = base.where(is_dispatch()).select("tenant_id", "contact_id", "ts", *day(base))
     return (assign_periods(d, "ts", cal)
             .groupBy("tenant_id", "bucket")
             .agg(F.count(F.lit(1)).alias("disparos"),
@@ -32,7 +32,7 @@ def message_kpis(base: DataFrame, cal: Calendar) -> DataFrame:
 
     ``respostas`` = distinct conversations with a public incoming message in the
     period; it is 0 exactly on buckets that have no incoming message."""
-    m = base.where(is_public()).select("tenant_id", "conversation_id", "kind", "ts")
+    m = base.where(is_public()).select("tenant_id", "conversation_id", "kind", "ts", *day(base))
     incoming = F.col("kind") == 0
     return (assign_periods(m, "ts", cal)
             .groupBy("tenant_id", "bucket")

@@ -10,6 +10,8 @@ every period.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from ..plans.calendar import ALL_BUCKETS, BUCKET_CUSTOM, Calendar, Period
 from ..plans.calls import FROM, TO
 
 
+#: Column of a table's day partitions.
+DAY = "dt"
+
+
 def period_condition(ts: Column, period: Period, dtype) -> Column:
     cond = ts >= ts_literal(period.start, dtype)
     if period.end is not None:
@@ -44,15 +50,26 @@ def with_bucket_array(df: DataFrame, ts_col: str, cal: Calendar, name: str, only
     return rows.drop(FROM, TO) if own else rows
 
 
+def day(df: DataFrame) -> list[str]:
+    """The day column, where the table has one."""
+    return [DAY] if DAY in df.columns else []
+
+
+def since(df: DataFrame, ts_col: str, start) -> DataFrame:
+    """Rows from an instant (naive UTC) on. A table laid out by day (``dt``, the date of ``ts`` in any zone) is
+    also read from the day before on only: the partitions of earlier days are left out."""
+    rows = df.where(F.col(ts_col) >= ts_literal(start, ts_type(df, ts_col)))
+    if isinstance(dict((f.name, f.dataType) for f in df.schema.fields).get(DAY), T.DateType):
+        rows = rows.where(F.col(DAY) >= F.lit(start.date() - dt.timedelta(days=1)))
+    return rows
+
+
 def assign_periods(df: DataFrame, ts_col: str, cal: Calendar, only=None, bucket_col: str = "bucket") -> DataFrame:
     """One output row per (input row, containing period); rows in no period vanish."""
-    starts = [p.start for p in cal.select(only)]
-    if cal.calls is not None and cal.calls.earliest is not None and (only is None or BUCKET_CUSTOM in only):
-        starts.append(cal.calls.earliest)
-    if not starts:
+    start = cal.earliest(only)
+    if start is None:
         return df.withColumn(bucket_col, F.lit(None).cast("string")).where(F.lit(False))
-    recent = df.where(F.col(ts_col) >= ts_literal(min(starts), ts_type(df, ts_col)))
-    rows = with_bucket_array(recent, ts_col, cal, bucket_col, only)
+    rows = with_bucket_array(since(df, ts_col, start), ts_col, cal, bucket_col, only)
     return rows.withColumn(bucket_col, F.explode(bucket_col))
 
 

@@ -9,10 +9,9 @@ conversations are ranked by (md5 of the picked content, conversation_id) and the
 first k kept: a stable pseudo-random sample. Quotes are not time-filtered; the
 conversation's periods come from its latest text message.
 
-Plan: the per-(conversation, topic) pick is a ``min(struct)`` aggregate
-(combinable map-side), joined once with the one-row-per-conversation topics on
-(tenant, conversation, topic); the top-k is a ``WindowGroupLimit``-planned
-``row_number`` filter.
+Plan: the picks travel without text: hash and message id decide, first within (conversation, topic), then, after one
+join with the one-row-per-conversation topics, within (tenant, period, topic). Both cuts are ``row_number`` filters that Spark
+plans with a partial ``WindowGroupLimit``. The texts of the winners, at most k a tenant, period and topic, are fetched at the end.
 """
 
 from __future__ import annotations
@@ -34,24 +33,24 @@ def quote_candidates(base: DataFrame, pack: RulePack) -> DataFrame:
 
 
 def quote_picks(base: DataFrame, conv_topics_b: DataFrame, pack: RulePack) -> DataFrame:
-    """(tenant_id, conversation_id, categoria, buckets, h, content): one pick per conversation."""
-    cand = quote_candidates(base, pack).where(~F.col("mcat").isin(*pack.no_quote_topics))
-    best = cand.groupBy("tenant_id", "conversation_id", F.col("mcat").alias("categoria")).agg(
-        F.min(F.struct("h", "message_id", "content")).alias("pick"))
+    """(tenant_id, conversation_id, categoria, buckets, h, message_id): one pick per conversation, 16 bytes of hash and an id."""
+    cand = quote_candidates(base, pack).where(~F.col("mcat").isin(*pack.no_quote_topics)).select(
+        "tenant_id", "conversation_id", "message_id", F.col("mcat").alias("categoria"), F.unhex("h").alias("h"))
+    first = Window.partitionBy("tenant_id", "conversation_id", "categoria").orderBy("h", "message_id")
+    best = cand.withColumn("k", F.row_number().over(first)).where(F.col("k") == 1).drop("k")
     convs = conv_topics_b.where(~F.col("categoria").isin(*pack.no_quote_topics) & (F.size("buckets") > 0)).select(
         "tenant_id", "conversation_id", "categoria", "buckets")
-    return best.join(convs, ["tenant_id", "conversation_id", "categoria"]).select(
-        "tenant_id", "conversation_id", "categoria", "buckets",
-        F.col("pick.h").alias("h"), F.col("pick.content").alias("content"))
+    return best.join(convs, ["tenant_id", "conversation_id", "categoria"])
 
 
-def sample_quotes(base: DataFrame, conv_topics_b: DataFrame, pack: RulePack, k: int = 3) -> DataFrame:
-    """(tenant_id, bucket, categoria, rn, content) with rn <= k."""
+def sample_quotes(base: DataFrame, conv_topics_b: DataFrame, pack: RulePack, k: int = 3, texts: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, bucket, categoria, rn, content) with rn <= k; ``texts``: where the winners' texts are read, if not in ``base``."""
     picks = quote_picks(base, conv_topics_b, pack)
-    rows = picks.select("tenant_id", F.explode("buckets").alias("bucket"), "categoria", "conversation_id", "h", "content")
+    rows = picks.select("tenant_id", F.explode("buckets").alias("bucket"), "categoria", "conversation_id", "h", "message_id")
     order = Window.partitionBy("tenant_id", "bucket", "categoria").orderBy("h", "conversation_id")
-    return (rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-            .select("tenant_id", "bucket", "categoria", "rn", "content"))
+    won = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("h")
+    texts = (base if texts is None else texts).where(is_text(pack)).select("tenant_id", "conversation_id", "message_id", "content")
+    return won.join(texts, ["tenant_id", "conversation_id", "message_id"]).select("tenant_id", "bucket", "categoria", "rn", "content")
 
 
 def quotes_folded(quotes: DataFrame) -> DataFrame:

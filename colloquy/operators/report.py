@@ -7,12 +7,14 @@ the tenant x period spine and folded by one ``groupBy(tenant, bucket)``
 map; the per-tenant totals join that once. Missing pieces become 0, ``[]`` or
 ``{}``, so every tenant of the spine gets a full document even without rows.
 
-The message base and the conversation topics feed several pieces; they are
-materialised once (cached, or written under ``spark.checkpoint.dir``).
+Three inputs feed several pieces and are materialised once (cached, or written under ``spark.checkpoint.dir``): the
+message base without text (counts), the text messages of the conversations that some period can hold, with their
+rule features, and the topics of those conversations.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
 from .segments import SEGMENT, conversation_segments
 from .rhythm import daily_rhythm, heatmap_folded, hourly_heatmap, rhythm_folded
-from .topics import (classified_buckets, conversation_text, conversation_topics, funnel_folded, is_text,
+from .topics import (active_conversations, classified_buckets, conversation_text, conversation_topics, funnel_folded, is_text,
                      mention_funnel, topic_counts, topic_distribution, topics_folded, with_buckets,
                      with_text_features)
 from .words import cloud_folded, word_cloud, word_counts
@@ -59,13 +61,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _delete_folder(spark: SparkSession, path: str) -> None:
-    """Remove a working table this run wrote (best effort: a leftover folder only costs space)."""
+    """Remove a working table this run wrote (a leftover folder only costs space, so an error is logged, not raised)."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
+    except Exception as e:
+        logging.getLogger(__name__).warning("working folder %s was not deleted: %s", path, e)
 
 
 def materialize(df: DataFrame, how: str) -> tuple[DataFrame, str | None]:
@@ -99,8 +101,13 @@ class Dashboard:
     words_k: int = 40
     quotes_k: int = 3
     stop_words: DataFrame | None = None
+    how: str = "table"
+    #: the base without text: what the counting operators read
     work: DataFrame | None = None
+    #: text messages of the active conversations, with their features: what the text operators read
+    texts: DataFrame | None = None
     _topics: DataFrame | None = None
+    _quoted: DataFrame | None = None
     _held: list = field(default_factory=list)
     _written: list = field(default_factory=list)
 
@@ -110,40 +117,57 @@ class Dashboard:
                     stop_words: DataFrame | None = None) -> "Dashboard":
         """``calls``: each tenant's own arguments (``plans.calls.CALLS_SCHEMA``); its tenants are then those of the run, as
         with ``params.tenants``. ``stop_words`` (tenant_id, word): left out of a tenant's word cloud beside the pack's."""
-        # per-message regex features on the scan side, before the join shuffles by conversation
-        msgs = with_text_features(restrict_tenants(messages, params.tenants), pack)
-        base = base_messages(msgs, conversations, params.exclude_patterns, params.tenants)
+        msgs = restrict_tenants(messages, params.tenants)
         spark = messages.sparkSession
         if calls is not None:
             calls = restrict_tenants(calls, params.tenants)
             tenants = calls.select("tenant_id")
-            base = base.join(tenants, "tenant_id", "left_semi")
+            conversations = conversations.join(tenants, "tenant_id", "left_semi")
         elif params.tenants is not None:
             tenants = spark.createDataFrame([(t,) for t in dict.fromkeys(params.tenants)], "tenant_id string")
         else:
             # every tenant with a counted row has conversations (the base is an inner join
             # on them), so the conversation table alone names the tenants: no message scan
             tenants = conversations.select("tenant_id").distinct()
-        return cls.from_base(base, params, tenants, pack, how, calls, stop_words)
+        join = lambda m: base_messages(m, conversations, params.exclude_patterns, params.tenants)
+        return cls._open(join(msgs), join(msgs.drop("content")), msgs, params, tenants, pack, how, calls, stop_words)
 
     @classmethod
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
                   pack: RulePack = REFERENCE_PACK, how: str = "table", calls: DataFrame | None = None,
                   stop_words: DataFrame | None = None) -> "Dashboard":
+        if tenants is None:
+            tenants = base.select("tenant_id").distinct()
+        return cls._open(base, base.drop("content"), base, params, tenants, pack, how, calls, stop_words)
+
+    @classmethod
+    def _open(cls, base: DataFrame, counts: DataFrame, messages: DataFrame, params: Params, tenants: DataFrame, pack: RulePack, how: str,
+              calls: DataFrame | None, stop_words: DataFrame | None) -> "Dashboard":
+        """``counts``: the base without text; ``messages``: rows that hold the base's text messages, contact or not."""
         cal = build_calendar(params)
         if calls is not None:
             cal = cal.with_calls(calls)
-        full = with_text_features(base, pack)
-        if tenants is None:
-            tenants = full.select("tenant_id").distinct()
-        d = cls(base=full, cal=cal, tenants=tenants, pack=pack, stop_words=stop_words)
-        # the shared working copy keeps message text only where an operator reads
-        # it (text messages); the team's outgoing messages and notes drop theirs
-        work = full.withColumn("content", F.when(is_text(pack), F.col("content")))
-        d.work = d._materialize(work, how)
-        d._topics = d._materialize(with_buckets(conversation_topics(d.work, pack), cal), how)
+        d = cls(base=base, cal=cal, tenants=tenants, pack=pack, stop_words=stop_words, how=how)
+        try:
+            d.work = d._materialize(counts, how)
+            # the conversations that any period can hold, found without text; the semi-join (which also leaves out excluded
+            # contacts) comes before the rules, the words and the quotes
+            text = messages.where(is_text(pack))
+            texts = with_text_features(text.join(active_conversations(d.work, cal), ["tenant_id", "conversation_id"], "left_semi"), pack)
+            d.texts = d._materialize(texts, how)
+            d._quoted = d.texts if how != "none" else text  # without the rules, where those are not written down
+            d._topics = d._materialize(with_buckets(conversation_topics(d.texts, pack), cal).where(F.size("buckets") > 0), how)
+        except Exception:
+            d.close()
+            raise
         return d
 
+    def __enter__(self) -> "Dashboard":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _materialize(self, df: DataFrame, how: str) -> DataFrame:
         out, path = materialize(df, how)
         self._held.append(out)
@@ -163,14 +187,19 @@ class Dashboard:
 
     # -- flat operator outputs ------------------------------------------------
     def conversation_topics(self) -> DataFrame:
+        """Of every conversation with text, whenever it was active."""
+        return conversation_topics(self.base, self.pack)
+
+    def active_topics(self) -> DataFrame:
+        """Of the conversations that some period holds, with those periods in ``buckets``."""
         return self._topics
 
     def conversation_text(self) -> DataFrame:
-        return conversation_text(self.work, self.pack)
+        return conversation_text(self.base, self.pack)
 
     def conversation_segments(self, size: int = SEGMENT) -> DataFrame:
         """The conversations' texts, in order, in rows of ``size`` characters."""
-        return conversation_segments(self.work, self.pack, size)
+        return conversation_segments(self.base, self.pack, size)
 
     def classified_buckets(self) -> DataFrame:
         return classified_buckets(self._topics)
@@ -188,13 +217,13 @@ class Dashboard:
         return topic_distribution(self.classified_buckets())
 
     def word_cloud(self) -> DataFrame:
-        return word_cloud(word_counts(self.work, self._topics, self.pack, stop_words=self.stop_words), self.words_k)
+        return word_cloud(word_counts(self.texts, self._topics, self.pack, stop_words=self.stop_words), self.words_k)
 
     def mention_funnel(self) -> DataFrame:
         return mention_funnel(self.classified_buckets())
 
     def sample_quotes(self) -> DataFrame:
-        return sample_quotes(self.work, self._topics, self.pack, self.quotes_k)
+        return sample_quotes(self.texts, self._topics, self.pack, self.quotes_k, self._quoted)
 
     def daily_rhythm(self) -> DataFrame:
         return daily_rhythm(self.work, self.cal)

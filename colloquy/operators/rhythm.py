@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.timecol import local_date, local_hour, ts_type
 from ..plans.calendar import HEATMAP_BUCKETS, RHYTHM_BUCKETS, Calendar
 from .base import is_public, is_public_incoming
-from .periods import assign_periods
+from .periods import assign_periods, day
 
 
 def daily_rhythm(base: DataFrame, cal: Calendar, only=RHYTHM_BUCKETS) -> DataFrame:
     """(tenant_id, bucket, dia, rec, env): public incoming / outgoing messages per local day.
     Days without traffic are absent (no zero fill)."""
     dtype = ts_type(base, "ts")
-    m = base.where(is_public()).select("tenant_id", "kind", "ts")
+    m = base.where(is_public()).select("tenant_id", "kind", "ts", *day(base))
     return (assign_periods(m, "ts", cal, only=only)
             .groupBy("tenant_id", "bucket", local_date(F.col("ts"), dtype, cal.tz).alias("dia"))
             .agg(F.count_if(F.col("kind") == 0).alias("rec"), F.count_if(F.col("kind") == 1).alias("env")))
@@ -36,7 +36,7 @@ def rhythm_folded(rhythm: DataFrame) -> DataFrame:
 def hourly_heatmap(base: DataFrame, cal: Calendar, only=HEATMAP_BUCKETS) -> DataFrame:
     """(tenant_id, bucket, h, n): public incoming messages per local hour (present hours only)."""
     dtype = ts_type(base, "ts")
-    m = base.where(is_public_incoming()).select("tenant_id", "ts")
+    m = base.where(is_public_incoming()).select("tenant_id", "ts", *day(base))
     return (assign_periods(m, "ts", cal, only=only)
             .groupBy("tenant_id", "bucket", local_hour(F.col("ts"), dtype, cal.tz).alias("h"))
             .agg(F.count(F.lit(1)).alias("n")))

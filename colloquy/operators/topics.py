@@ -22,7 +22,7 @@ from ..functions.ratio import pct_tenths, to_decimal
 from ..functions.regex import first_match_index, matches
 from ..plans.calendar import Calendar
 from ..plans.rules import RulePack
-from .periods import with_bucket_array
+from .periods import since, with_bucket_array
 from .base import is_public_incoming
 
 
@@ -55,13 +55,19 @@ def classify(text_col, pack: RulePack, message_level: bool = False):
 TEXT_FEATURES = ("rule_idx", "joint_hits", "msg_rule_idx", "mentions", "engages", "quote_ok")
 
 
+def active_conversations(base: DataFrame, cal: Calendar) -> DataFrame:
+    """(tenant_id, conversation_id) with a public incoming message since the earliest start of any period: all whose latest text
+    message can lie in one. Reads no text, and of a dated table only recent days."""
+    start = cal.earliest()
+    recent = since(base.where(is_public_incoming()), "ts", start) if start is not None else base.where(F.lit(False))
+    return recent.select("tenant_id", "conversation_id").distinct()
+
+
 def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
     """Per-message regex features (NULL / False outside text messages).
 
-    Row-local, so callers put it right on the message scan, before any join or
-    shuffle: the regex work is then spread over the input splits however the
-    rows are later keyed (a conversation holding a third of all messages does
-    not land in one task).
+    Row-local. The regexes are evaluated once per row: they come out of a generator (an array of one struct), and neither filters nor
+    projections on its output are pushed below it and evaluated again there.
 
     rule_idx      first rule (1-based, whole pack) matching the message
     joint_hits    bits of pack.joint_rules that match earlier than rule_idx once a space follows
@@ -73,25 +79,25 @@ def with_text_features(df: DataFrame, pack: RulePack) -> DataFrame:
         return df
     c = F.col("content")
     txt = is_text(pack)
-    idx = F.when(txt, first_match_index(c, pack.rules))
+    once = {"rule_idx": F.when(txt, first_match_index(c, pack.rules)),
+            "mentions": txt & matches(c, pack.mention),
+            "engages": txt & matches(c, pack.engage),
+            "quote_ok": (txt & F.length(c).between(pack.quote_min_len, pack.quote_max_len)
+                         & ~matches(c, pack.quote_exclude, word_start=False))}
     k = len(pack.message_rules)
-    if pack.message_chain_is_prefix:
-        msg_idx = F.when(F.col("rule_idx") <= k, F.col("rule_idx")).otherwise(F.lit(k + 1))
-    else:
-        msg_idx = F.when(txt, first_match_index(c, pack.message_rules))
-    quote_ok = (txt & F.length(c).between(pack.quote_min_len, pack.quote_max_len)
-                & ~matches(c, pack.quote_exclude, word_start=False))
+    if not pack.message_chain_is_prefix:
+        once["msg_rule_idx"] = F.when(txt, first_match_index(c, pack.message_rules))
+    rows = df.withColumn("features", F.explode(F.array(F.struct(*[v.alias(n) for n, v in once.items()]))))
+    rows = rows.select(*df.columns, "features.*")
     joint = F.lit(0)
     for bit, i in enumerate(pack.joint_rules):
         r = pack.rules[i - 1]
         hit = txt & (F.col("rule_idx") > i) & matches(F.concat(c, F.lit(" ")), r.keywords, r.guard, r.word_start)
         joint = joint + F.when(hit, F.lit(1 << bit)).otherwise(F.lit(0))
-    return (df.withColumn("rule_idx", idx)
-            .withColumns({"joint_hits": joint,
-                          "msg_rule_idx": msg_idx,
-                          "mentions": txt & matches(c, pack.mention),
-                          "engages": txt & matches(c, pack.engage),
-                          "quote_ok": quote_ok}))
+    rows = rows.withColumn("joint_hits", joint)
+    if pack.message_chain_is_prefix:
+        rows = rows.withColumn("msg_rule_idx", F.when(F.col("rule_idx") <= k, F.col("rule_idx")).otherwise(F.lit(k + 1)))
+    return rows
 
 
 def conversation_text(base: DataFrame, pack: RulePack, joiner: str = " | ") -> DataFrame:

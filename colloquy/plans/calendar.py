@@ -93,6 +93,13 @@ class Calendar:
     def select(self, only=None) -> tuple[Period, ...]:
         return tuple(p for p in self.periods if only is None or p.bucket in only)
 
+    def earliest(self, only=None) -> dt.datetime | None:
+        """Start (naive UTC) of the earliest of the periods, tenants' own ranges included."""
+        starts = [p.start for p in self.select(only)]
+        if self.calls is not None and self.calls.earliest is not None and (only is None or BUCKET_CUSTOM in only):
+            starts.append(self.calls.earliest)
+        return min(starts, default=None)
+
     def with_calls(self, arguments) -> "Calendar":
         """This calendar with a table of each tenant's arguments (``plans.calls.CALLS_SCHEMA``) in place of the run's."""
         standard = tuple(p for p in self.periods if p.bucket != BUCKET_CUSTOM)

@@ -14,6 +14,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ratio import to_double
 from ..functions.regex import matches
@@ -25,7 +26,7 @@ from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
 from ..plans.rules import REFERENCE_PACK
 from ..sources.testdata import (CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, TEST_PACK, TEST_PACK_GUARDED, chat_calls, chat_conversations,
-                                chat_messages, chat_stop_words, event_base)
+                                chat_messages, chat_stop_words, event_base, phrase_messages)
 
 #: Characters of a segment in the query of that name.
 SEGMENT_CHARS = 500
@@ -131,17 +132,22 @@ def conversation_segments(spark, sf_dir):
     return chat(spark, sf_dir).conversation_segments(SEGMENT_CHARS)
 
 
-def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+#: Partitions over which the rule queries deal the documents: the rules are the work there, and a file may be one split.
+RULE_PARTITIONS = 32
+
+
+def documents(spark, sf_dir, partitions: int | None = None):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return d if partitions is None else d.repartition(partitions)
 
 
 def topic_rules(spark, sf_dir):
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, RULE_PARTITIONS)
     return d.select("doc_id", classify(F.col("text"), TEST_PACK).alias("topic"))
 
 
 def topic_rules_guarded(spark, sf_dir):
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, RULE_PARTITIONS)
     return d.select("doc_id", classify(F.col("text"), TEST_PACK_GUARDED).alias("topic"))
 
 
@@ -152,7 +158,7 @@ def topic_distribution(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
 
 def word_counts_chat(spark, sf_dir):
     d = chat(spark, sf_dir)
-    return word_counts(d.base, d.conversation_topics(), d.pack)
+    return word_counts(d.texts, d.active_topics(), d.pack)
 
 
 def word_cloud(spark, sf_dir, pack=TEST_PACK, params=CHAT_PARAMS):
@@ -247,8 +253,37 @@ def summary_leaves(spark, sf_dir):
 
 
 def summary_json(spark, sf_dir):
-    """The whole document with the report's own rule pack (rows-only check)."""
-    return chat(spark, sf_dir, pack=REFERENCE_PACK).summary_json()
+    """The JSON text of the document, with the report's own rules on phrase texts, read back by the document's schema."""
+    d = phrases(spark, sf_dir, CHAT_CUSTOM_PARAMS)
+    schema = T.StructType([f for f in d.summary().schema.fields if f.name != "tenant_id"])
+    return document_leaves(d.summary_json().select("tenant_id", F.from_json("doc", schema, {"mode": "FAILFAST"}).alias("d")).select("tenant_id", "d.*"))
+
+
+def phrases(spark, sf_dir, params=CHAT_PARAMS, how="none") -> Dashboard:
+    """The report's own rules on texts in which each of them finds something."""
+    return Dashboard.from_tables(phrase_messages(spark, sf_dir), chat_conversations(spark, sf_dir), params, REFERENCE_PACK, how=how)
+
+
+def conversation_topics_phrases(spark, sf_dir):
+    return phrases(spark, sf_dir).conversation_topics().select(
+        "tenant_id", "conversation_id", "categoria", _ts_text("ult_msg").alias("ult_msg"), "n_msgs", "menciona_desafio", "engajou")
+
+
+def sample_quotes_phrases(spark, sf_dir):
+    return phrases(spark, sf_dir).sample_quotes().select("tenant_id", "bucket", "categoria", F.col("rn").cast("long").alias("rn"), "content")
+
+
+def summary_leaves_phrases(spark, sf_dir):
+    """The whole document, with a custom range, where no list is empty; in the shipped mode (working tables)."""
+    return document_leaves(phrases(spark, sf_dir, CHAT_CUSTOM_PARAMS, how="table").summary())
+
+
+def message_rules_phrases(spark, sf_dir):
+    """Topic of every single message under both chains of the report's rules."""
+    m = phrase_messages(spark, sf_dir)
+    return m.select("message_id", classify(F.col("content"), REFERENCE_PACK).alias("topic"), classify(F.col("content"), REFERENCE_PACK, message_level=True).alias("mcat"),
+                    matches(F.col("content"), REFERENCE_PACK.mention).alias("menciona"), matches(F.col("content"), REFERENCE_PACK.engage).alias("engaja"),
+                    matches(F.col("content"), REFERENCE_PACK.quote_exclude, word_start=False).alias("automatica"))
 
 
 def with_calls(spark, sf_dir, pack=TEST_PACK, how="none") -> Dashboard:
@@ -284,7 +319,7 @@ def word_cloud_own_stop_words(spark, sf_dir):
 
 def reference_rules_documents(spark, sf_dir):
     """The report's own rules on whole documents, with the mention flag."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, RULE_PARTITIONS)
     t = F.col("text")
     return d.select("doc_id", classify(t, REFERENCE_PACK).alias("topic"),
                     matches(t, REFERENCE_PACK.mention).alias("menciona_desafio"))
@@ -327,6 +362,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_json": summary_json,
     "summary_leaves": summary_leaves,
     "reference_rules_documents": reference_rules_documents,
+    "message_rules_phrases": message_rules_phrases,
+    "conversation_topics_phrases": conversation_topics_phrases,
+    "sample_quotes_phrases": sample_quotes_phrases,
+    "summary_leaves_phrases": summary_leaves_phrases,
     "period_calendar_calls": period_calendar_calls,
     "dispatch_kpis_calls": dispatch_kpis_calls,
     "summary_leaves_calls": summary_leaves_calls,

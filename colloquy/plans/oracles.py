@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from ..params import Params
 from ..plans.rules import REFERENCE_PACK, RulePack
-from ..sources.testdata import CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, N_TENANTS, TEST_PACK, TEST_PACK_GUARDED, call_params
+from ..sources.testdata import CHAT_CUSTOM_PARAMS, CHAT_PARAMS, EVENT_PARAMS, N_TENANTS, PHRASES, TEST_PACK, TEST_PACK_GUARDED, call_params
 
 FMT = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -330,6 +330,17 @@ FROM tenants t JOIN periods p ON TRUE JOIN labels l ON l.bucket = p.bucket""")
     o["dispatch_kpis_calls"] = per_tenant(lambda p: chat_with(params=p) + dispatch)
     o["summary_leaves_calls"] = per_tenant(lambda p: summary_leaves_sql(p, tp))
     o["summary_leaves_one_tenant"] = f"SELECT * FROM ({summary_leaves_sql(CHAT_PARAMS, tp)}) x WHERE tenant_id = '1'"
+    # the report's rules on texts that begin with a phrase
+    o["message_rules_phrases"] = with_phrases(chat_with() + f"""
+SELECT message_id, {case_topic('content', REFERENCE_PACK)} AS topic, {case_topic('content', REFERENCE_PACK, message_level=True)} AS mcat,
+       regexp_matches(content, '{re2(REFERENCE_PACK.mention)}') AS menciona, regexp_matches(content, '{re2(REFERENCE_PACK.engage)}') AS engaja,
+       regexp_matches(content, '{re2(REFERENCE_PACK.quote_exclude, word_start=False)}') AS automatica
+FROM msgs_a""")
+    o["conversation_topics_phrases"] = with_phrases(chat_with(text_cte(REFERENCE_PACK)) + f"""
+SELECT tenant_id, conversation_id, categoria, strftime(ult_msg, '{FMT}') AS ult_msg, n_msgs, menciona_desafio, engajou FROM cl""")
+    o["sample_quotes_phrases"] = with_phrases(sample_quotes_sql(CHAT_PARAMS, REFERENCE_PACK))
+    o["summary_leaves_phrases"] = with_phrases(summary_leaves_sql(CHAT_CUSTOM_PARAMS, REFERENCE_PACK))
+    o["summary_json"] = o["summary_leaves_phrases"]
     own = f"""
 own AS (SELECT DISTINCT tenant_id, unnest(regexp_split_to_array(lower(content), '{_q(tp.word_split)}')) AS word FROM msgs_a),
 tok AS (
@@ -339,6 +350,14 @@ tok AS (
     return o
 
 
+def with_phrases(sql: str) -> str:
+    """The query on messages whose texts begin with a phrase."""
+    phrases = ", ".join(f"'{_q(p)}'" for p in PHRASES)
+    text = f"([{phrases}])[(conv_id * 7 + turn * 5) % {len(PHRASES)} + 1] || '. ' || substring(text, 1, CAST((conv_id % 5) * 30 AS BIGINT))"
+    assert "         text AS content" in sql
+    return sql.replace("         text AS content", f"         {text} AS content")
+
+
 def per_tenant(sql) -> str:
     parts = [f"SELECT * FROM ({sql(call_params(t))}) x WHERE tenant_id = '{t}'" for t in range(N_TENANTS)]
     return "\nUNION ALL\n".join(parts)

@@ -33,10 +33,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests)
-    point it at a fresh scratch folder."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local session (tests), whose executors are this process, gets a fresh
+    scratch folder where none is set; on a cluster executors could not see it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="colloquy-ckpt-", dir=os.environ.get("COLLOQUY_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)

@@ -4,7 +4,7 @@
 ``conversations``  tenant_id, conversation_id, contact_id, contact_name
 
 ``kind`` is 0 for an incoming (student) message and 1 for an outgoing (team)
-one; other values are ignored. ``ts`` is an instant, stored as TIMESTAMP or as
+one; other values are ignored. ``message_id`` is unique within a conversation. ``ts`` is an instant, stored as TIMESTAMP or as
 UTC TIMESTAMP_NTZ. Schemas are given at read time, never inferred. Lay the
 tables out partitioned by tenant (and by date for messages) so that a
 tenant-restricted run prunes partitions.

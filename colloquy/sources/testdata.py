@@ -78,6 +78,27 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed test phrases, one put before each text of ``phrase_messages``: something for every rule of the report, negated
+# forms that its guards leave out, mentions with and without engagement, automatic replies and plain talk.
+PHRASES = (
+    "quero cancelar a minha inscrição hoje", "não quero cancelar nada, fique tranquila", "a plataforma caiu de novo agora há pouco", "não entendi a segunda parte da explicação",
+    "ele nunca me ajuda quando eu pergunto", "arrematei um apartamento pequeno no centro", "ainda não arrematei nenhum por aqui", "amei cada minuto da transmissão de ontem",
+    "não amei tanto quanto esperava", "consegui acessar tudo pelo celular novo", "estou assistindo pela segunda vez", "vou estudar amanhã bem cedo", "o telegram da turma está animado",
+    "minha esposa pediu para avisar", "agradecemos o contato e a paciência", "sou corretor de imóveis aqui perto", "sobre o desafio: aceito com certeza", "o desafio vai até que dia mesmo",
+    "nada de novo por enquanto por aqui", "bom dia a todos do time", "em breve envio os documentos que faltam", "jamais vou pedir reembolso disso", "recomendo para quem está começando agora", "peço desculpas pela demora",
+)
+
+
+def phrase_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat messages with a phrase of ``PHRASES`` before the beginning of their text, so that every rule has something to find."""
+    m = chat_messages(spark, sf_dir)
+    conv = F.col("conversation_id")
+    turn = F.col("message_id") - conv * 1000
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), ((conv * 7 + turn * 5) % len(PHRASES) + 1).cast("int"))
+    start = F.substr(F.col("content"), F.lit(1), ((conv % 5) * 30).cast("int"))
+    return m.withColumn("content", F.concat(phrase, F.lit(". "), start))
+
+
 def chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
     names = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("conv_id"), "c_name")
