@@ -46,6 +46,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read back. ``clear`` deletes what was written so."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the working tables of this application's operators and pipeline, once their results have been used."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """A column name near ``name`` that none of the frames has (names compare without case)."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -10,8 +10,8 @@ holds a third of all rows is many blocks. Two blocks meet in a task unless the d
 exceeds both covering radii plus 0.2. In the task each block becomes a cover tree: nested nets
 whose radii halve from level to level, every node knowing its covering radius. Pairs of
 nodes are descended together: a pair is dropped when the centres are further apart than both covering radii
-plus 0.2, taken whole when all its points must link, and opened otherwise, down to exact cosines.
-A task returns the number of links of each vector and a spanning set of links, never all pairs.
+plus 0.2, and opened otherwise, down to exact cosines.
+Components are taken as the column holds them, floats or doubles. A task returns the number of links of each vector and a spanning set of links, never all pairs.
 
 Null, zero or non-finite vectors (or components), vectors of another length than the label's others and null
 labels link with nothing. Rows that share a vec_id are one node of the result. A null vec_id takes part in
@@ -33,7 +33,10 @@ LEAST = 0.98
 BLOCK, PIVOTS = 3000, 256
 #: Node pairs with at most this many pairs of points are compared directly.
 DIRECT = 4096
-SLACK = 1e-9
+#: What rounding can take from a distance: near 0, sqrt(2 - 2 cos) is off by up to 2e-8. Pairs within it are decided exactly.
+SLACK = 1e-7
+#: Bytes of all labels' pivots up to which every task has them all; beyond it they are joined to the rows.
+FEW_BYTES = 64 << 20
 
 
 class Tree:
@@ -178,12 +181,12 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _pair(least: float):
+def _pair(least: float, kind: str):
     reach = float(np.sqrt(2 - 2 * least))
 
     def run(table: pa.Table) -> pa.Table:
         nodes, weight, side = table["node"].to_numpy(), table["n"].to_numpy(), table["side"].to_numpy()
-        raw = np.array([np.frombuffer(x.as_buffer(), np.float32) for x in table["raw"]]).astype(np.float64)
+        raw = np.array([np.frombuffer(x.as_buffer(), kind) for x in table["raw"]]).astype(np.float64)
         norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         x = raw / norm[:, None]
         one, two = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
@@ -218,50 +221,78 @@ def _pair(least: float):
     return run
 
 
-def _cells(pivots: int):
-    """Nearest of the label's pivots, and the distance."""
+def _matrix(column, kind: str) -> np.ndarray:
+    """Vectors of one length, given as bytes, as rows of doubles."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the unit vectors of the rows of x from those of y."""
+    cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+    return np.sqrt(np.maximum(2 - 2 * cos, 0))
+
+
+def _cells(kind: str, known=None):
+    """Nearest of the label's pivots, and the distance; the pivots come with the row, or from ``known`` by label and length."""
 
     def run(batches):
         for batch in batches:
-            cell, far = [], []
-            for raw, piv in zip(batch.column(2), batch.column(3)):
-                x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
-                p = [np.frombuffer(y, np.float32).astype(np.float64) for y in piv.as_py()]
-                p = np.array([y for y in p if len(y) == len(x)])
-                d = np.sqrt(np.maximum(2 - 2 * (p @ x) / (np.linalg.norm(p, axis=1) * np.linalg.norm(x)), 0)) if len(p) else np.zeros(1)
-                cell.append(int(d.argmin()))
-                far.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["label", "node", "raw", "n", "cell", "far"])
+            n = batch.num_rows
+            cell, far = np.zeros(n, np.int32), np.zeros(n)
+            raw = batch.column(2).to_pylist()
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), map(len, raw))):
+                groups.setdefault(key, []).append(i)
+            for key, at in groups.items():
+                pivots = known.value[key] if known is not None else batch.column(4)[at[0]].as_py()
+                for a in range(0, len(at), 4096):
+                    some = at[a : a + 4096]
+                    d = _distances(_matrix([raw[i] for i in some], kind), _matrix(pivots, kind))
+                    cell[some], far[some] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cell), pa.array(far)], ["label", "node", "raw", "n", "cell", "far"])
 
     return run
 
 
-def _gaps(batches):
+def _gaps(kind: str):
     """Distance of two pivots given as bytes."""
-    for batch in batches:
-        d = []
-        for x, y in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-            x, y = (np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) for v in (x, y))
-            d.append(float(np.sqrt(max(2 - 2 * (x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), 0))))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(d)], [*batch.schema.names[:-2], "gap"])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_columns
+            one, two = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
+            d, sizes = np.zeros(batch.num_rows), np.array([len(v) for v in one])
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x, y = (_matrix([v[i] for i in at.tolist()], kind) for v in (one, two))
+                cos = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+                d[at] = np.sqrt(np.maximum(2 - 2 * cos, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(d)], [*batch.schema.names[:-2], "gap"])
+
+    return run
 
 
-def _raw(batches):
-    """Valid vectors as float32 bytes."""
-    for batch in batches:
-        out = []
-        for v in batch.column(2).to_pylist():
-            ok = v is not None and len(v) > 0 and None not in v
-            x = np.array(v, np.float32) if ok else None
-            out.append((x + np.float32(0)).tobytes() if ok and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array(out, pa.binary())], ["vec_id", "label", "raw"])
+def _raw(kind: str):
+    """Valid vectors as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column(2).to_pylist():
+                ok = v is not None and len(v) > 0 and None not in v
+                x = np.array(v, kind) if ok else None
+                out.append((x + x.dtype.type(0)).tobytes() if ok and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array(out, pa.binary())], ["vec_id", "label", "raw"])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector (columns vec_id, label, embedding of floats)."""
+    """vec_id, n_links, component_id, kept of every vector (columns vec_id, label, embedding)."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = checkpoint(vectors.select("vec_id", "label", "embedding").mapInArrow(_raw, "vec_id long, label long, raw binary"))
+    kind = "<f8" if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else "<f4"
+    rows = checkpoint(vectors.select("vec_id", "label", "embedding").mapInArrow(_raw(kind), "vec_id long, label long, raw binary"))
     good = rows.where("raw is not null and label is not null")
     # equal vectors are one node; its number is unique by row order of the key
     nodes = good.groupBy("label", "raw").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
@@ -273,8 +304,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     picked = hashed.withColumn("i", F.row_number().over(part)).where(F.col("i") <= PIVOTS).join(sizes, ["label", "dim"]).where(F.col("i") <= F.ceil(F.col("m") / BLOCK))
     pivots = picked.groupBy("label", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]).alias("pivots"), F.first("m").alias("m"))
     pivots = checkpoint(pivots)
-    keyed = nodes.withColumn("dim", F.octet_length("raw")).join(pivots.select("label", "dim", "pivots"), ["label", "dim"])
-    celled = checkpoint(keyed.select("label", "node", "raw", "pivots", "n").mapInArrow(_cells(PIVOTS), "label long, node long, raw binary, n long, cell int, far double").withColumn("dim", F.octet_length("raw")))
+    celled_schema = "label long, node long, raw binary, n long, cell int, far double"
+    if (pivots.agg(F.sum(F.size("pivots") * F.col("dim").cast("long"))).first()[0] or 0) <= FEW_BYTES:
+        known = spark.sparkContext.broadcast({(r["label"], r["dim"]): [bytes(x) for x in r["pivots"]] for r in pivots.select("label", "dim", "pivots").collect()})
+        celled = nodes.select("label", "node", "raw", "n").mapInArrow(_cells(kind, known), celled_schema)
+    else:
+        keyed = nodes.withColumn("dim", F.octet_length("raw")).join(pivots.select("label", "dim", "pivots"), ["label", "dim"])
+        celled = keyed.select("label", "node", "raw", "n", "pivots").mapInArrow(_cells(kind), celled_schema)
+    celled = checkpoint(celled.withColumn("dim", F.octet_length("raw")))
     cells = celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("far").alias("radius"))
     cells = cells.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).join(pivots.select("label", "dim", "pivots"), ["label", "dim"])
     cells = cells.select("label", "dim", "cell", "radius", "parts", F.expr("get(pivots, cell)").alias("pivot"))
@@ -283,7 +320,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     ordered = (F.col("x.cell") < F.col("y.cell")) | (F.col("x.cell") == F.col("y.cell")) & (F.col("x.part") <= F.col("y.part"))
     meet = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & ordered)
     meet = meet.select("x.label", "x.dim", F.col("x.cell").alias("c1"), F.col("x.part").alias("p1"), F.col("y.cell").alias("c2"), F.col("y.part").alias("p2"), (F.col("x.radius") + F.col("y.radius")).alias("r"), F.col("x.pivot").alias("pa"), F.col("y.pivot").alias("pb"))
-    meet = meet.mapInArrow(_gaps, "label long, dim int, c1 int, p1 int, c2 int, p2 int, r double, gap double")
+    meet = meet.mapInArrow(_gaps(kind), "label long, dim int, c1 int, p1 int, c2 int, p2 int, r double, gap double")
     meet = meet.where(F.col("gap") <= F.col("r") + float(np.sqrt(2 - 2 * least)) + SLACK)
     same = (F.col("c1") == F.col("c2")) & (F.col("p1") == F.col("p2"))
     key = F.struct("label", "dim", "c1", "p1", "c2", "p2")
@@ -293,7 +330,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     parts = cells.select("label", "dim", "cell", "parts")
     parted = celled.join(parts, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("raw"), F.col("parts")).cast("int"))
     dealt = parted.join(sides, ["label", "dim", "cell", "part"]).select("pair", "side", "node", "n", "raw")
-    found = checkpoint(dealt.groupBy("pair").applyInArrow(_pair(least), "node long, links long, root long"))
+    found = checkpoint(dealt.groupBy("pair").applyInArrow(_pair(least, kind), "node long, links long, root long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # a component is named by its least vec_id

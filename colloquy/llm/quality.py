@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free
+from .common import checkpoint, free, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -112,12 +112,15 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their columns as given."""
-    q, host, bad = free("__q", docs), free("__host", docs), free("__bad", docs)
-    judged = with_features(docs.select("source", "text"), "q").select("source", "q.base_failed", "q.soft_failed")
-    hosts = host_verdicts(judged).select(F.col("source").alias(host), F.col("host_rejected").alias(bad)).where(bad)
-    # filters aren't pushed below a generator's own output: the features are evaluated once, not again inside the filters
-    d = with_features(docs, q).withColumn(q, F.explode(F.array(q))).where(~F.col(q)["base_failed"])
-    d = d.join(hosts, F.col("source").eqNullSafe(F.col(host)), "left")
-    d = d.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(q)["soft_failed"]))
+    """The documents that are kept, with their columns as given.
+
+    The documents are written once with their two verdicts, so that the features, most of the work, are not evaluated
+    again when the hosts' verdicts are known."""
+    q, host, bad, base, soft = (free(c, docs) for c in ("__q", "__host", "__bad", "__base_failed", "__soft_failed"))
+    d = with_features(docs, q).withColumn(q, F.explode(F.array(q)))  # evaluated once: nothing is pushed below a generator's own output
+    d = written(d.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(q)["base_failed"].alias(base), F.col(q)["soft_failed"].alias(soft)), "quality")
+    hosts = host_verdicts(d.select("source", F.col(base).alias("base_failed"), F.col(soft).alias("soft_failed")))
+    hosts = hosts.select(F.col("source").alias(host), F.col("host_rejected").alias(bad)).where(bad)
+    d = d.where(~F.col(base)).join(hosts, F.col("source").eqNullSafe(F.col(host)), "left")
+    d = d.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(soft)))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])

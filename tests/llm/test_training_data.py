@@ -244,15 +244,21 @@ def test_transducer(tmp_path):
     assert [t.ids[t.offsets[i]:t.offsets[i + 1]].tolist() for i in n[:-3]] == [x.tolist() for x in ids]
 
 
-def test_cover_tree(spark, monkeypatch):
+@pytest.mark.parametrize("kind, few", [("float", 0), ("float", cover_tree.FEW_BYTES), ("double", cover_tree.FEW_BYTES)])
+def test_cover_tree(spark, monkeypatch, kind, few):
     monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    monkeypatch.setattr(cover_tree, "FEW_BYTES", few)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[100:180] = x[7] + rng.normal(scale=0.05, size=(80, 16))
     x[180:190] = x[3]
     data = [(i, int(i % 2) if i < 290 else None, v.tolist()) for i, v in enumerate(x)]
     data += [(300, 0, None), (301, 0, [0.0] * 16), (302, 0, [float("nan")] * 16), (303, 0, [None] * 16), (304, 0, []), (305, 0, [1.0, 2.0])]
-    schema = "vec_id long, label int, embedding array<float>"
+    if kind == "double":  # a link that rounding to floats would make
+        a, b = np.zeros(16), np.zeros(16)
+        a[0], b[:2] = 1.0, (0.98 - 1e-10, np.sqrt(1 - (0.98 - 1e-10) ** 2))
+        data += [(306, 7, a.tolist()), (307, 7, b.tolist()), (308, 8, a.tolist()), (309, 8, [0.98 + 1e-10, float(np.sqrt(1 - (0.98 + 1e-10) ** 2)), *[0.0] * 14])]
+    schema = f"vec_id long, label int, embedding array<{kind}>"
     got = by_id(cover_tree.near_duplicates(spark.createDataFrame(data, schema)))
     links = defaultdict(set)
     for i in range(290):
@@ -261,6 +267,9 @@ def test_cover_tree(spark, monkeypatch):
             if i % 2 == j % 2 and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98:
                 links[i].add(j)
                 links[j].add(i)
+    if kind == "double":
+        links[308].add(309)
+        links[309].add(308)
     for i, *_ in data:
         seen, todo = {i}, [i]
         while todo:
@@ -271,6 +280,14 @@ def test_cover_tree(spark, monkeypatch):
     assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_cover_tree_with_repeated_and_null_ids(spark):
+    """Rows are counted one by one; a null id names no component."""
+    one, near, far = [1.0, 0.0, 0.0], [0.995, 0.0998, 0.0], [0.0, 1.0, 0.0]
+    data = [(1, 0, one), (1, 0, near), (2, 0, near), (None, 0, one), (None, 0, far), (3, None, one), (4, 1, one)]
+    got = Counter(tuple(r) for r in cover_tree.near_duplicates(spark.createDataFrame(data, "vec_id long, label int, embedding array<float>")).collect())
+    assert got == Counter([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, True), (None, 0, None, True), (3, 0, 3, True), (4, 0, 4, True)])
+
+
 def check_scores(got, table):
     """Scores against a plain trie of counts."""
     k = ppm.ORDER
