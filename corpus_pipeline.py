@@ -2,19 +2,18 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its
 predecessor kept, and all but the last return the columns of documents. ``run`` writes each
-stage's result as Parquet in the shared folder and reads it as the next one's input.
+stage's result as Parquet in the shared folder and reads it as the next one's input; ``colloquy.llm.common.clear`` deletes
+what it wrote once the rows have been used.
 
 Each stage's handling of nulls, empty texts, repeated rows and empty tables is stated in its operator's module.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import line_dedup, minhash, packing, quality, substring
-from colloquy.llm.common import shared_folder
+from colloquy.llm.common import written
 from colloquy.llm.queries import vocabulary_path
 
 
@@ -52,10 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(path := f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(path)
+            docs = written(docs, f"pipeline-{i}-{name}")
     return docs
