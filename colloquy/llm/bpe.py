@@ -30,6 +30,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -411,12 +412,17 @@ def normal(word: str) -> str:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(vocab: str, lexicon: str | None = None) -> Encoder:
-    """The worker's encoder; one at a time is kept."""
+@contextmanager
+def encoder(vocab: str, lexicon: str | None = None):
+    """The worker's encoder; one at a time is kept. What it remembers goes when its task ends, since the worker may wait for
+    other work for long, and another task's words are mostly others."""
     if (vocab, lexicon) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[vocab, lexicon] = Encoder(vocab, SparkFiles.get(lexicon) if lexicon else None)
-    return _ENCODERS[vocab, lexicon]
+    try:
+        yield _ENCODERS[vocab, lexicon]
+    finally:
+        _ENCODERS[vocab, lexicon]._forget()
 
 
 def encoded(batch: pa.RecordBatch, column: int, e: Encoder):
@@ -470,14 +476,13 @@ def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON) -> str:
 
 def _digest(vocab: str, lexicon: str):
     def run(batches):
-        e = encoder(vocab, lexicon)
-        for batch in batches:
-            ids_of = batch.column(0)
-            for first, out in encoded(batch, 1, e):
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                yield pa.RecordBatch.from_arrays([
-                    ids_of.slice(first, len(out)).cast(pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([sha(x) for x in out]),
-                    pa.array([sha(decode(x, e.v.pieces).encode()) for x in out])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        with encoder(vocab, lexicon) as e:
+            for batch in batches:
+                for first, out in encoded(batch, 1, e):
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(first, len(out)).cast(pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([sha(x) for x in out]),
+                        pa.array([sha(decode(x, e.v.pieces).encode()) for x in out])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -495,10 +500,10 @@ def encode(docs: DataFrame, vocab: str) -> DataFrame:
     lexicon = build_lexicon(docs, vocab)
 
     def run(batches):
-        e = encoder(vocab, lexicon)
-        for batch in batches:
-            for first, out in encoded(batch, 1, e):
-                arrays = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)).cast(pa.int64()), arrays], ["doc_id", "ids"])
+        with encoder(vocab, lexicon) as e:
+            for batch in batches:
+                for first, out in encoded(batch, 1, e):
+                    arrays = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)).cast(pa.int64()), arrays], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -54,17 +54,17 @@ def _pieces(vocab: str, room: int, end: int):
     tail = int(end).to_bytes(4, "little")
 
     def run(batches):
-        e = encoder(vocab)
-        for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            for first, out in encoded(batch, 1, e):
-                rows = []
-                for i, x in enumerate(out):
-                    x += tail
-                    for p, at in enumerate(range(0, len(x), 4 * room)):
-                        y = x[at : at + 4 * room]
-                        rows.append((ids_of[first + i], p, at // 4, len(y) // 4, zlib.crc32(y)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with encoder(vocab) as e:
+            for batch in batches:
+                ids_of = batch.column(0).to_pylist()
+                for first, out in encoded(batch, 1, e):
+                    rows = []
+                    for i, x in enumerate(out):
+                        x += tail
+                        for p, at in enumerate(range(0, len(x), 4 * room)):
+                            y = x[at : at + 4 * room]
+                            rows.append((ids_of[first + i], p, at // 4, len(y) // 4, zlib.crc32(y)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
