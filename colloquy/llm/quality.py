@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free, written
+from .common import checkpoint, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -111,16 +111,25 @@ def assess(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed")))
 
 
+def _row_key(seed: int) -> Column:
+    """Hash of id, source and text, nulls told apart from their absence elsewhere in the row."""
+    parts = [F.col(c) for c in ("doc_id", "source", "text")]
+    return F.xxhash64(F.lit(seed), *[c.isNull() for c in parts], *parts)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns as given.
 
-    The documents are written once with their two verdicts, so that the features, most of the work, are not evaluated
-    again when the hosts' verdicts are known."""
-    q, host, bad, base, soft = (free(c, docs) for c in ("__q", "__host", "__bad", "__base_failed", "__soft_failed"))
-    d = with_features(docs, q).withColumn(q, F.explode(F.array(q)))  # evaluated once: nothing is pushed below a generator's own output
-    d = written(d.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(q)["base_failed"].alias(base), F.col(q)["soft_failed"].alias(soft)), "quality")
-    hosts = host_verdicts(d.select("source", F.col(base).alias("base_failed"), F.col(soft).alias("soft_failed")))
-    hosts = hosts.select(F.col("source").alias(host), F.col("host_rejected").alias(bad)).where(bad)
-    d = d.where(~F.col(base)).join(hosts, F.col("source").eqNullSafe(F.col(host)), "left")
-    d = d.where(~(F.coalesce(F.col(bad), F.lit(False)) & F.col(soft)))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    The verdicts are written once, without text, under two hashes of id, source and text (equal rows share their verdict), and
+    the documents are freed of the rejected ones by those: the features, most of the work, are evaluated once, and no
+    hot host gathers texts in one task."""
+    one, two = free("__one", docs), free("__two", docs)
+    d = docs.select(_row_key(1).alias("one"), _row_key(2).alias("two"), "source", "text")
+    d = with_features(d, "q").withColumn("q", F.explode(F.array("q")))  # evaluated once: nothing is pushed below a generator's own output
+    judged = checkpoint(d.select("one", "two", "source", F.col("q.base_failed").alias("base_failed"), F.col("q.soft_failed").alias("soft_failed")))
+    hosts = host_verdicts(judged).where("host_rejected").select(F.col("source").alias("host"))
+    of_bad_hosts = judged.where("soft_failed AND NOT base_failed").join(hosts, F.col("source").eqNullSafe(F.col("host")), "left_semi")
+    rejected = judged.where("base_failed").unionByName(of_bad_hosts).select(F.col("one").alias(free("__o", docs)), F.col("two").alias(free("__t", docs))).distinct()
+    o, t = rejected.columns
+    keyed = docs.withColumn(one, _row_key(1)).withColumn(two, _row_key(2))
+    return keyed.join(rejected, (F.col(one) == F.col(o)) & (F.col(two) == F.col(t)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
