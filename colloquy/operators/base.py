@@ -28,11 +28,16 @@ def restrict_tenants(df: DataFrame, tenants) -> DataFrame:
     return df if tenants is None else df.where(F.col("tenant_id").isin(list(tenants)))
 
 
-def base_messages(messages: DataFrame, conversations: DataFrame, exclude_patterns=(), tenants=None) -> DataFrame:
+def kept_conversations(conversations: DataFrame, exclude_patterns=(), tenants=None) -> DataFrame:
+    """(tenant_id, conversation_id, contact_id) of the conversations whose contact is not excluded."""
     convs = restrict_tenants(conversations, tenants)
     if exclude_patterns:
         convs = convs.where(~excluded_contact(F.col("contact_name"), exclude_patterns))
-    convs = convs.select("tenant_id", "conversation_id", "contact_id")
+    return convs.select("tenant_id", "conversation_id", "contact_id")
+
+
+def base_messages(messages: DataFrame, conversations: DataFrame, exclude_patterns=(), tenants=None) -> DataFrame:
+    convs = kept_conversations(conversations, exclude_patterns, tenants)
     msgs = restrict_tenants(messages, tenants)
     extra = [c for c in msgs.columns if c not in BASE_COLUMNS]
     base = [c for c in BASE_COLUMNS if c in msgs.columns or c in convs.columns]  # messages may come without text

@@ -50,6 +50,23 @@ def with_bucket_array(df: DataFrame, ts_col: str, cal: Calendar, name: str, only
     return rows.drop(FROM, TO) if own else rows
 
 
+def period_bit(bucket: str) -> int:
+    """The bit of a bucket in a set of periods."""
+    return 1 << ALL_BUCKETS.index(bucket)
+
+
+def with_period_bits(df: DataFrame, ts_col: str, cal: Calendar, name: str) -> DataFrame:
+    """``df`` with the set of periods that hold each row as an integer (``period_bit``) in column ``name``; 0: none."""
+    dtype, ts = ts_type(df, ts_col), F.col(ts_col)
+    own = cal.calls is not None and cal.calls.earliest is not None
+    rows = cal.calls.with_range(df, dtype) if own else df
+    inside = [(p.bucket, period_condition(ts, p, dtype)) for p in cal.periods]
+    if own:
+        inside.append((BUCKET_CUSTOM, (ts >= F.col(FROM)) & (ts < F.col(TO))))
+    rows = rows.withColumn(name, sum((F.when(held, period_bit(b)).otherwise(0) for b, held in inside), F.lit(0)))
+    return rows.drop(FROM, TO) if own else rows
+
+
 def day(df: DataFrame) -> list[str]:
     """The day column, where the table has one."""
     return [DAY] if DAY in df.columns else []

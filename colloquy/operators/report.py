@@ -8,8 +8,10 @@ map; the per-tenant totals join that once. Missing pieces become 0, ``[]`` or
 ``{}``, so every tenant of the spine gets a full document even without rows.
 
 Three inputs feed several pieces and are materialised once (cached, or written under ``spark.checkpoint.dir``): the
-message base without text (counts), the text messages of the conversations that some period can hold, with their
-rule features, and the topics of those conversations.
+traffic rollup (all counts, one pass over the messages without text; ``activity.py``), the text messages of the conversations that some
+period can hold, with their rule features, and the topics of those conversations. So the messages are read
+twice. Left lazy (``how="none"``) nothing is shared, and every counting operator reads the base itself, with its
+own filters pushed into the scan.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ..functions.ratio import pct_tenths, quot_hundredths, to_decimal
 from ..params import Params
 from ..plans.calendar import Calendar, build_calendar
 from ..plans.rules import REFERENCE_PACK, RulePack
-from .base import base_messages, restrict_tenants
+from . import activity as rollup
+from .base import base_messages, kept_conversations, restrict_tenants
 from .kpis import dispatch_kpis, goal_metrics, message_kpis, totals, with_call_facts
 from .periods import period_spine
 from .quotes import quotes_folded, sample_quotes
@@ -102,8 +105,11 @@ class Dashboard:
     quotes_k: int = 3
     stop_words: DataFrame | None = None
     how: str = "table"
-    #: the base without text: what the counting operators read
+    #: the base without text
     work: DataFrame | None = None
+    #: what the counting operators read unless everything is lazy: a row per tenant, and one per tenant, set of periods and hour
+    facts: DataFrame | None = None
+    hours: DataFrame | None = None
     #: text messages of the active conversations, with their features: what the text operators read
     texts: DataFrame | None = None
     _topics: DataFrame | None = None
@@ -130,7 +136,8 @@ class Dashboard:
             # on them), so the conversation table alone names the tenants: no message scan
             tenants = conversations.select("tenant_id").distinct()
         join = lambda m: base_messages(m, conversations, params.exclude_patterns, params.tenants)
-        return cls._open(join(msgs), join(msgs.drop("content")), msgs, params, tenants, pack, how, calls, stop_words)
+        kept = kept_conversations(conversations, params.exclude_patterns, params.tenants)
+        return cls._open(join(msgs), join(msgs.drop("content")), msgs, kept, params, tenants, pack, how, calls, stop_words)
 
     @classmethod
     def from_base(cls, base: DataFrame, params: Params, tenants: DataFrame | None = None,
@@ -138,22 +145,29 @@ class Dashboard:
                   stop_words: DataFrame | None = None) -> "Dashboard":
         if tenants is None:
             tenants = base.select("tenant_id").distinct()
-        return cls._open(base, base.drop("content"), base, params, tenants, pack, how, calls, stop_words)
+        return cls._open(base, base.drop("content"), base, None, params, tenants, pack, how, calls, stop_words)
 
     @classmethod
-    def _open(cls, base: DataFrame, counts: DataFrame, messages: DataFrame, params: Params, tenants: DataFrame, pack: RulePack, how: str,
-              calls: DataFrame | None, stop_words: DataFrame | None) -> "Dashboard":
-        """``counts``: the base without text; ``messages``: rows that hold the base's text messages, contact or not."""
+    def _open(cls, base: DataFrame, counts: DataFrame, messages: DataFrame, kept: DataFrame | None, params: Params, tenants: DataFrame, pack: RulePack,
+              how: str, calls: DataFrame | None, stop_words: DataFrame | None) -> "Dashboard":
+        """``counts``: the base without text; ``messages``: rows that hold the base's text messages, contact or not;
+        ``kept``: the conversations that make them the base (None: they are)."""
         cal = build_calendar(params)
         if calls is not None:
             cal = cal.with_calls(calls)
-        d = cls(base=base, cal=cal, tenants=tenants, pack=pack, stop_words=stop_words, how=how)
+        d = cls(base=base, cal=cal, tenants=tenants, pack=pack, stop_words=stop_words, how=how, work=counts)
         try:
-            d.work = d._materialize(counts, how)
+            if how == "none":
+                active = active_conversations(d.work, cal)
+            else:
+                traffic = d._materialize(rollup.activity(messages, cal, kept), how)
+                d.facts = d._materialize(rollup.period_facts(traffic), how)
+                d.hours = d._materialize(rollup.traffic_hours(traffic), how)
+                active = rollup.active_conversations(traffic)
             # the conversations that any period can hold, found without text; the semi-join (which also leaves out excluded
             # contacts) comes before the rules, the words and the quotes
             text = messages.where(is_text(pack))
-            texts = with_text_features(text.join(active_conversations(d.work, cal), ["tenant_id", "conversation_id"], "left_semi"), pack)
+            texts = with_text_features(text.join(active, ["tenant_id", "conversation_id"], "left_semi"), pack)
             d.texts = d._materialize(texts, how)
             d._quoted = d.texts if how != "none" else text  # without the rules, where those are not written down
             d._topics = d._materialize(with_buckets(conversation_topics(d.texts, pack), cal).where(F.size("buckets") > 0), how)
@@ -205,13 +219,13 @@ class Dashboard:
         return classified_buckets(self._topics)
 
     def dispatch_kpis(self) -> DataFrame:
-        return dispatch_kpis(self.work, self.cal)
+        return dispatch_kpis(self.work, self.cal) if self.facts is None else rollup.dispatch_kpis(self.facts)
 
     def message_kpis(self) -> DataFrame:
-        return message_kpis(self.work, self.cal)
+        return message_kpis(self.work, self.cal) if self.facts is None else rollup.message_kpis(self.facts)
 
     def totals(self) -> DataFrame:
-        return goal_metrics(totals(self.work, self.cal), self.cal)
+        return goal_metrics(totals(self.work, self.cal) if self.facts is None else rollup.totals(self.facts), self.cal)
 
     def topic_distribution(self) -> DataFrame:
         return topic_distribution(self.classified_buckets())
@@ -226,10 +240,10 @@ class Dashboard:
         return sample_quotes(self.texts, self._topics, self.pack, self.quotes_k, self._quoted)
 
     def daily_rhythm(self) -> DataFrame:
-        return daily_rhythm(self.work, self.cal)
+        return daily_rhythm(self.work, self.cal) if self.hours is None else rollup.daily_rhythm(self.hours)
 
     def hourly_heatmap(self) -> DataFrame:
-        return hourly_heatmap(self.work, self.cal)
+        return hourly_heatmap(self.work, self.cal) if self.hours is None else rollup.hourly_heatmap(self.hours)
 
     def period_spine(self) -> DataFrame:
         return period_spine(self.tenants, self.cal)

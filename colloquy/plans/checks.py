@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 
 from ..functions.ratio import to_double
 from ..functions.regex import matches
+from ..operators import activity as rollup
+from ..operators.base import kept_conversations
 from ..operators.periods import assign_periods
 from ..operators.quotes import quote_candidates
 from ..operators.report import Dashboard
+from ..operators.rhythm import heatmap_folded
 from ..operators.topics import classify
 from ..operators.words import word_counts
 from ..plans.calendar import build_calendar
@@ -183,7 +186,6 @@ def daily_rhythm_chat(spark, sf_dir):
 
 
 def hourly_heatmap(spark, sf_dir):
-    from ..operators.rhythm import heatmap_folded
     h = heatmap_folded(events(spark, sf_dir).hourly_heatmap())
     return h.select("tenant_id", "bucket", F.posexplode("heatmap").alias("h", "n")).select(
         "tenant_id", "bucket", F.col("h").cast("int").alias("h"), F.col("n").cast("long").alias("n"))
@@ -311,6 +313,38 @@ def summary_leaves_one_tenant(spark, sf_dir):
     return document_leaves(d.summary())
 
 
+def activity_events(spark, sf_dir):
+    """The traffic rollup itself."""
+    r = rollup.activity(event_base(spark, sf_dir), build_calendar(EVENT_PARAMS))
+    return r.select("tenant_id", "conversation_id", "contact_id", F.col("periods").cast("long").alias("periods"),
+                    F.date_format("dia", "yyyy-MM-dd").alias("dia"), F.col("h").cast("long").alias("h"), "n_disp", "n_in", "n_out")
+
+
+def period_facts(spark, sf_dir, calls=False):
+    """All counts of every period, the current month and all time, folded from the rollup."""
+    cal = build_calendar(CHAT_PARAMS if calls else CHAT_CUSTOM_PARAMS)
+    if calls:
+        cal = cal.with_calls(chat_calls(spark, sf_dir))
+    kept = kept_conversations(chat_conversations(spark, sf_dir), CHAT_PARAMS.exclude_patterns)
+    return rollup.facts_by_period(rollup.period_facts(rollup.activity(chat_messages(spark, sf_dir), cal, kept)))
+
+
+def period_facts_events(spark, sf_dir):
+    return rollup.facts_by_period(rollup.period_facts(rollup.activity(event_base(spark, sf_dir), build_calendar(EVENT_PARAMS))))
+
+
+def daily_rhythm_rollup(spark, sf_dir):
+    r = rollup.daily_rhythm(rollup.traffic_hours(rollup.activity(event_base(spark, sf_dir), build_calendar(EVENT_PARAMS))))
+    return r.select("tenant_id", "bucket", F.date_format("dia", "yyyy-MM-dd").alias("dia"), "rec", "env")
+
+
+def hourly_heatmap_rollup(spark, sf_dir):
+    hours = rollup.traffic_hours(rollup.activity(event_base(spark, sf_dir), build_calendar(EVENT_PARAMS)))
+    h = heatmap_folded(rollup.hourly_heatmap(hours))
+    return h.select("tenant_id", "bucket", F.posexplode("heatmap").alias("h", "n")).select(
+        "tenant_id", "bucket", F.col("h").cast("int").alias("h"), F.col("n").cast("long").alias("n"))
+
+
 def word_cloud_own_stop_words(spark, sf_dir):
     d = Dashboard.from_tables(chat_messages(spark, sf_dir), chat_conversations(spark, sf_dir), CHAT_PARAMS, TEST_PACK, how="none",
                               stop_words=chat_stop_words(spark, sf_dir))
@@ -371,4 +405,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_leaves_calls": summary_leaves_calls,
     "summary_leaves_one_tenant": summary_leaves_one_tenant,
     "word_cloud_own_stop_words": word_cloud_own_stop_words,
+    "activity_events": activity_events,
+    "period_facts": period_facts,
+    "period_facts_events": period_facts_events,
+    "period_facts_calls": lambda spark, sf_dir: period_facts(spark, sf_dir, calls=True),
+    "daily_rhythm_rollup": daily_rhythm_rollup,
+    "hourly_heatmap_rollup": hourly_heatmap_rollup,
 }

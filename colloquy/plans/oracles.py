@@ -347,9 +347,41 @@ tok AS (
   SELECT * FROM (SELECT tenant_id, bucket, unnest(regexp_split_to_array(lower(texto), '{_q(tp.word_split)}')) AS word FROM cb) x
   ANTI JOIN (SELECT * FROM own WHERE length(word) % 4 = CAST(tenant_id AS INTEGER)) y ON y.tenant_id = x.tenant_id AND y.word = x.word)"""
     o["word_cloud_own_stop_words"] = word_cloud_sql(CHAT_PARAMS, tp, own)
+
+    o["period_facts"] = chat_with(params=CHAT_CUSTOM_PARAMS) + PERIOD_FACTS
+    o["period_facts_events"] = events_with() + PERIOD_FACTS
+    o["period_facts_calls"] = per_tenant(lambda p: chat_with(params=p) + PERIOD_FACTS)
+    o["daily_rhythm_rollup"] = o["daily_rhythm"]
+    o["hourly_heatmap_rollup"] = o["hourly_heatmap"]
+    o["activity_events"] = events_with() + f"""
+SELECT tenant_id, conversation_id, contact_id, periods, strftime(dia, '%Y-%m-%d') AS dia, h,
+       COUNT(*) FILTER (WHERE kind = 1 AND is_private) AS n_disp, COUNT(*) FILTER (WHERE kind = 0 AND is_private = false) AS n_in,
+       COUNT(*) FILTER (WHERE kind = 1 AND is_private = false) AS n_out
+FROM (SELECT *, CASE WHEN timed THEN CAST(l_ts AS DATE) END AS dia, CASE WHEN timed THEN hour(l_ts) END AS h
+      FROM (SELECT *, is_private = false AND kind IN (0, 1) AND periods % 16 > 0 AS timed
+            FROM (SELECT m.*, {loc('m.ts', tz_e)} AS l_ts,
+                         CAST(32 + CASE WHEN ts >= mf_end THEN 16 ELSE 0 END + CASE WHEN ts >= cust_start AND ts < cust_end THEN 8 ELSE 0 END
+                              + CASE WHEN ts >= mf_start AND ts < mf_end THEN 4 ELSE 0 END + CASE WHEN ts >= d8_start AND ts < d8_end THEN 2 ELSE 0 END
+                              + CASE WHEN ts >= d7_start THEN 1 ELSE 0 END AS BIGINT) AS periods
+                  FROM base m JOIN cfg ON TRUE) a) b) c
+GROUP BY tenant_id, conversation_id, contact_id, periods, dia, h"""
     return o
 
 
+PERIOD_FACTS = f"""
+SELECT t.tenant_id, n.bucket, COUNT(*) FILTER (WHERE m.kind = 1 AND m.is_private) AS disparos,
+       COUNT(*) FILTER (WHERE m.kind = 0 AND m.is_private = false) AS msgs_aluno, COUNT(*) FILTER (WHERE m.kind = 1 AND m.is_private = false) AS msgs_tcs,
+       COUNT(DISTINCT m.conversation_id) FILTER (WHERE m.kind = 0 AND m.is_private = false) AS respostas,
+       COUNT(DISTINCT m.conversation_id) FILTER (WHERE m.kind IN (0, 1) AND m.is_private = false) AS conversas_unicas,
+       COUNT(DISTINCT m.contact_id) FILTER (WHERE m.kind = 1 AND m.is_private) AS alunos_atendidos
+FROM (SELECT DISTINCT tenant_id FROM base) t
+JOIN (SELECT unnest(['d7', 'd8_14', 'mes_fechado', 'custom', 'mes_atual', 'total']) AS bucket) n ON TRUE
+LEFT JOIN (SELECT bucket, p_start, p_end FROM periods UNION ALL SELECT 'mes_atual', mf_end, NULL FROM cfg
+           UNION ALL SELECT 'total', TIMESTAMP '0001-01-01 00:00:00', NULL) p ON p.bucket = n.bucket
+LEFT JOIN base m ON m.tenant_id = t.tenant_id AND {in_period()}
+GROUP BY t.tenant_id, n.bucket"""
+
+
 def with_phrases(sql: str) -> str:
     """The query on messages whose texts begin with a phrase."""
     phrases = ", ".join(f"'{_q(p)}'" for p in PHRASES)
