@@ -161,8 +161,9 @@ class Dashboard:
                 active = active_conversations(d.work, cal)
             else:
                 traffic = d._materialize(rollup.activity(messages, cal, kept), how)
-                d.facts = d._materialize(rollup.period_facts(traffic), how)
-                d.hours = d._materialize(rollup.traffic_hours(traffic), how)
+                # small whatever the traffic; a lost block is made again from the rollup
+                d.facts = d._materialize(rollup.period_facts(traffic), "cache")
+                d.hours = d._materialize(rollup.traffic_hours(traffic), "cache")
                 active = rollup.active_conversations(traffic)
             # the conversations that any period can hold, found without text; the semi-join (which also leaves out excluded
             # contacts) comes before the rules, the words and the quotes
